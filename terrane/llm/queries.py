@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import cooccurrence, neighbours, ranking, splitting, tokens
+from terrane.llm import cooccurrence, leakage, neighbours, ranking, splitting, tokens
 from terrane.tables import table
 
 
@@ -115,6 +115,15 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode_corpus(p8_ids(spark, d))
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.withColumn("share", F.round("share", 4))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -124,6 +133,8 @@ QUERIES = {
     "p3_scores": p3_scores,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
 }
