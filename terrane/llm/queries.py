@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import cooccurrence, leakage, neighbours, ranking, splitting, tokens
+from terrane.llm import cooccurrence, language, leakage, neighbours, ranking, splitting, tokens
 from terrane.tables import table
 
 
@@ -124,6 +124,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    found = language.language_segments(table(spark, d, "documents"))
+    return found.withColumn("confidence", F.round("confidence", 4))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language.unlabelled_languages(documents, language.language_segments(documents))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -135,6 +145,8 @@ QUERIES = {
     "p4_neighbours": p4_neighbours,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
 }
