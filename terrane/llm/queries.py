@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import cooccurrence, language, leakage, neighbours, ranking, splitting, tokens
+from terrane.llm import cooccurrence, handwritten, language, leakage, neighbours, ranking, secrets, splitting, tokens
 from terrane.tables import table
 
 
@@ -115,6 +115,28 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode_corpus(p8_ids(spark, d))
 
 
+def p5_credentials(spark: SparkSession, d: str) -> DataFrame:
+    heads = secrets.credentials(table(spark, d, "files"), "files", text="content_head", version="indexed_at_ns")
+    return heads.unionByName(secrets.credentials(table(spark, d, "chunks"), "chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_credentials(spark, d).select("place", "row_id", "line_no").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    heads = secrets.redacted(table(spark, d, "files"), "files", text="content_head")
+    return heads.unionByName(secrets.redacted(table(spark, d, "chunks"), "chunks"))
+
+
+def p6_origins(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.origins(table(spark, d, "files"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_origins(spark, d).filter("origin IS NOT NULL").select("file_id")
+
+
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.withColumn("share", F.round("share", 4))
@@ -147,6 +169,11 @@ QUERIES = {
     "p9_leaks": p9_leaks,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
+    "p5_found": p5_found,
+    "p5_credentials": p5_credentials,
+    "p5_redacted": p5_redacted,
+    "p6_found": p6_found,
+    "p6_origins": p6_origins,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
 }
