@@ -117,7 +117,7 @@ def layout(text: str) -> Layout:
     shapes = Counter(_DIGITS.sub("0", _QUOTED.sub("''", x)).strip() for x in code if len(x.strip()) > 3)
     most = sum(c for _, c in shapes.most_common(2) if c >= 6)
     return Layout(
-        size=n,
+        size=sum(map(len, code)),
         lines=len(code),
         longest=max(map(len, plain)),
         mean=n / len(plain),
