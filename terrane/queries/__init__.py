@@ -1,9 +1,10 @@
 """Registered queries of the core: callables over a table folder, and the SQL that an independent engine runs."""
 
 from terrane.queries import incremental as _incremental
+from terrane.queries import text as _text
 from terrane.queries import tree as _tree
 
-_MODULES = [_incremental, _tree]
+_MODULES = [_incremental, _tree, _text]
 
 
 def queries():
