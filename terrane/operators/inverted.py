@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.scores import bm25
@@ -17,7 +17,11 @@ CHUNK_FIELDS = ("symbol", "language", "content", "search_text")
 
 def postings(rows: DataFrame, fields: Sequence[str], id: str = "id") -> DataFrame:
     """``token, id, field, pos``: each token of each field of each row; ids must be unique."""
-    each = [F.transform(index_tokens(F.col(f)), lambda t, i, n=n: F.struct(t.alias("token"), F.lit(n).alias("field"), i.alias("pos"))) for n, f in enumerate(fields)]
+
+    def of(n: int, field: str) -> Column:
+        return F.transform(index_tokens(F.col(field)), lambda t, i: F.struct(t.alias("token"), F.lit(n).alias("field"), i.alias("pos")))
+
+    each = [of(n, f) for n, f in enumerate(fields)]
     return rows.select(F.col(id).alias("id"), F.explode(F.concat(*each)).alias("p")).select("p.token", "id", "p.field", "p.pos")
 
 

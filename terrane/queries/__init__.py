@@ -1,10 +1,8 @@
 """Registered queries of the core: callables over a table folder, and the SQL that an independent engine runs."""
 
-from terrane.queries import incremental as _incremental
-from terrane.queries import text as _text
-from terrane.queries import tree as _tree
+from terrane.queries import events, graph, incremental, passthrough, search, text, tree
 
-_MODULES = [_incremental, _tree, _text]
+_MODULES = [incremental, tree, text, search, graph, events, passthrough]
 
 
 def queries():
