@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.durable import checkpointed
 from terrane.functions.scores import bm25
 from terrane.functions.text import index_tokens, match_phrases
 
@@ -59,7 +60,7 @@ def find(rows: DataFrame, queries: DataFrame, fields: Sequence[str] = FILE_FIELD
     tokens = sum((F.size(index_tokens(F.col(f))) for f in fields), F.lit(0))
     lengths = rows.select(F.col(id).alias("id"), tokens.alias("length"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
-    frequency = phrase_hits(index, asked).groupBy("query_id", "phrase", "id").agg(F.count(F.lit(1)).alias("tf"))
+    frequency = checkpointed(phrase_hits(index, asked).groupBy("query_id", "phrase", "id").agg(F.count(F.lit(1)).alias("tf")))
     holders = frequency.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
     scored = frequency.join(holders, ["query_id", "phrase"]).join(lengths, "id")
     weight = bm25(F.col("tf"), F.col("length"), F.lit(float(totals["average"] or 0.0)), F.lit(totals["n"]), F.col("df"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.durable import checkpointed
 from terrane.functions.scores import bm25, freshness, reciprocal_rank, sigmoid
 from terrane.functions.text import analyze_terms, compact_snippet, distinct_terms, text_or_empty
 from terrane.operators import inverted
@@ -80,7 +81,7 @@ def _ranked(scored: DataFrame, *ties: str) -> DataFrame:
 def file_words(files: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """``query_id, id, rank, snippet``: files by words of their name, path, tags and content."""
     index = inverted.postings(files, inverted.FILE_FIELDS)
-    found = inverted.recalled(index, inverted.query_phrases(queries), limit)
+    found = checkpointed(inverted.recalled(index, inverted.query_phrases(queries), limit))  # small, and read often
     text = F.concat_ws(" ", *(text_or_empty(F.col(c)) for c in ("name", "path", "tags_text", "content_head")))
     scored = local_bm25(found, files, queries, text).join(files.select("id", "path", compact_snippet(F.col("content_head"), SNIPPET_BYTES).alias("snippet")), "id")
     return _ranked(scored, "path", "id").select("query_id", "id", "rank", "snippet")
@@ -92,7 +93,7 @@ def chunk_words(chunks: DataFrame, files: DataFrame, queries: DataFrame, limit:
     Ranks count chunks, not files.
     """
     index = inverted.postings(chunks, inverted.CHUNK_FIELDS)
-    found = inverted.recalled(index, inverted.query_phrases(queries), limit)
+    found = checkpointed(inverted.recalled(index, inverted.query_phrases(queries), limit))
     text = F.concat_ws(" ", text_or_empty(F.col("symbol")), text_or_empty(F.col("content")))
     place = chunks.select(F.col("id").alias("chunk_id"), "file_id", "symbol", "start_line", "end_line", "content")
     scored = (
@@ -229,16 +230,18 @@ def hybrid_search(
     texts = queries.select(F.col("query_id"), F.trim(text_or_empty(F.col("query_text"))).alias("query_text"))
     if not request.filters and not texts.filter("query_text = ''").isEmpty():
         raise ValueError("a search needs a query or a filter")
+    # an arm's result is at most request.candidates rows a query, so it is cheap to keep and lets the plan of the
+    # fusion stay small
     hits = placed(
         fuse(
             texts,
             files,
             request,
             now_ns,
-            words=file_words(files, texts, request.candidates),
-            chunk=chunk_words(chunks, files, texts, request.candidates),
-            vectors=vectors,
-            concepts=concepts,
+            words=checkpointed(file_words(files, texts, request.candidates)),
+            chunk=checkpointed(chunk_words(chunks, files, texts, request.candidates)),
+            vectors=None if vectors is None else checkpointed(vectors),
+            concepts=None if concepts is None else checkpointed(concepts),
             metadata=newest(files, texts, request),
         )
     )

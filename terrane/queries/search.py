@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.durable import checkpointed
 from terrane.functions.vectors import bucket, hash_vectors, probes
 from terrane.operators import context, inverted, nearest, retrieval
 from terrane.operators.relational import current_files
@@ -112,12 +113,12 @@ def rerank_window(spark, d):
 
 
 def context_contents(spark, d):
-    hits = _hybrid(spark, d)
+    hits = checkpointed(_hybrid(spark, d))  # read twice
     return context.hit_contents(hits, _chunks(spark, d), _files(spark, d))
 
 
 def context_pack(spark, d):
-    hits = _hybrid(spark, d)
+    hits = checkpointed(_hybrid(spark, d))  # read twice
     pack = context.context_pack(hits, context.hit_contents(hits, _chunks(spark, d), _files(spark, d)), budget=1000)
     return pack.select("query_id", "place", "path", "chunk_symbol", "content", "estimated_tokens", "truncated")
 
