@@ -83,8 +83,8 @@ LIMITS = {
     **dict.fromkeys(("py", "rb", "pl", "lua", "sh", "bash", "ps1"), Limits()),
     **dict.fromkeys(("go", "c", "h", "cc", "cpp", "hpp", "java", "rs", "kt", "swift", "cs", "scala", "php"), Limits()),
     **dict.fromkeys(("js", "mjs", "jsx", "ts", "tsx"), Limits(white=0.08)),
-    "css": Limits(longest=300, mean=90.0, white=0.11),
-    "scss": Limits(longest=300, mean=90.0, white=0.11),
+    "css": Limits(longest=300, mean=90.0, white=0.11, repeated=0.95),
+    "scss": Limits(longest=300, mean=90.0, white=0.11, repeated=0.95),
     "sql": Limits(repeated=0.75, numbers=0.28),
     **dict.fromkeys(("html", "htm", "vue", "svelte"), Limits(longest=1000, mean=200.0, white=0.04)),
 }

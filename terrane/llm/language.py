@@ -153,7 +153,7 @@ def tokens(words: str) -> list[str]:
 
 
 def _grams(word: str, order: int) -> list[str]:
-    w = f"<{word}>"
+    w = f"<{word}>" if order > 1 else word
     return [w[i : i + order] for i in range(len(w) - order + 1)] if len(w) >= order else []
 
 
