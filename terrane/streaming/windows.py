@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    """With a watermark, which needs a time with a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
+
+
 def tumbling(events: DataFrame, size: str = "1 hour", late: str | None = None) -> DataFrame:
     """``start, event_type, n, total`` of windows side by side; on a stream events later than ``late`` are dropped."""
-    source = events.withWatermark("ts", late) if late else events
+    source = _timed(events, late)
     return source.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, size: str = "2 hours", slide: str = "30 minutes", late: str | None = None) -> DataFrame:
     """The same in windows that overlap."""
-    source = events.withWatermark("ts", late) if late else events
+    source = _timed(events, late)
     return source.groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def debounced(events: DataFrame, key: str = "user_id", gap: str = "30 minutes", late: str | None = None) -> DataFrame:
     """``key, first_ts, last_ts, n``: bursts of a key's events; each event within the gap prolongs its burst."""
-    source = events.withWatermark("ts", late) if late else events
+    source = _timed(events, late)
     sessions = source.groupBy(F.session_window("ts", gap).alias("w"), key)
     return sessions.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")).select(key, "first_ts", "last_ts", "n")
 
