@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from terrane.durable import checkpointed
 from terrane.functions.vectors import bucket, hash_vectors, probes
-from terrane.operators import context, inverted, nearest, retrieval
+from terrane.operators import context, graph, inverted, nearest, retrieval
 from terrane.operators.relational import current_files
-from terrane.queries.common import ASKED, CHUNKS, FILES, phrases, quoted, terms, tokens, trimmed, truncated
+from terrane.functions.text import CONCEPT_STOPWORDS
+from terrane.queries.common import ASKED, CHUNKS, FILES, phrases, quoted, runs, terms, tokens, trimmed, truncated
 from terrane.queries.text import FNV
 from terrane.tables import latest, table
 
@@ -100,6 +101,17 @@ def hybrid_search(spark, d):
     return _hybrid(spark, d).select("query_id", "place", "id", "path", F.round("score", 6).alias("score"), F.round("bm25_score", 6).alias("bm25_score"), F.round("vector_score", 6).alias("vector_score"), "chunk_symbol", "start_line")
 
 
+def hybrid_concept_fusion(spark, d):
+    """With the concept arm; concepts go by the first word of their name, as a query names single words."""
+    files, chunks, asked = _files(spark, d), _chunks(spark, d), _asked(spark, d)
+    concepts = table(spark, d, "concepts").withColumn("name", F.split("name", " ")[0])
+    occurrences = table(spark, d, "concept_occurrences")
+    near = retrieval.concept_neighbours(asked, concepts, graph.edges(occurrences), occurrences, chunks, _REQUEST.candidates)
+    vectors = nearest.exact_topk(_vectors(spark, d), _query_vectors(spark, d), 4 * _REQUEST.candidates)
+    hits = retrieval.hybrid_search(asked, files, chunks, _REQUEST, NOW_NS, vectors=vectors, concepts=near)
+    return hits.select("query_id", "place", "id", "path", F.round("score", 6).alias("score"), "concept_rank")
+
+
 def _stub(query: str, documents: list[str]) -> list[float]:
     """Stands for a cross-encoder: the shorter the document, the better."""
     return [-float(len(x.encode())) / 1000 for x in documents]
@@ -189,6 +201,20 @@ _FUSED = f"""meta AS (SELECT query_id, id FROM q CROSS JOIN (SELECT id FROM cur
     sc AS (SELECT *, 0.52::DOUBLE * {_rr('lex')} + 0.38::DOUBLE * {_rr('vr')} + 0.10::DOUBLE * {_AGE} AS score FROM mm),
     hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, id) AS place FROM sc)"""
 _HYBRID = f"WITH {ASKED}, {FILES}, {CHUNKS}, {_QT}, {_QW}, {_FILE_ARM}, {_CHUNK_ARM}, {_VECTOR}, {_QV}, {_COS}, {_FUSED}"
+_CONCEPT_ARM = f"""occ AS (SELECT DISTINCT concept_id, chunk_id FROM concept_occurrences WHERE concept_id IS NOT NULL AND chunk_id IS NOT NULL),
+    cqw AS (SELECT DISTINCT query_id, unnest(list_filter({runs('query_text')}, lambda w: octet_length(encode(w)) >= 2 AND regexp_matches(w, '[\\p{{L}}\\p{{N}}]') AND w NOT IN ({", ".join(map(quoted, CONCEPT_STOPWORDS))}))) AS name FROM q),
+    cst AS (SELECT DISTINCT query_id, c.id AS src FROM cqw JOIN concepts c ON lower(string_split(c.name, ' ')[1]) = cqw.name),
+    cnb AS (SELECT DISTINCT query_id, b.concept_id FROM cst JOIN occ a ON a.concept_id = cst.src JOIN occ b ON b.chunk_id = a.chunk_id AND b.concept_id <> a.concept_id),
+    cwh AS (SELECT DISTINCT occ.concept_id, ch.file_id AS id FROM occ JOIN ch ON ch.id = occ.chunk_id),
+    csg AS (SELECT query_id, id, count(*) AS strength FROM cnb JOIN cwh USING (concept_id) GROUP BY ALL),
+    cn AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, id) AS cr FROM csg) WHERE cr <= {_REQUEST.candidates})"""
+_FUSED_CONCEPTS = (
+    _FUSED.replace("UNION SELECT query_id, id FROM meta)", "UNION SELECT query_id, id FROM cn UNION SELECT query_id, id FROM meta)")
+    .replace("greatest(0, coalesce(va.cosine, 0)) AS vs", "greatest(0, coalesce(va.cosine, 0)) AS vs, coalesce(cn.cr, 0) AS cr")
+    .replace("LEFT JOIN va USING (query_id, id))", "LEFT JOIN va USING (query_id, id) LEFT JOIN cn USING (query_id, id))")
+    .replace("WHERE lex > 0 OR vs > 0)", "WHERE lex > 0 OR vs > 0 OR cr > 0)")
+    .replace(f"0.52::DOUBLE * {_rr('lex')} + 0.38::DOUBLE * {_rr('vr')} + 0.10::DOUBLE * {_AGE}", f"0.47::DOUBLE * {_rr('lex')} + 0.34::DOUBLE * {_rr('vr')} + 0.09::DOUBLE * {_AGE} + 0.10::DOUBLE * {_rr('cr')}")
+)
 _CONTENTS = f"""{_HYBRID}, top AS (SELECT query_id, place, id, path, kind, content_head, CASE WHEN wins THEN cs ELSE '' END AS chunk_symbol, CASE WHEN wins THEN sl ELSE 0 END AS at, CASE WHEN wins THEN cc ELSE coalesce(fs, '') END AS snippet FROM hits WHERE place <= 20),
     near AS (SELECT t.query_id, t.id, c.ordinal, c.id AS chunk_id, CASE WHEN coalesce(c.symbol, '') <> '' THEN '// ' || c.symbol || ' lines ' || c.start_line || '-' || c.end_line || chr(10) ELSE '' END || coalesce(c.content, '') AS body,
         row_number() OVER (PARTITION BY t.query_id, t.id ORDER BY CASE WHEN coalesce(c.symbol, '') = t.chunk_symbol AND t.chunk_symbol <> '' THEN 0 ELSE 1 END, abs(c.start_line - t.at), c.ordinal, c.id) AS rn FROM top t JOIN ch c ON c.file_id = t.id),
@@ -204,7 +230,7 @@ _PACK = f"""{_CONTENTS}, it AS (SELECT t.*, {trimmed('c.content')} AS content, o
 _W = f"WITH {ASKED}, {FILES}, {CHUNKS}, {_QT}, {_QW}"
 
 QUERIES = {f.__name__: f for f in (
-    find, recall, file_words, chunk_words, query_vectors, cosine_topk, sign_buckets, bucket_probes, probed_topk, metadata_only_search, hybrid_search, rerank_window, context_contents, context_pack,
+    find, recall, file_words, chunk_words, query_vectors, cosine_topk, sign_buckets, bucket_probes, probed_topk, metadata_only_search, hybrid_search, hybrid_concept_fusion, rerank_window, context_contents, context_pack,
 )}
 _BITS = "list_sum(list_transform(range(0, 8), lambda i: CASE WHEN vector[(i + 1)::INT] >= 0 THEN (1 << i::INT) ELSE 0 END))::INT"
 SQL = {
@@ -230,6 +256,7 @@ SQL = {
         s AS (SELECT *, 0.1::DOUBLE * {_AGE} AS score FROM c), r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, path, id) AS place FROM s)
         SELECT query_id, place, id, path, round(score, 6) AS score FROM r, (SELECT unnest([1, 2, 3])::BIGINT AS query_id) WHERE place <= 20""",
     "hybrid_search": f"{_HYBRID} SELECT query_id, place, id, path, round(score, 6) AS score, round({_rr('lex')}, 6) AS bm25_score, round(vs, 6) AS vector_score, CASE WHEN wins THEN cs ELSE '' END AS chunk_symbol, CASE WHEN wins THEN sl ELSE 0 END AS start_line FROM hits WHERE place <= 20",
+    "hybrid_concept_fusion": f"WITH {ASKED}, {FILES}, {CHUNKS}, {_QT}, {_QW}, {_FILE_ARM}, {_CHUNK_ARM}, {_VECTOR}, {_QV}, {_COS}, {_CONCEPT_ARM}, {_FUSED_CONCEPTS} SELECT query_id, place, id, path, round(score, 6) AS score, cr AS concept_rank FROM hits WHERE place <= 20",
     "rerank_window": f"""{_W}, {_FILE_ARM}, s AS (SELECT query_id, id, path, snippet, 0.52::DOUBLE * {_rr('rank')} + 0.10::DOUBLE * {_AGE} AS score FROM fw JOIN cur USING (id)),
         p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, id) AS place0 FROM s),
         d AS (SELECT *, -octet_length(encode(CASE WHEN snippet <> '' THEN snippet ELSE path END)) / 1000.0::DOUBLE AS logit FROM p),
