@@ -38,11 +38,14 @@ ISSUED = re.compile(
 # Words in names of passwords, in several languages.
 _PASSWORD = (
     "password passwd passphrase passcode pass pwd passwort kennwort geheim motdepasse passe contrasena contraseña clave senha "
-    "wachtwoord parola mdp mima kouling himitsu 密码 密碼 口令 パスワード 暗証番号"
+    "wachtwoord parola mdp mima kouling himitsu haslo hasło heslo losenord lösenord passord adgangskode salasana jelszo jelszó sifre şifre пароль 密码 密碼 口令 パスワード 暗証番号"
 ).split()
 # Words in names of other credentials.
 _STRONG = "secret secrets credential credentials cred creds apikey authtoken secretkey accesskey privatekey geheimnis schluessel schlüssel zugangsschluessel zugangsschlüssel chave llave sleutel toegangssleutel jeton miyao 密钥 秘密".split()
 _WEAK = "token key auth bearer session cookie jwt pat sas".split()
+# Keys in languages that put the noun first.
+_FOREIGN_KEY = frozenset("cle clé clef clave chave llave chiave schluessel schlüssel sleutel jeton ficha token".split())
+_FOREIGN_OF = frozenset("api acces accès acceso acesso accesso privee privée privada privata secrete secrète secreta segreta".split())
 #: What makes a key or token a credential.
 _KEY_OF = "api access auth private signing sign encryption encrypt hmac master shared account storage service deploy client app secret aes session jwt webhook license admin root".split()
 # Words that say that a value is something else.
@@ -90,7 +93,7 @@ _BARE = re.compile(r"[^\w<]*(?:(?:export|local|set|env|setenv|declare|readonly)\
 _MORE = re.compile(r"\s*(?:\+|\.\.?|\\)?\s*(?:(?://|#|--)\s*)?(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')")
 # What a line must hold, in lower case, for its names and values to be looked at.
 _HINTS = (
-    "pass pwd secret token key cred auth bearer session cookie jwt kennwort geheim schluessel schlüssel contrase clave llave senha chave wachtwoord "
+    "pass pwd secret token key cred auth bearer session cookie jwt kennwort geheim schluessel schlüssel contrase clave llave senha chave chiave clé cle_ wachtwoord haslo hasło heslo losenord lösenord adgangskode salasana jelsz sifre şifre пароль "
     "sleutel parola mdp jeton mima miyao himitsu 密码 密碼 口令 パスワード 暗証 密钥 秘密 identified :// akia asia aiza ghp_ gho_ ghu_ ghs_ ghr_ github_pat "
     "glpat xox npm_ pypi- sk- sk_ pk_ rk_ eyj hf_ sg. dop_v1 ya29 curl mysql"
 ).split()
@@ -210,6 +213,8 @@ def name_strength(name: str) -> int:
         return 3
     if last in _STRONG or any(joined.endswith(s) for s in _STRONG if len(s) > 4 or not s.isascii()):
         return 2
+    if last in _FOREIGN_OF and before in _FOREIGN_KEY:
+        return 2
     if last in _WEAK:
         return 2 if before in _KEY_OF or last in ("bearer", "jwt") else 1
     return 0
