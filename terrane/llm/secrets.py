@@ -30,7 +30,7 @@ ISSUED = re.compile(
     r"|gh[pousr]_[0-9A-Za-z]{30,}|github_pat_[0-9A-Za-z_]{40,}|glpat-[0-9A-Za-z_\-]{20,}"
     r"|xox[abeoprs]-[0-9A-Za-z\-]{16,}"
     r"|npm_[0-9A-Za-z]{30,}|pypi-[0-9A-Za-z_\-]{30,}"
-    r"|(?:sk|rk|pk)_(?:live|test)_[0-9A-Za-z]{16,}|sk-[0-9A-Za-z_\-]{20,}"
+    r"|(?:sk|rk)_(?:live|test)_[0-9A-Za-z]{16,}|sk-[0-9A-Za-z_\-]{20,}"
     r"|SG\.[0-9A-Za-z_\-]{16,}\.[0-9A-Za-z_\-]{16,}|hf_[0-9A-Za-z]{30,}|dop_v1_[0-9a-f]{64}|ya29\.[0-9A-Za-z_\-]{20,}"
     r"|eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}"
     r")(?![A-Za-z0-9_])"
@@ -95,7 +95,7 @@ _MORE = re.compile(r"\s*(?:\+|\.\.?|\\)?\s*(?:(?://|#|--)\s*)?(?:\"((?:[^\"\\\n]
 _HINTS = (
     "pass pwd secret token key cred auth bearer session cookie jwt kennwort geheim schluessel schlüssel contrase clave llave senha chave chiave clé cle_ wachtwoord haslo hasło heslo losenord lösenord adgangskode salasana jelsz sifre şifre пароль "
     "sleutel parola mdp jeton mima miyao himitsu 密码 密碼 口令 パスワード 暗証 密钥 秘密 identified :// akia asia aiza ghp_ gho_ ghu_ ghs_ ghr_ github_pat "
-    "glpat xox npm_ pypi- sk- sk_ pk_ rk_ eyj hf_ sg. dop_v1 ya29 curl mysql"
+    "glpat xox npm_ pypi- sk- sk_ rk_ eyj hf_ sg. dop_v1 ya29 curl mysql"
 ).split()
 _ANY_QUOTE = re.compile(r"[\"'`]")
 #: A string that is given to something.
