@@ -110,8 +110,9 @@ def chunk_words(chunks: DataFrame, files: DataFrame, queries: DataFrame, limit:
 def newest(files: DataFrame, queries: DataFrame, request: Request) -> DataFrame:
     """``query_id, id``: for each query the most recently changed files of the request's filter."""
     chosen = files.filter(request.condition).orderBy(F.desc("mtime_ns"), "id").limit(request.candidates).select("id")
-    # at most as many rows as an arm may recall, for every query of the stated set
-    return queries.select("query_id").withColumn("_", F.lit(1)).join(chosen.withColumn("_", F.lit(1)), "_").drop("_")
+    # one array of at most as many ids as an arm may recall, the same for every query
+    ids = chosen.agg(F.collect_list("id").alias("ids")).scalar()
+    return queries.select("query_id").withColumn("ids", ids).select("query_id", F.explode("ids").alias("id"))
 
 
 def concept_neighbours(queries: DataFrame, concepts: DataFrame, edges: DataFrame, occurrences: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
