@@ -18,8 +18,8 @@ from terrane.functions.text import segment_index, truncate_utf8
 from terrane.functions.vectors import bucket, hash_vectors, model_name
 from terrane.operators import context, graph, inverted, nearest, relational, retrieval
 from terrane.operators.numbering import numbered
-from terrane.plans import sqlgate
-from terrane.snapshot import Store, Version
+from terrane.plans import sqlfunctions, sqlgate
+from terrane.snapshot import SCHEMA_VERSION, Store, Version
 from terrane.sources.extract import EXTRACT_BYTES, HEAD_BYTES, extract_files, read_contents
 from terrane.sources.tree import register
 
@@ -76,10 +76,24 @@ class Engine:
         self.store.current()  # refuses what a newer engine wrote
         self.journal = J.Journal(os.path.join(self.path, "journal"))
         self._open = True
+        sqlfunctions.register(spark)
+        self.migrate()
         J.recover(self.journal, self._rename_rows, self._remove_rows)
 
     # -- versions
 
+    def migrate(self) -> bool:
+        """Brings a version of an older schema up to date by making its derived tables again."""
+        version = self.store.current()
+        if version is None or version.schema >= SCHEMA_VERSION:
+            return False
+        self.rebuild()
+        return True
+
+    def columns(self, name: str) -> list[tuple[str, str]]:
+        """Names and types of a table's columns."""
+        return self.table(name).dtypes
+
     def close(self) -> None:
         self._open = False
 

@@ -107,3 +107,26 @@ def model_name(dimensions: int) -> str:
     if dimensions < 32:
         raise ValueError("a hash embedding needs at least 32 dimensions")
     return f"hash-v2-{dimensions}"
+
+
+@F.pandas_udf(T.BinaryType())
+def _encode(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _decode(blobs: pd.Series, dimensions: pd.Series) -> pd.Series:
+    def one(blob: bytes | None, n: int) -> np.ndarray | None:
+        return np.frombuffer(blob, "<f4") if blob is not None and len(blob) == 4 * n else None
+
+    return pd.Series([one(b, n) for b, n in zip(blobs, dimensions, strict=True)])
+
+
+def encode_vector(a: Column) -> Column:
+    """A vector as the bytes of its little-endian 32-bit floats, as other engines store it."""
+    return _encode(a)
+
+
+def decode_vector(blob: Column, dimensions: Column) -> Column:
+    """The vector of such bytes; null if they don't make so many numbers."""
+    return _decode(blob, dimensions)

@@ -73,6 +73,17 @@ def du_all(files: DataFrame) -> DataFrame:
     return totals.join(files.filter("kind = 'dir'").select("path").distinct(), "path", "left_semi")
 
 
+def containing(files: DataFrame, text: str, limit: int = 50) -> DataFrame:
+    """The largest files whose name or content holds a text, letter case aside."""
+    pattern = "%" + text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
+    return files.filter(F.col("name").ilike(pattern) | F.col("content_head").ilike(pattern)).select("path", "kind", "size").orderBy(F.desc("size"), "path").limit(limit)
+
+
+def by_extension(files: DataFrame, ending: str, limit: int = 50) -> DataFrame:
+    """Files whose name ends in a dot and ``ending``."""
+    return files.filter((F.col("kind") == "file") & F.col("name").endswith(f".{ending}")).select("path", "size").orderBy("path").limit(limit)
+
+
 def tags(files: DataFrame) -> DataFrame:
     """``file_id, tag``, each pair once, from the words of ``tags_text``."""
     words = F.filter(F.split(F.coalesce("tags_text", F.lit("")), r"\s+"), lambda t: t != "")

@@ -120,6 +120,14 @@ def remove_subtree(spark, d):
     return left["chunks"].groupBy("file_id").agg(F.count_distinct("id").alias("chunks"))
 
 
+def containing(spark, d):
+    return R.containing(_files(spark, d, "size", "name", "path", "kind", "content_head"), "journal_")
+
+
+def by_extension(spark, d):
+    return R.by_extension(_base(spark, d), "rs")
+
+
 def check_report(spark, d):
     return R.check(_base(spark, d), table(spark, d, "chunks"), table(spark, d, "file_embeddings"), table(spark, d, "concept_occurrences"), table(spark, d, "concepts"))
 
@@ -132,7 +140,7 @@ _BYTES = "CAST(coalesce(sum(CASE WHEN kind = 'file' THEN size ELSE 0 END), 0) AS
 
 QUERIES = {f.__name__: f for f in (
     ls_children, big_files, du_subtree, du_subtree_recursive, du_all_folders, by_tag, tags_listed, tags_all, kind_counts, path_prefix, subtree_filter,
-    size_range, path_parts, include_policy, exclude_policy, scan_order, stale_anti_join, skip_unchanged_reuse, upsert_merge, rename_subtree, remove_subtree, check_report,
+    size_range, path_parts, include_policy, exclude_policy, scan_order, stale_anti_join, skip_unchanged_reuse, upsert_merge, rename_subtree, remove_subtree, containing, by_extension, check_report,
 )}
 SQL = {
     "ls_children": f"{_WITH} SELECT name, path, kind, size, mtime_ns FROM cur WHERE parent_id = (SELECT max(id) FROM cur WHERE path = '{_ROOT}')",
@@ -172,6 +180,8 @@ SQL = {
         CASE WHEN {_IN} THEN '/srv/moved/elsewhere' || substr(path, {len(_ROOT) + 1}) ELSE path END AS path,
         CASE WHEN scan_root = '{_ROOT}' OR starts_with(scan_root, '{_ROOT}/') THEN '/srv/moved/elsewhere' || substr(scan_root, {len(_ROOT) + 1}) ELSE scan_root END AS scan_root FROM cur""",
     "remove_subtree": f"{_WITH} SELECT file_id, count(DISTINCT id) AS chunks FROM chunks WHERE file_id NOT IN (SELECT id FROM cur WHERE {_IN}) GROUP BY file_id",
+    "containing": f"{_WITH} SELECT path, kind, size FROM cur WHERE contains(lower(name), 'journal_') OR contains(lower(content_head), 'journal_') ORDER BY size DESC, path LIMIT 50",
+    "by_extension": f"{_WITH} SELECT path, size FROM cur WHERE kind = 'file' AND ends_with(name, '.rs') ORDER BY path LIMIT 50",
     "check_report": f"""{_WITH}
         SELECT 'file_rows' AS item, count(*) AS n FROM cur
         UNION ALL SELECT 'repeated_paths', count(*) FROM (SELECT path FROM cur GROUP BY path HAVING count(*) > 1)

@@ -75,3 +75,25 @@ def test_exact_and_probed_search(spark):
     probed = nearest.probed_topk(data.filter("id < 900"), queries, 5, limit=1000).collect()
     assert {(r.query_id, r.id) for r in probed if r.cosine > 0.999} >= {(q, q) for q in range(0, 300, 20)}
     assert nearest.topk(data.filter("id < 900"), queries, 5, 1000, exact_limit=10).count() <= nearest.topk(data.filter("id < 900"), queries, 5, 1000).count()
+
+
+def test_bytes_of_vectors(spark):
+    df = spark.createDataFrame([([1.5, -2.0], 2), ([1.0], 2), (None, 2)], "v array<float>, n int")
+    got = df.select(V.decode_vector(V.encode_vector(F.col("v")), F.col("n")).alias("v")).collect()
+    assert [r.v for r in got] == [[1.5, -2.0], None, None]
+    assert df.select(V.encode_vector(F.col("v"))).first()[0] == np.array([1.5, -2.0], "<f4").tobytes()
+
+
+def test_functions_in_sql(spark):
+    from terrane.functions import text as X
+    from terrane.plans.sqlfunctions import register
+
+    assert "cosine_of" in register(spark)
+    texts = ["S参数 索引_x", "Café load_vector", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    df.createOrReplaceTempView("texts")
+    got = spark.sql("SELECT analyze_terms(t) AS a, index_tokens(t) AS i FROM texts").collect()
+    want = df.select(X.analyze_terms(F.col("t")).alias("a"), X.index_tokens(F.col("t")).alias("i")).collect()
+    assert got == want
+    row = spark.sql("SELECT cosine_of(array(3F, 4F), array(30F, 40F)) AS a, cosine_of(array(1F), array(1F, 2F)) AS b, fts_match('the load_vector', 'is VECTOR') AS c, fts_match('the table', 'the is') AS d, within_path('/a/bc', '/a/b') AS e, fts_match('x load vector y', 'load_vector') AS f").first()
+    assert (row.a, row.b, row.c, row.d, row.e, row.f) == (1.0, 0.0, True, False, False, True)
