@@ -101,13 +101,9 @@ def by_tag(files: DataFrame, file_tags: DataFrame, tag: str) -> DataFrame:
     return files.join(chosen, "id", "left_semi").select("path", "kind", "size").orderBy(F.desc("size"), "path")
 
 
-def with_all_tags(files: DataFrame, wanted: Sequence[str]) -> Column | DataFrame:
+def with_all_tags(files: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Files whose ``tags_text`` holds every tag as a word."""
-    words = F.split(F.trim(F.coalesce("tags_text", F.lit(""))), r"\s+")
-    condition = F.lit(True)
-    for tag in wanted:
-        condition = condition & F.array_contains(words, tag)
-    return files.filter(condition)
+    return files.filter(metadata_filter(wanted_tags=wanted))
 
 
 def metadata_filter(kinds: Sequence[str] = (), wanted_tags: Sequence[str] = (), prefix: str = "", min_size: int = 0, max_size: int = 0) -> Column:

@@ -60,15 +60,16 @@ def local_bm25(recalled: DataFrame, rows: DataFrame, queries: DataFrame, text: C
     A row's text is analysed once, however many queries recalled it, and only the queries' words of it are kept.
     """
     needed = rows.join(recalled.select(F.col("id").alias(id)).distinct(), id, "left_semi").select(F.col(id).alias("id"), analyze_terms(text).alias("terms"))
-    lengths = needed.select("id", F.size("terms").alias("length"))
+    needed = checkpointed(needed)  # analysed once; at most what the arm may recall
     asked = queries.select("query_id", F.explode(distinct_terms(analyze_terms(F.col("query_text")))).alias("term"))
     vocabulary = asked.select("term").distinct()
     tf = needed.select("id", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    corpus = recalled.join(lengths, "id").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    hits = recalled.join(asked, "query_id").join(tf, ["id", "term"])
-    frequency = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    # the windows see at most the recalled rows of one query
+    corpus, word = Window.partitionBy("query_id"), Window.partitionBy("query_id", "term")
+    known = recalled.join(needed.select("id", F.size("terms").alias("length")), "id").withColumn("n", F.count(F.lit(1)).over(corpus)).withColumn("average", F.avg("length").over(corpus))
+    hits = known.join(asked, "query_id").join(tf, ["id", "term"]).withColumn("df", F.count(F.lit(1)).over(word))
     weight = bm25(F.col("tf"), F.col("length"), F.col("average"), F.col("n"), F.col("df"))
-    scored = hits.join(frequency, ["query_id", "term"]).join(corpus, "query_id").join(lengths, "id").groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
+    scored = hits.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
     # what was recalled by the index may hold no word of the analyser: it has score 0, yet a rank
     return recalled.join(scored, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
 

@@ -21,7 +21,7 @@ def script_runs(spark, d):
 
 def analyze_terms(spark, d):
     t = X.analyze_terms(F.col("content"))
-    return _chunks(spark, d).select("id", F.size(t).alias("n_terms"), F.size(X.distinct_terms(t)).alias("n_distinct"), F.xxhash64(t).isNotNull().alias("known"), F.array_join(F.slice(t, 1, 40), " ").alias("beginning"))
+    return _chunks(spark, d).select("id", F.size(t).alias("n_terms"), F.size(X.distinct_terms(t)).alias("n_distinct"), F.array_join(F.slice(t, 1, 40), " ").alias("beginning"))
 
 
 def index_tokens(spark, d):
@@ -97,7 +97,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 SQL = {
     "script_runs": f"{_C} SELECT id, {runs('content')} AS runs FROM ch",
-    "analyze_terms": f"{_C} SELECT id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, true AS known, array_to_string(t[1:40], ' ') AS beginning FROM (SELECT id, {terms('content')} AS t FROM ch)",
+    "analyze_terms": f"{_C} SELECT id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, array_to_string(t[1:40], ' ') AS beginning FROM (SELECT id, {terms('content')} AS t FROM ch)",
     "index_tokens": f"SELECT doc_id, len(t) AS n, array_to_string(t[1:30], ' ') AS beginning FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "segment_index": f"{_C} SELECT id, array_to_string(flatten(list_transform(list_filter({runs('content')}, lambda r: {is_cjk('r')}), lambda r: {bigrams('r')})), ' ') AS search_text FROM ch",
     "match_phrases": f"SELECT query_text, list_sort({phrases('query_text')}) AS phrases FROM (SELECT DISTINCT query_text FROM search_hits)",
