@@ -58,7 +58,7 @@ _VENDORED = re.compile(
 )
 _PRESERVED = re.compile(r"^\s*/\*!\s*\n?\s*\*?\s*[\w.\-@/ ]+\s+v?\d+\.\d+(?:\.\d+)?")
 
-_COMMENT = re.compile(r"^\s*(?://+|#(?!\!|include|define|if|pragma)|/\*+!?|\*+/?|--|;+|<!--|\"\"\"|'''|%)\s?(.*?)(?:\*/|-->)?\s*$")
+_COMMENT = re.compile(r"\s*(?://+|#(?!\!|include|define|if|pragma)|/\*+!?|\*+/?|--|;+|<!--|\"\"\"|\'\'\'|%)")
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w.])")
 _RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|(?:\\x[0-9a-fA-F]{2}){10,}|[0-9a-fA-F]{48,}")
 _DIGITS = re.compile(r"\d+(?:\.\d+)?")
@@ -123,7 +123,7 @@ def layout(text: str) -> Layout:
         mean=n / len(plain),
         white=sum(map(str.isspace, body)) / n,
         alnum=sum(map(str.isalnum, body)) / n,
-        numbers=numbers / (numbers + words),
+        numbers=numbers / max(1, numbers + words),
         runs=sum(bool(_RUN.search(x)) for x in code) / len(code),
         repeated=most / max(1, sum(shapes.values())),
     )
@@ -133,8 +133,8 @@ def header(text: str, most: int = 20) -> list[str]:
     """The comments among the first lines, without their markers."""
     out = []
     for line in text.split("\n", most)[:most]:
-        if m := _COMMENT.match(line.rstrip("\r")):
-            out.append(m.group(1))
+        if m := _COMMENT.match(line):
+            out.append(line[m.end() :].strip().removesuffix("*/").removesuffix("-->").rstrip())
     return out
 
 

@@ -30,7 +30,7 @@ _HAS_CJK = re.compile(f"[{_CJK}\U00020000-\U0003ffff]")
 _WORD = re.compile(f"[^\\W_{_CJK}\U00020000-\U0003ffff]+")
 _ALNUM = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,100}>")
-_LINK = re.compile(r"\]\([^()\s]*\)")
+_LINK = re.compile(r"\]\([^()\s]{0,500}\)")
 _MARKS = re.compile("[­̀-ͯ​-‏⁠︀-️﻿'‘’ʼ`´‐‑-]")
 _ASCII_MARKS = re.compile("['`-]")
 

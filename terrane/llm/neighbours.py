@@ -170,7 +170,7 @@ def scan(queries: np.ndarray, packed: np.ndarray, centres: np.ndarray) -> np.nda
 
 
 def _search(shared, k: int, candidates: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         book = pickle.loads(shared.value[key[0]])
         asks = frame["asks"].to_numpy(bool)
         stored, asking = frame[~asks], frame[asks]
@@ -249,7 +249,7 @@ def nearest(
     if not sizes:
         return spark.createDataFrame([], "model string, id long, other long, cosine double")
 
-    def fit_model(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fit_model(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         x = _unit(np.stack(frame["vector"].to_numpy()))
         book = fit(x, sizes[key[0]], k, leaf_rows)
         return pd.DataFrame({"model": [key[0]], "book": [pickle.dumps(book)]})

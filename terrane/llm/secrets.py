@@ -60,7 +60,7 @@ _PLACEHOLDER = re.compile(
     r"|<.*>|\{.*\}|\$\{.*|\$\(.*|\$[A-Z_][A-Z0-9_]*|%\(.*|%[A-Z0-9_]+%|\{\{.*|#\{.*|env:.*|vault:.*|file:.*|ssm:.*|secretsmanager:.*|op:.*|ref[+:].*|arn:.*|/.*|\./.*|@.*"
     r"|(?:os|process|system|env|config|settings|secrets|vault)\..*|(?:get)?env\(.*|null|none|nil|true|false|undefined|test|secret|password|passwd|token|key|string|n/a|hidden)$"
 )
-_WORDS_ONLY = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[-_ ./:](?:[A-Za-z]?[a-z]+|[A-Z]+))*$")
+_WORDS_ONLY = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_ ./:](?:[A-Z]?[a-z]+|[A-Z]+))*$")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _NOT_SECRET = re.compile(r"(?:ssh-(?:rsa|dss|ed25519)|ecdsa-\S+)\s+AAAA|sha(?:1|256|384|512)[-:]|data:|-----BEGIN (?:RSA |EC )?PUBLIC|urn:")
 
@@ -69,20 +69,20 @@ _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _OTHER_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.DOTALL)
 _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 
-_URL = re.compile(r"\b[a-z][a-z0-9+.\-]{1,20}://([^\s:/@\"'`<>]*):([^\s@\"'`<>]+?)@(?=[A-Za-z0-9\[\-.])", re.IGNORECASE)
+_URL = re.compile(r"\b[a-z][a-z0-9+.\-]{1,20}://([^\s:/@\"'`<>]{0,200}):([^\s@\"'`<>]{1,300}?)@(?=[A-Za-z0-9\[\-.])", re.IGNORECASE)
 _HEADER = re.compile(r"\b(?:proxy-)?authorization\b[\"']?\s*[:=,]\s*[\"']?\s*(?:bearer|basic|token|digest|apikey)\s+([^\s\"'`,;]+)|\bx-[a-z\-]*(?:api|auth|access)[a-z\-]*(?:key|token)\b[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;]+)", re.IGNORECASE)
 _FLAG = re.compile(
     r"\bsshpass\s+-p\s*[\"']?([^\s\"'`]+)"
     r"|(?<![\w-])--?(?:password|passwd|pass|pwd|token|api-?key|secret|secret-key|access-key|auth-?token|client-secret)(?:=|\s+)[\"']?([^\s\"'`;,]+)"
-    r"|\bcurl\b[^\n]*?\s(?:-u|--user)\s*[\"']?[^\s:\"']+:([^\s\"'`@]+)"
-    r"|\bmysql(?:dump)?\b[^\n]*?\s-p([^\s\"'`]+)"
+    r"|\bcurl\b[^\n]{0,400}?\s(?:-u|--user)\s*[\"']?[^\s:\"']+:([^\s\"'`@]+)"
+    r"|\bmysql(?:dump)?\b[^\n]{0,400}?\s-p([^\s\"'`]+)"
     r"|\bIDENTIFIED\s+BY\s+[\"']([^\"'\n]+)"
     r"|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(\S+)",
     re.IGNORECASE,
 )
 #: A name, what may stand between it and its value, and the value in quotes.
 _ASSIGN = re.compile(
-    r"(?P<name>[^\W\d][\w.\-]*)[\"'`]?\]?\s*"
+    r"(?<![\w.])(?P<name>[^\W\d][\w.\-]{0,100})[\"'`]?\]?\s{0,20}"
     r"(?:(?::\s*(?:&?(?:'static\s+)?[A-Za-z]+|\[\]byte)\s*)?(?P<op>:=|=>|==|=|:|>|,)\s*|[ \t]+(?=[\"']))"
     r"(?:\(\s*(?:(?://|#|--)\s*)?)?(?:[rbuf](?=[\"'])|\[\]byte\()?"
     r"(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)"
