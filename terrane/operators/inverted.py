@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from terrane.durable import checkpointed
 from terrane.functions.scores import bm25
-from terrane.functions.text import index_tokens, match_phrases
+from terrane.functions.text import analyze_terms, index_tokens, match_phrases
+from terrane.tables import spread
 
 #: Columns of the two indexes.
 FILE_FIELDS = ("name", "path", "tags_text", "content_head", "search_text")
@@ -26,6 +27,21 @@ def postings(rows: DataFrame, fields: Sequence[str], id: str = "id") -> DataFram
     return rows.select(F.col(id).alias("id"), F.explode(F.concat(*each)).alias("p")).select("p.token", "id", "p.field", "p.pos")
 
 
+def term_statistics(rows: DataFrame, text: str) -> DataFrame:
+    """``term, cf, df``: how often a term occurs, and in how many rows.
+
+    Each row gives its terms once for each occurrence and once for itself, so both numbers are sums that are combined
+    before the shuffle, and no row is sent anywhere.
+    """
+    terms = F.col("terms")  # a projection of its own, so that a text is analysed once
+    each = F.concat(
+        F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("row"))),
+        F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("row"))),
+    )
+    counted = spread(rows.select(text)).select(analyze_terms(F.col(text)).alias("terms")).select(F.explode(each).alias("t")).select("t.term", "t.row")
+    return counted.groupBy("term").agg(F.sum(1 - F.col("row")).alias("cf"), F.sum("row").alias("df"))
+
+
 def query_phrases(queries: DataFrame, query_id: str = "query_id", text: str = "query_text") -> DataFrame:
     """``query_id, phrase, token, offset, n``: the tokens of each phrase that a query asks for."""
     phrases = queries.select(F.col(query_id).alias("query_id"), F.posexplode(match_phrases(F.col(text))).alias("phrase", "t"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from terrane.functions import text as X
 from terrane.functions.vectors import term_hash
 from terrane.operators.chunking import window_chunks as windows
+from terrane.operators.inverted import term_statistics
 from terrane.operators.relational import current_files
 from terrane.queries.common import CHUNKS, FILES, bigrams, is_cjk, phrases, quoted, runs, terms, tokens, trimmed
 from terrane.tables import table
@@ -44,8 +45,7 @@ def term_frequencies(spark, d):
 
 
 def document_frequencies(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(X.analyze_terms(F.col("text"))).alias("term"))
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.count_distinct("doc_id").alias("df"))
+    return term_statistics(table(spark, d, "documents"), "text")
 
 
 def window_chunks(spark, d):

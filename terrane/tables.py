@@ -23,3 +23,17 @@ def latest(df: DataFrame, keys: Iterable[str], version: str, columns: Iterable[s
     keys, columns = list(keys), [c for c in columns if c != version]
     best = F.max(F.struct(F.col(version), *(F.col(c) for c in columns))).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, *(F.col(f"_best.{c}").alias(c) for c in [version, *columns]))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that is heavy for each row: if it is a plain scan of fewer pieces than there are cores, its rows
+    are dealt out to all of them.
+
+    A scan can't split a row group, so a small file with much text keeps one core busy. A table that is read in at
+    least as many pieces as there are cores, as any large one is, stays as it is and costs no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":  # it has a shuffle already
+        return df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
