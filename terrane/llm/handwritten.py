@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.tables import latest
+from terrane.tables import latest, spread
 
 # Folders that hold other projects' files, and pairs of folders that do so together.
 VENDOR_FOLDERS = frozenset(
@@ -190,5 +190,5 @@ def origins(files: DataFrame) -> DataFrame:
         F.col("id").cast("long").alias("file_id"), F.col("indexed_at_ns").cast("long").alias("version"), "path", "name", "content_head"
     )
     # judged before the latest row is chosen, so no content is shuffled
-    judged = rows.mapInArrow(_judge, "file_id long, version long, origin string")
+    judged = spread(rows).mapInArrow(_judge, "file_id long, version long, origin string")
     return latest(judged, ["file_id"], "version", ["origin"]).select("file_id", "origin")

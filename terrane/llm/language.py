@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.tables import spread
+
 # Language codes and names in ISO 639 and in the languages themselves.
 NAMES = {
     "de": "ger deu german deutsch",
@@ -334,7 +336,7 @@ def language_segments(documents: DataFrame, doc_id: str = "doc_id", text: str =
     model = model or fit_model(documents, text, lang, doc_id)
     shared = documents.sparkSession.sparkContext.broadcast((model.words, model.grams))
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_segment(shared), _SEGMENTS)
+    return spread(rows).mapInArrow(_segment(shared), _SEGMENTS)
 
 
 def document_languages(found: DataFrame) -> DataFrame:

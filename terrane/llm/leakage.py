@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.tables import spread
+
 _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _HAS_CJK = re.compile(f"[{_CJK}\U00020000-\U0003ffff]")
 _WORD = re.compile(f"[^\\W_{_CJK}\U00020000-\U0003ffff]+")
@@ -292,6 +294,7 @@ def leaked_items(
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL AND text <> ''")
+    docs = spread(docs)
     known = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL AND text <> ''").distinct()
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_chars))

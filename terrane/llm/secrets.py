@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.tables import spread
+
 # Published forms of tokens.
 ISSUED = re.compile(
     r"(?<![A-Za-z0-9_])(?:"
@@ -424,7 +426,7 @@ def credentials(rows: DataFrame, place: str, id: str = "id", text: str = "conten
     """
     number = F.col(version).cast("long") if version else F.lit(0).cast("long")
     texts = rows.select(F.lit(place).alias("place"), F.col(id).cast("long").alias("row_id"), number.alias("version"), F.col(text).alias("text"))
-    found = texts.filter("text IS NOT NULL AND text <> ''").mapInArrow(_scan, _FOUND).distinct()
+    found = spread(texts.filter("text IS NOT NULL AND text <> ''")).mapInArrow(_scan, _FOUND).distinct()
     if version:
         newest = rows.groupBy(F.col(id).cast("long").alias("id_")).agg(F.max(number).alias("version_"))
         found = found.join(newest, F.col("row_id").eqNullSafe(F.col("id_")) & F.col("version").eqNullSafe(F.col("version_")), "left_semi")
@@ -434,4 +436,4 @@ def credentials(rows: DataFrame, place: str, id: str = "id", text: str = "conten
 def redacted(rows: DataFrame, place: str, id: str = "id", text: str = "content") -> DataFrame:
     """``place, row_id, redacted, n_credentials``: every row's text with its credentials replaced; null stays null."""
     texts = rows.select(F.lit(place).alias("place"), F.col(id).cast("long").alias("row_id"), F.col(text).alias("text"))
-    return texts.mapInArrow(_redact, "place string, row_id long, redacted string, n_credentials int")
+    return spread(texts).mapInArrow(_redact, "place string, row_id long, redacted string, n_credentials int")

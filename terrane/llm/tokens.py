@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.durable import written
+from terrane.tables import spread
 
 #: Where the public vocabularies lie; every function takes another path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -135,7 +136,7 @@ def encode_corpus(
     with open(vocabulary, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = written(rows.mapInArrow(_blocks(block_tokens, block_docs), _BLOCK), "pretokens")
+    blocks = written(spread(rows).mapInArrow(_blocks(block_tokens, block_docs), _BLOCK), "pretokens")
     words = blocks.filter("word IS NOT NULL").select("block", "place", "word")
     encoded = words.select("word").distinct().mapInArrow(_encode_words(shared), "word string, ids array<int>")
     back = words.join(encoded, "word").select("block", "place", "ids")
