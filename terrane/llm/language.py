@@ -76,7 +76,7 @@ def label_code(label: Column) -> Column:
     plain = F.lower(F.trim(label))
     first = F.regexp_extract(plain, r"^([^\-_ .()]+)", 1)
     known = F.create_map(*(F.lit(x) for code, names in NAMES.items() for name in (code, *names.split()) for x in (name, code)))
-    return F.coalesce(F.get(F.transform(F.array(plain), lambda x: known[x]), F.lit(0)), known[first])
+    return F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, first))
 
 
 def prose_lines(text: str) -> list[tuple[int, str, int]]:
