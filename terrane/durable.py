@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,4 +47,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that :func:`written` made in this process, once their results are stored; returns their number.
+
+    Frames that still read them fail afterwards. Checkpoints are Spark's to clean
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(hadoop).delete(path, True)
+    return gone
