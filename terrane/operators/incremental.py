@@ -28,7 +28,7 @@ def _blank(c: Column) -> Column:
 def changed_files(files: DataFrame, index_state: DataFrame, scan_runs: DataFrame) -> DataFrame:
     """The files that the running run of their root must process: ``file_id, run_id, model, reason``.
 
-    A file's state is its row with the greatest ``indexed_at_ns``; its record is the one that the succeeded run with
+    A file's state is its row with the greatest ``indexed_at_ns``, and it counts if its kind is ``file`` then; its record is the one that the succeeded run with
     the greatest ``started_at`` left, however late it was committed. It is due if there is no record
     (``new``), if the record's model is not the running run's (``model``), or if the contents differ
     (``content``): by hash without regard to letter case, or by size or time where either hash is null or blank.
@@ -38,12 +38,8 @@ def changed_files(files: DataFrame, index_state: DataFrame, scan_runs: DataFrame
     equals only a null model. Extra columns are never read. Records of runs that failed, were aborted or still run
     are ignored, so a repeated or resumed run sees the same files again.
     """
-    current = latest(
-        files.filter((F.col("kind") == "file") & F.col("id").isNotNull()),
-        ["id"],
-        "indexed_at_ns",
-        ["scan_root", "size", "mtime_ns", "content_hash"],
-    ).select(
+    states = latest(files.filter("id IS NOT NULL"), ["id"], "indexed_at_ns", ["scan_root", "size", "mtime_ns", "content_hash", "kind"])
+    current = states.filter("kind = 'file'").select(
         F.col("id").alias("file_id"),
         "scan_root",
         F.col("size").alias("now_size"),

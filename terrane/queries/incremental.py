@@ -18,9 +18,9 @@ def p7_reasons(spark: SparkSession, d: str) -> DataFrame:
 _DUE = """
 WITH cur AS (
   SELECT * FROM (
-    SELECT id, scan_root, size, mtime_ns, lower(trim(content_hash)) AS h,
+    SELECT id, kind, scan_root, size, mtime_ns, lower(trim(content_hash)) AS h,
            row_number() OVER (PARTITION BY id ORDER BY indexed_at_ns DESC, scan_root DESC, size DESC, mtime_ns DESC) AS rn
-    FROM files WHERE kind = 'file' AND id IS NOT NULL) WHERE rn = 1),
+    FROM files WHERE id IS NOT NULL) WHERE rn = 1 AND kind = 'file'),
 ok AS (SELECT run_id, max(started_at) AS started_at FROM scan_runs WHERE status = 'succeeded' GROUP BY run_id),
 rec AS (
   SELECT * FROM (
