@@ -174,21 +174,22 @@ def judge(path: str | None, name: str | None, text: str | None) -> str | None:
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds = [judge(*row) for row in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string())], ["file_id", "version", "origin"])
+        rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)
+        found = [judge(path, name, text) if kind == "file" else None for kind, path, name, text in rows]
+        columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["file_id", "version", "kind", "origin"])
 
 
 def origins(files: DataFrame) -> DataFrame:
     """``file_id, origin`` of each file: generated, minified, vendored, data, or null for hand-written source.
 
-    Rows of other kinds than ``file`` are left out; of the rows with one id the one with the greatest indexed_at_ns
-    counts; a null id stays out. A file without path, name and content is hand-written, as nothing says otherwise;
+    Of the rows with one id the one with the greatest indexed_at_ns counts, and only if its kind is ``file``; a null id stays out. A file without path, name and content is hand-written, as nothing says otherwise;
     one without content is told by path and name. What is read of a content is all of it. Extra columns are never
     read; an empty table gives an empty result.
     """
-    rows = files.filter((F.col("kind") == "file") & F.col("id").isNotNull()).select(
-        F.col("id").cast("long").alias("file_id"), F.col("indexed_at_ns").cast("long").alias("version"), "path", "name", "content_head"
+    rows = files.filter("id IS NOT NULL").select(
+        F.col("id").cast("long").alias("file_id"), F.col("indexed_at_ns").cast("long").alias("version"), "kind", "path", "name", "content_head"
     )
     # judged before the latest row is chosen, so no content is shuffled
-    judged = spread(rows).mapInArrow(_judge, "file_id long, version long, origin string")
-    return latest(judged, ["file_id"], "version", ["origin"]).select("file_id", "origin")
+    judged = spread(rows).mapInArrow(_judge, "file_id long, version long, kind string, origin string")
+    return latest(judged, ["file_id"], "version", ["origin", "kind"]).filter("kind = 'file'").select("file_id", "origin")

@@ -58,6 +58,7 @@ def test_operator(spark):
     rows = [
         (1, "file", "/r/a.py", "a.py", PY, 2), (1, "file", "/r/a.py", "a.py", "# @generated by x\n" + PY, 1), (2, "dir", "/r/vendor/x", "x", None, 1),
         (3, "file", "/r/vendor/b.py", "b.py", None, None), (4, "file", None, None, None, 1), (None, "file", "/r/vendor/c.py", "c.py", PY, 1),
+        (5, "file", "/r/vendor/d.py", "d.py", PY, 1), (5, "symlink", "/r/vendor/d.py", "d.py", "", 2),
     ]
     df = spark.createDataFrame(rows, "id long, kind string, path string, name string, content_head string, indexed_at_ns long").selectExpr("*", "'x' AS origin", "1L AS file_id")
     assert {(r.file_id, r.origin) for r in origins(df).collect()} == {(1, None), (3, "vendored"), (4, None)}
