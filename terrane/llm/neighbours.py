@@ -1,10 +1,12 @@
 """Most similar vectors for every vector: anisotropic quantisation, four-bit table scans, exact reranking.
 
 For each model a codebook is fitted on a bounded sample: leaves (k-means) and, for each pair of dimensions, sixteen
-centres that minimise the score-aware loss, in which the part of the residual that is parallel to the vector weighs
-``eta`` times the rest. Every vector is stored once, in its nearest leaf, as four bits a pair of dimensions, and asks
-the leaves that the sample showed to be enough. A leaf is cut into blocks of stored vectors and of queries, so a leaf
-that holds a third of all rows is many tasks; in each, table scans pick candidates, whose exact cosines are returned.
+centres that minimise the score-aware loss, in which the part of the error that is parallel to the vector weighs
+``eta`` times the rest. Every vector is stored once, in its nearest leaf, as the length of its residual to the leaf's
+centre and four bits a pair of dimensions of the residual's direction, and asks the leaves that the sample showed to be
+enough. A leaf is cut into blocks of stored vectors and of queries, so a leaf that holds a third of all rows is many
+tasks; in each, table scans pick candidates, whose exact cosines are returned. Where the codes' errors leave it open
+whether another vector of the block is nearer, the query is compared with the whole block.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from terrane.durable import written
 
 
 _SPACE = "\x1f"
+#: More than single precision may lose in a sum of products of unit vectors.
+_ROUNDING = 1e-4
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -41,20 +45,32 @@ def eta(dimensions: int, threshold: float = 0.2) -> float:
     return max(1.0, (dimensions - 1) * threshold**2 / (1 - threshold**2))
 
 
-def quantise(x: np.ndarray, centres: np.ndarray, weight: float, passes: int = 2) -> np.ndarray:
-    """Codes (n, m) of unit vectors by coordinate descent on the score-aware loss; ``centres`` is (m, 16, 2)."""
+def _residual(x: np.ndarray, leaves: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Direction (zero if there is none) and length of the way from each vector's leaf centre to it."""
+    rest = x - leaves[home]
+    length = np.linalg.norm(rest, axis=1)
+    return rest / np.maximum(length, 1e-12)[:, None], length
+
+
+def _decode(codes: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return centres[np.arange(len(centres)), codes].reshape(len(codes), -1)
+
+
+def quantise(x: np.ndarray, centres: np.ndarray, weight: float, passes: int = 2, coded: np.ndarray | None = None) -> np.ndarray:
+    """Codes (n, m) of ``coded`` (else of ``x``) by coordinate descent on the score-aware loss of the unit vectors ``x``; ``centres`` is (m, 16, 2)."""
     n, m = len(x), len(centres)
     parts = x.reshape(n, m, 2)
+    goal = parts if coded is None else coded.reshape(n, m, 2)
     codes = np.empty((n, m), np.uint8)
     along = np.zeros((n, m), np.float32)
     for j in range(m):
-        d = parts[:, j, None, :] - centres[j]
+        d = goal[:, j, None, :] - centres[j]
         codes[:, j] = (d * d).sum(2).argmin(1)
-        along[:, j] = ((parts[:, j] - centres[j][codes[:, j]]) * parts[:, j]).sum(1)
+        along[:, j] = ((goal[:, j] - centres[j][codes[:, j]]) * parts[:, j]).sum(1)
     total = along.sum(1)
     for _ in range(passes):
         for j in range(m):
-            d = parts[:, j, None, :] - centres[j]
+            d = goal[:, j, None, :] - centres[j]
             own = (d * parts[:, j, None, :]).sum(2)
             rest = (total - along[:, j])[:, None]
             best = ((d * d).sum(2) + (weight - 1) * (rest + own) ** 2).argmin(1)
@@ -65,20 +81,21 @@ def quantise(x: np.ndarray, centres: np.ndarray, weight: float, passes: int = 2)
     return codes
 
 
-def _fit_centres(x: np.ndarray, weight: float, rounds: int, rng: np.random.Generator) -> np.ndarray:
+def _fit_centres(x: np.ndarray, weight: float, rounds: int, rng: np.random.Generator, coded: np.ndarray | None = None) -> np.ndarray:
     n, m = len(x), x.shape[1] // 2
     parts = x.reshape(n, m, 2)
-    centres = np.stack([parts[rng.choice(n, 16, replace=n < 16), j] + rng.normal(0, 1e-4, (16, 2)) for j in range(m)]).astype(np.float32)
+    goal = parts if coded is None else coded.reshape(n, m, 2)
+    centres = np.stack([goal[rng.choice(n, 16, replace=n < 16), j] + rng.normal(0, 1e-4, (16, 2)) for j in range(m)]).astype(np.float32)
     for _ in range(rounds):
-        codes = quantise(x, centres, weight, passes=1)
+        codes = quantise(x, centres, weight, 1, coded)
         chosen = centres[np.arange(m), codes]
-        along = ((parts - chosen) * parts).sum(2)
+        along = ((goal - chosen) * parts).sum(2)
         total = along.sum(1)
         for j in range(m):
-            p = parts[:, j].astype(np.float64)
+            p, g = parts[:, j].astype(np.float64), goal[:, j].astype(np.float64)
             rest = total - along[:, j]
             outer = np.eye(2) + (weight - 1) * p[:, :, None] * p[:, None, :]
-            target = p + (weight - 1) * (rest + (p * p).sum(1))[:, None] * p
+            target = g + (weight - 1) * (rest + (g * p).sum(1))[:, None] * p
             for c in range(16):
                 own = codes[:, j] == c
                 if own.any():
@@ -116,11 +133,11 @@ def fit(x: np.ndarray, rows: int, k: int = 10, leaf_rows: int = 4096, most_leave
     rng = np.random.default_rng(seed)
     count = int(min(most_leaves, max(1, round(rows / leaf_rows)), max(1, len(x) // 16)))
     leaves = _fit_leaves(x, count, rng)
-    padded = _padded(x)
+    way, _ = _residual(x, leaves, (x @ leaves.T).argmax(1))
     weight = eta(x.shape[1])
     return {
         "leaves": leaves,
-        "centres": _fit_centres(padded, weight, 6, rng),
+        "centres": _fit_centres(_padded(x), weight, 6, rng, _padded(way)),
         "weight": weight,
         "probes": _enough(x, leaves, k, target),
     }
@@ -128,7 +145,7 @@ def fit(x: np.ndarray, rows: int, k: int = 10, leaf_rows: int = 4096, most_leave
 
 def _assign(shared, copies: dict):
     """Each vector once as stored, with its codes, and once for each leaf it asks."""
-    columns = ["model", "leaf", "block", "part", "asks", "id", "vector", "codes"]
+    columns = ["model", "leaf", "block", "part", "asks", "id", "vector", "codes", "length", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         books = {m: pickle.loads(b) for m, b in shared.value.items()}
@@ -138,7 +155,9 @@ def _assign(shared, copies: dict):
                 x = _unit(np.stack(own["vector"].to_numpy()))
                 ids = own["id"].to_numpy(np.int64)
                 near = np.argsort(-(x @ book["leaves"].T), axis=1, kind="stable")[:, : book["probes"]]
-                codes = quantise(_padded(x), book["centres"], book["weight"])
+                way, length = _residual(x, book["leaves"], near[:, 0])
+                codes = quantise(_padded(x), book["centres"], book["weight"], coded=_padded(way))
+                error = length * np.linalg.norm(_padded(way) - _decode(codes, book["centres"]), axis=1)
                 packed = [c.tobytes() for c in codes[:, 0::2] << 4 | codes[:, 1::2]]
                 blocks, parts = copies[model]
                 salt = (ids * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(33)
@@ -146,14 +165,14 @@ def _assign(shared, copies: dict):
                 vectors = list(x)
                 block = (salt % blocks[home].astype(np.uint64)).astype(np.int32)
                 for part in range(parts):
-                    yield pd.DataFrame(dict(zip(columns, (model, home, block, part, False, ids, vectors, packed), strict=True)), columns=columns)
+                    yield pd.DataFrame(dict(zip(columns, (model, home, block, part, False, ids, vectors, packed, length, error), strict=True)), columns=columns)
                 part = ((salt >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
                 for r in range(near.shape[1]):
                     for b in range(int(blocks[near[:, r]].max())):
                         asks = blocks[near[:, r]] > b
                         if asks.any():
                             kept = [v for v, a in zip(vectors, asks, strict=True) if a]
-                            yield pd.DataFrame(dict(zip(columns, (model, near[asks, r], b, part[asks], True, ids[asks], kept, None), strict=True)), columns=columns)
+                            yield pd.DataFrame(dict(zip(columns, (model, near[asks, r], b, part[asks], True, ids[asks], kept, None, np.nan, np.nan), strict=True)), columns=columns)
 
     return run
 
@@ -179,17 +198,31 @@ def _search(shared, k: int, candidates: int):
         data, ids = np.stack(stored["vector"].to_numpy()).astype(np.float32), stored["id"].to_numpy(np.int64)
         packed = np.frombuffer(b"".join(stored["codes"]), np.uint8).reshape(len(stored), -1)
         queries, own = np.stack(asking["vector"].to_numpy()).astype(np.float32), asking["id"].to_numpy(np.int64)
+        length, error = stored["length"].to_numpy(np.float32), stored["error"].to_numpy(np.float32)
+        centre = book["leaves"][key[1]]
         keep = min(candidates, len(data))
         found = []
         for at in range(0, len(queries), 256):
             q, me = queries[at : at + 256], own[at : at + 256]
-            approximate = scan(q, packed, book["centres"])
+            approximate = scan(q, packed, book["centres"]) * length
             picked = np.argpartition(-approximate, keep - 1, axis=1)[:, :keep]
             exact = np.einsum("qd,qnd->qn", q, data[picked], dtype=np.float32)
             exact[ids[picked] == me[:, None]] = -2  # not itself
             best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
             cosine = np.take_along_axis(exact, best, axis=1)
             other = ids[np.take_along_axis(picked, best, axis=1)]
+            if keep < len(data):
+                # what any other vector may reach by its score and its code's error
+                reach = approximate + error
+                np.put_along_axis(reach, picked, -np.inf, axis=1)
+                least = cosine[:, k - 1] if keep >= k else np.full(len(q), -2, np.float32)
+                open_ = np.flatnonzero(reach.max(1) + q @ centre + _ROUNDING >= least)
+                whole = q[open_] @ data.T
+                whole[ids == me[open_, None]] = -2
+                best = np.argpartition(-whole, min(k, len(data)) - 1, axis=1)[:, :k]
+                if keep < k:
+                    cosine, other = (np.pad(a, ((0, 0), (0, best.shape[1] - keep))) for a in (cosine, other))
+                cosine[open_], other[open_] = np.take_along_axis(whole, best, axis=1), ids[best]
             real = cosine > -2
             found.append((np.repeat(me, real.sum(1)), other[real], cosine[real]))
         a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -236,8 +269,9 @@ def nearest(
     """``model, id, other, cosine``: for every valid vector up to ``k`` other vectors of its model, most similar first.
 
     The codebooks are fitted on at most ``sample_rows`` vectors of each model, and all vectors are indexed and ask.
-    ``candidates`` of each scanned block are reranked exactly, so the cosines are exact and only membership is
-    approximate; ties go to the lower id. See :func:`valid_vectors` for what counts (``columns`` are its column
+    ``candidates`` of each scanned block are reranked exactly, and a query to which another vector of the block may be
+    as near is compared with all of it; so the cosines are exact, nothing is lost in a scanned block, and only the
+    choice of leaves is approximate. Ties go to the lower id. See :func:`valid_vectors` for what counts (``columns`` are its column
     names). Models are not compared; a model with one valid vector gives no row; exact copies are each other's
     neighbours. The codebooks, at most a few hundred KB a model and independent of its size, are broadcast.
     """
@@ -271,7 +305,7 @@ def nearest(
     # one small row a leaf: how many blocks each needs
     for r in valid.mapInPandas(home, "model string, leaf int, n long").groupBy("model", "leaf").agg(F.sum("n").alias("n")).collect():
         copies[r["model"]][0][r["leaf"]] = max(1, math.ceil(r["n"] / block_rows))
-    placed = valid.mapInPandas(_assign(shared, copies), "model string, leaf int, block int, part int, asks boolean, id long, vector array<float>, codes binary")
+    placed = valid.mapInPandas(_assign(shared, copies), "model string, leaf int, block int, part int, asks boolean, id long, vector array<float>, codes binary, length float, error float")
     found = placed.groupBy("model", "leaf", "block", "part").applyInPandas(_search(shared, k, candidates), "model string, id long, other long, cosine double")
     order = Window.partitionBy("model", "id").orderBy(F.col("cosine").desc(), F.col("other"))
     best = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)

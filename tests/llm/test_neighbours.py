@@ -38,6 +38,22 @@ def test_recall_of_random_and_clustered_vectors(spark, sizes):
         assert abs(r.cosine - float(u[at[r.id]] @ u[at[r.other]])) < 1e-5
 
 
+@pytest.mark.parametrize("noise", [0.02, 0.05])
+def test_recall_in_a_group_of_near_copies(spark, noise):
+    """A third of the rows are near copies of one vector, many more than there are candidates."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    x = np.concatenate([base + noise * rng.normal(size=(3000, 64)), rng.normal(size=(6000, 64))]).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[:300] @ u.T
+    s[np.arange(300), np.arange(300)] = -2
+    want = np.argsort(-s, axis=1)[:, :10]
+    df = frame(spark, [(i, "m", 64, v.tolist(), 1) for i, v in enumerate(x)])
+    found = N.nearest(df).filter("id < 300").toPandas().groupby("id")["other"].apply(set)
+    assert sum(len(found[i] & set(w.tolist())) for i, w in enumerate(want)) / 3000 >= 0.95
+
+
 def test_what_counts(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
