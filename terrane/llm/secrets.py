@@ -93,15 +93,13 @@ _ASSIGN = re.compile(
 _BARE = re.compile(r"[^\w<]*(?:(?:export|local|set|env|setenv|declare|readonly)\s+(?:-\w\s+)?)?(?P<name>[^\W\d][\w.\-]*)(?:\s*[=:]\s*|\s+)(?P<bare>[^\s\"'`<>,;]+)[,;]?\s*$|[^\w<]*<(?P<tag>[^\W\d][\w.\-]*)>\s*(?P<inner>[^\s<>]+)\s*</(?P=tag)>", re.IGNORECASE)
 #: The rest of a value that is put together from strings, on this line or the next.
 _MORE = re.compile(r"\s*(?:\+|\.\.?|\\)?\s*(?:(?://|#|--)\s*)?(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')")
-# What a line must hold, in lower case, for its names and values to be looked at.
-_HINTS = (
-    "pass pwd secret token key cred auth bearer session cookie jwt kennwort geheim schluessel schlüssel contrase clave llave senha chave chiave clé cle_ wachtwoord haslo hasło heslo losenord lösenord adgangskode salasana jelsz sifre şifre пароль "
-    "sleutel parola mdp jeton mima miyao himitsu 密码 密碼 口令 パスワード 暗証 密钥 秘密 identified :// akia asia aiza ghp_ gho_ ghu_ ghs_ ghr_ github_pat "
-    "glpat xox npm_ pypi- sk- sk_ rk_ eyj hf_ sg. dop_v1 ya29 curl mysql"
-).split()
 _ANY_QUOTE = re.compile(r"[\"'`]")
 #: A string that is given to something.
 _GIVEN = re.compile(r"[=:(]\s*([\"'`])([!#-&(-_a-~]{10,128})\1")
+#: A token of any length, quoted or not.
+_LONG = re.compile(r"(?<![\w+/\-.@%$\\&#])[A-Za-z0-9_+/\-]{24,}={0,2}(?![\w+/\-.@%(\[\\])")
+#: A line of a table or of encoded text.
+_ROW = re.compile(r"[^A-Za-z0-9]*(?:(?:u8|[A-Za-z]{1,2})(?=[\"'`]))?[\"'`]?[A-Za-z0-9_+/\-]{20,}={0,2}[^A-Za-z0-9]*$")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+|\d+")
 
 
@@ -124,13 +122,15 @@ def entropy(value: str) -> float:
 
 
 def alphabet(value: str) -> int:
-    """Size of the smallest usual alphabet that holds a value: 10, 16, 32, 64 or 94."""
+    """Size of the smallest usual alphabet that holds a value: 10, 16, 32, 36, 64 or 94."""
     if value.isdigit():
         return 10
     if re.fullmatch(r"[0-9a-f\-]+|[0-9A-F\-]+", value):
         return 16
     if re.fullmatch(r"[A-Z2-7=]+", value):
         return 32
+    if re.fullmatch(r"[a-z0-9]+|[A-Z0-9]+", value):
+        return 36
     return 64 if re.fullmatch(r"[A-Za-z0-9+/_\-=.]+", value) else 94
 
 
@@ -200,6 +200,7 @@ def _is_key(value: str) -> bool:
     return _random_token(value, 12) or _phrase(value) or bool(hidden and not _WORDS_ONLY.match(hidden) and _is_password(hidden))
 
 
+@functools.lru_cache(maxsize=65_536)
 def name_strength(name: str) -> int:
     """3 for a password, 2 for another credential, 1 for what may be one, 0 for anything else, -1 for what is none."""
     parts = [p.lower() for p in _PARTS.findall(name)]
@@ -270,19 +271,19 @@ def find_credentials(text: str) -> list[Finding]:
                 add("private key", (a, stop))
             else:
                 taken.append((a, stop))
-    lower = text.lower()
-    if len(lower) != len(text):  # one letter became two: keep the places
-        lower = "".join(c.lower() if c.isascii() else c for c in text)
-    last = -1
-    for end, _ in _hints().iter(lower):
-        if end < last:
-            continue
-        a, b = text.rfind("\n", 0, end) + 1, text.find("\n", end)
-        last = len(text) if b < 0 else b
-        _scan_line(text, a, last, add, free)
+    a = 0
+    while a < len(text):
+        b = text.find("\n", a)
+        b = len(text) if b < 0 else b
+        if b - a >= 6:
+            _scan_line(text, a, b, add, free)
+        a = b + 1
     for m in _GIVEN.finditer(text):
         if free(*m.span(2)) and _lone_token(text, m.start(1), m.end(), m.group(2)):
             add("token", m.span(2))
+    for m in _LONG.finditer(text):
+        if free(*m.span()) and _long_token(text, *m.span()):
+            add("token", m.span())
     return sorted(found, key=lambda f: f.start)
 
 
@@ -302,15 +303,28 @@ def _lone_token(text: str, a: int, b: int, value: str) -> bool:
     return bool(names) and name_strength(names[-1]) >= 0
 
 
-@functools.lru_cache(maxsize=1)
-def _hints():
-    import ahocorasick
+def _long_token(text: str, a: int, b: int) -> bool:
+    """A long token that no name speaks for: all of lower case, upper case and digits, and mixed as in no name or path.
 
-    automaton = ahocorasick.Automaton()
-    for hint in _HINTS:
-        automaton.add_word(hint, hint)
-    automaton.make_automaton()
-    return automaton
+    Hex, and lower case and digits alone, look like hashes and ids and need a name.
+    """
+    value = text[a:b]
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in value if c.isalnum()]
+    if set(kinds) != {"d", "u", "l"} or kinds.count("d") < 2 or sum(map(str.__ne__, kinds, kinds[1:])) < 0.4 * (len(kinds) - 1):
+        return False
+    if not _random_token(value, 24) or is_placeholder(value) or _NOT_SECRET.match(value) or "//" in value[:2]:
+        return False
+    start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    end = len(text) if end < 0 else end
+    before, after = text[start:a], text[b:end]
+    if after.rstrip().endswith("+") or re.search(r"data:|base64|sha\d|integrity|ssh-|ecdsa-|AAAA", before + value[:8], re.IGNORECASE):
+        return False
+    above = text.rfind("\n", 0, max(0, start - 1)) + 1
+    below = text.find("\n", end + 1)
+    if _ROW.match(text, end + 1, len(text) if below < 0 else below) or _ROW.match(text, start, end) and _ROW.match(text, above, max(0, start - 1)):
+        return False
+    names = re.findall(r"[^\W\d][\w\-]*", before)
+    return not names or name_strength(names[-1]) >= 0
 
 
 def _scan_line(text: str, a: int, b: int, add, free) -> None:

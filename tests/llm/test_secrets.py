@@ -146,3 +146,19 @@ def test_long_and_odd_texts():
     assert S.find_credentials("x" * 2_000_000) == []
     assert S.find_credentials("İ" * 100 + '\npassword = "aB3$xYz9!"\n')[0].start == 100 + 1 + len('password = "')
     assert S.find_credentials("key" * 100_000) == []
+
+
+def test_lines_without_known_words():
+    r = random.Random(3)
+
+    def draw(n, letters=string.ascii_letters + string.digits):
+        return "".join(r.choice(letters) for _ in range(n))
+
+    for line in [
+        f"STORAGE_SAS={draw(44)}", f'deploy_pat: "{draw(40, string.ascii_lowercase + string.digits)}"', f"cleApi: {draw(30)}", f"cle-api = '{draw(30)}'", f"kouling: '{draw(20)}'",
+        f"HARBOR={draw(40)}", f"harbor value {draw(40)} here", f'const harbor = "{draw(90)}"',
+    ]:
+        assert [f.start for f in S.find_credentials(f"a\n{line}\nb\n")], line
+    rows = "\n".join(draw(76) for _ in range(4))
+    for text in [f"HARBOR={draw(40, '0123456789abcdef')}", f"content_hash={draw(40)}", f"logo: data:image/png;base64,{draw(90)}", rows, "T = (\n" + "\n".join(f'    b"{x}"' for x in rows.split("\n")) + "\n)", "src/Buffer2/HandleRelayGraphV3/LockerIndexTable"]:
+        assert S.find_credentials(f"a\n{text}\nb\n") == [], text
