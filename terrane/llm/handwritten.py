@@ -2,7 +2,7 @@
 
 Every file is judged by its layout, with thresholds for its kind of language: the longest and the mean line, the share
 of white space, letters and digits, the density of numeric literals, lines with long runs of encoded text, and how many of its lines
-repeat one pattern. What its first comments say about where it comes from and where it lies in the tree come on top,
+repeat one pattern. What its comments say about where it comes from and where it lies in the tree come on top,
 as a copy of another project's source looks like any other source.
 """
 
@@ -59,6 +59,8 @@ _VENDORED = re.compile(
 _PRESERVED = re.compile(r"^\s*/\*!\s*\n?\s*\*?\s*[\w.\-@/ ]+\s+v?\d+\.\d+(?:\.\d+)?")
 
 _COMMENT = re.compile(r"\s*(?://+|#(?!\!|include|define|if|pragma)|/\*+!?|\*+/?|--|;+|<!--|\"\"\"|\'\'\'|%)")
+#: What ends a comment of several lines, by its first two characters.
+_CLOSED_BY = {"/*": "*/", "<!": "-->", '""': '"""', "''": "'''"}
 _NUMBER = re.compile(r"(?<![\w.])[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w.])")
 _RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|(?:\\x[0-9a-fA-F]{2}){10,}|[0-9a-fA-F]{48,}")
 _DIGITS = re.compile(r"\d+(?:\.\d+)?")
@@ -129,12 +131,22 @@ def layout(text: str) -> Layout:
     )
 
 
-def header(text: str, most: int = 20) -> list[str]:
-    """The comments among the first lines, without their markers."""
-    out = []
-    for line in text.split("\n", most)[:most]:
-        if m := _COMMENT.match(line):
-            out.append(line[m.end() :].strip().removesuffix("*/").removesuffix("-->").rstrip())
+def header(text: str) -> list[str]:
+    """All comment lines of a text, without their markers; lines inside a block comment count without one."""
+    out, inside, string = [], None, None
+    for line in text.split("\n"):
+        if string:  # a string of several lines
+            string = None if string in line else string
+            continue
+        m = _COMMENT.match(line)
+        if not inside and not m:
+            string = next((q for q in ('"""', "'''") if line.count(q) % 2), None)
+        if inside or m:
+            out.append(line[m.end() if m else 0 :].strip().removesuffix("*/").removesuffix("-->").rstrip())
+        if inside:
+            inside = None if inside in line else inside
+        elif m and (close := _CLOSED_BY.get(m.group().strip()[:2])) and close not in line[m.end() :]:
+            inside = close
     return out
 
 
@@ -148,7 +160,7 @@ def judge(path: str | None, name: str | None, text: str | None) -> str | None:
     comments = header(text) if text else []
     if any(_GENERATED.match(c) and not _ABOUT_OTHERS.search(c) for c in comments):
         return "generated"
-    if text and (any(_VENDORED.search(c) and not _ABOUT_OTHERS.search(c) for c in comments[:8]) or _PRESERVED.match(text)):
+    if text and (any(_VENDORED.search(c) and not _ABOUT_OTHERS.search(c) for c in comments) or _PRESERVED.match(text)):
         return "vendored"
     if _GENERATED_NAME.search(name):
         return "generated"

@@ -49,6 +49,26 @@ def test_judge(path, text, origin):
     assert judge(path, None, text) == origin
 
 
+_LICENCE = "".join(f"// Term {i} of a licence that is longer than most and is not about where this comes from.\n" for i in range(30))
+_IMPORTS = "".join(f"import a.{c}.{c.upper()}b;\n" for c in "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.mark.parametrize(
+    ("text", "origin"),
+    [
+        (_LICENCE + "// Code generated by mirrorgen from worker.proto. DO NOT EDIT.\nclass A {}\n", "generated"),
+        ("package a;\n" + _IMPORTS + "// @generated by harbor from a.yaml\nclass A {}\n", "generated"),
+        (_LICENCE[:900] + "// Copied unchanged from the jordal project, see upstream for the history.\nclass A {}\n", "vendored"),
+        (_LICENCE + "// Copied unchanged from the jordal project, see upstream for the history.\nclass A {}\n", "vendored"),
+        ("/*\n" + _LICENCE.replace("// ", "") + "Copied unchanged from the jordal project.\n*/\nclass A {}\n", "vendored"),
+        (_LICENCE + _IMPORTS + "class A {}\n", None),
+        ('class A {\n  String t = """\n' + "x\n" * 20 + 'Copied unchanged from the jordal project.\n""";\n  String u = "copied from b";\n}\n', None),
+    ],
+)
+def test_notes_below_long_heads(text, origin):
+    assert judge("/r/src/A.java", None, text) == origin
+
+
 def test_layout_of_empty_and_long_texts():
     assert layout("").lines == 0 and layout("\n\n# c\n").size == 0
     assert layout("a" * 1_000_000).longest == 1_000_000
