@@ -76,7 +76,10 @@ class Index:
     tokens: list
     positions: list[dict] = field(default_factory=list)
     block: int = 16
-    share: float = 0.33
+    least: float = 0.45
+    changed: float = 0.10
+    #: terms that one changed token spoils: a word one, a character two bigrams
+    spoils: int = 1
     #: term -> its number
     terms: dict[str, int] = field(default_factory=dict)
 
@@ -89,7 +92,7 @@ class Index:
             for t, tf in Counter(terms).items():
                 postings[t].append((i, tf))
         items, impacts, starts = [], [], [0]
-        own = np.zeros(n)
+        weights: list[dict[str, float]] = [{} for _ in range(n)]
         for t, found in postings.items():
             self.terms[t] = len(self.terms)
             idf = math.log(1 + (n - len(found) + 0.5) / (len(found) + 0.5))
@@ -97,10 +100,11 @@ class Index:
                 w = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[i] / average))
                 items.append(i)
                 impacts.append(w)
-                own[i] += w
+                weights[i][t] = w
             starts.append(len(items))
         self.items, self.impacts, self.starts = np.array(items, np.int64), np.array(impacts, np.float32), np.array(starts)
-        self.least = (own * self.share).astype(np.float32)
+        self.window = max(96, math.ceil(0.9 * max((len(t) for t in self.tokens), default=0)))
+        self.needed = np.array([self._needed(t, w) for t, w in zip(term_lists, weights, strict=True)], np.float32)
         # per term and block of items: the greatest impact, and where its postings lie
         blocks, bounds, at, block_starts = [], [], [], [0]
         for i in range(len(self.terms)):
@@ -116,16 +120,53 @@ class Index:
         self.ranges = np.concatenate(at) if at else np.empty((0, 2), np.int64)
         self.block_starts = np.array(block_starts)
         self.n_blocks = -(-n // self.block) if n else 0
-        self.least_of_block = np.array([self.least[i * self.block : (i + 1) * self.block].min() for i in range(self.n_blocks)], np.float32)
+        self.least_of_block = np.array([self.needed[i * self.block : (i + 1) * self.block].min() for i in range(self.n_blocks)], np.float32)
         for tokens in self.tokens:
             where: dict = defaultdict(list)
             for p, t in enumerate(tokens):
                 where[t].append(p)
             self.positions.append(dict(where))
-        longest = max((len(t) for t in self.tokens), default=0)
-        self.window = max(96, math.ceil(0.9 * longest))
         return self
 
+    def _needed(self, terms: list[str], weights: dict[str, float], whole: int = 400) -> float:
+        """The least score that a passage of :meth:`retrieve` has if it holds what counts as a passage of an item.
+
+        For each number of spoilt terms the shortest stretch of the item that allows it, without its heaviest terms;
+        longer stretches have no less. The heaviest terms of the whole item are taken where an item is longer than
+        ``whole``, which gives a lower score and loses nothing.
+        """
+        size, step = len(terms) + self.spoils - 1, self.window // 2
+        w = np.array([weights[t] for t in terms])
+        seen: dict[str, int] = {}
+        before = np.empty(len(terms), np.int64)
+        for p, t in enumerate(terms):
+            before[p] = seen.get(t, -1)
+            seen[t] = p
+        heaviest = np.r_[0.0, np.cumsum(sorted(weights.values(), reverse=True))]
+        rate, shortest = self.spoils * self.changed, max(1, math.ceil(self.least * size - 1e-9))
+        best = math.inf
+        for spoilt in range(math.floor(rate * shortest + 1e-9), math.floor(rate * size + 1e-9) + 1):
+            length = max(shortest, math.ceil(spoilt / rate - 1e-9)) if spoilt else shortest
+            # with words put in it may be longer than two cells always hold; then one pair holds all but half of the rest
+            there = math.ceil(length * (1 + 2 * self.changed))
+            length -= max(0, math.ceil((there - step) / 2)) if there > step + 1 else 0
+            length -= self.spoils - 1
+            if length <= spoilt:
+                return 0.0
+            places = np.arange(len(terms) - length + 1)[:, None]
+            if len(terms) <= whole:
+                at = places + np.arange(length)
+                own = np.where(before[at] < places, w[at], 0.0)
+                kept = np.partition(own, length - spoilt - 1, axis=1)[:, : length - spoilt].sum(1)
+            else:
+                first = np.zeros(len(places) + length)
+                for p, b in enumerate(before.tolist()):  # counts in the stretches that start after its last place
+                    first[max(0, b + 1, p - length + 1)] += w[p]
+                    first[p + 1] -= w[p]
+                kept = np.cumsum(first)[: len(places)] - heaviest[min(spoilt, len(heaviest) - 1)]
+            best = min(best, float(kept.min()))
+        return max(0.0, best * 0.9999)
+
     def retrieve(self, terms: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(start, end, items) of each passage of a document that reaches the threshold of some items.
 
@@ -148,7 +189,7 @@ class Index:
             ranges = self.ranges[e[live[c][self.blocks[e]]]]
             hits, _ = _spans(ranges[:, 0], ranges[:, 1])
             score = np.bincount(self.items[hits], self.impacts[hits], len(self.ids))
-            picked = np.flatnonzero((score >= self.least) & (score > 0))
+            picked = np.flatnonzero((score >= self.needed) & (score > 0))
             if len(picked):
                 yield c * step, (c + 2) * step, picked
 
@@ -160,7 +201,7 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) + (starts - np.cumsum(sizes) + sizes)[owner], owner
 
 
-def make_index(items: list[tuple[int, str]], cjk: bool, share: float = 0.33) -> Index:
+def make_index(items: list[tuple[int, str]], cjk: bool, least: float = 0.45, changed: float = 0.10) -> Index:
     chosen = []
     for item, text in items:
         normal = normalise(text or "")
@@ -169,7 +210,7 @@ def make_index(items: list[tuple[int, str]], cjk: bool, share: float = 0.33) ->
             if len(tokens) > 1:
                 chosen.append((item, tokens))
     chosen.sort(key=lambda x: len(x[1]))  # blocks of items with like thresholds
-    index = Index([i for i, _ in chosen], [t for _, t in chosen], share=share)
+    index = Index([i for i, _ in chosen], [t for _, t in chosen], least=least, changed=changed, spoils=2 if cjk else 1)
     return index.build([_bigrams(t) if cjk else t for _, t in chosen])
 
 
@@ -278,15 +319,13 @@ def leaked_items(
     item_text: str = "text",
     least: float = 0.45,
     changed: float = 0.10,
-    share: float = 0.33,
     block_chars: int = 20_000_000,
 ) -> DataFrame:
     """``doc_id, item_id, share``: every document with every item of which it holds at least ``least`` as one passage.
 
     The share is counted in words, for texts in Chinese or Japanese script in characters; at most ``changed`` of the
-    passage may be changed or missing. Letter case, punctuation, markup, layout and Unicode form don't count. ``share``
-    is the part of an item's own BM25 score that a passage must reach to be verified; a passage that meets ``least``
-    and ``changed`` has more.
+    passage may be changed or missing. Letter case, punctuation, markup, layout and Unicode form don't count. A
+    passage is verified if its BM25 score is one that a passage that meets ``least`` and ``changed`` can have.
 
     Defined cases: null and empty texts hold nothing and are held by nothing; repeated documents or items give one
     row for each pair of ids; an item of a single word is never reported; documents are read whole, however long.
@@ -302,7 +341,7 @@ def leaked_items(
     for b in range(blocks):
         own = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else known
         rows = [(r["item_id"], r["text"]) for r in own.sort("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast((make_index(rows, False, share), make_index(rows, True, share)))
+        shared = spark.sparkContext.broadcast((make_index(rows, False, least, changed), make_index(rows, True, least, changed)))
         results.append(docs.mapInArrow(_find(shared, least, changed), "doc_id long, item_id long, share double"))
     found = results[0]
     for r in results[1:]:

@@ -111,6 +111,19 @@ def test_against_brute_force_with_pieces_of_many_items():
         assert held("\n\n".join(f"{text(30, f"{seed} {i}")} {p}" for i, p in enumerate(parts))) == want
 
 
+@pytest.mark.parametrize("cjk", [False, True])
+def test_passages_of_little_weight(cjk):
+    """The shortest passage, of the item's most common tokens and with one in ten changed, is found."""
+    common = [chr(0x8000 + i) for i in range(60)] if cjk else [f"common{i}" for i in range(60)]
+    rare = list(han(80, "rare")) if cjk else text(80, "rare").split()
+    join = "".join if cjk else " ".join
+    items = [(1, join(common + rare))] + [(10 + i, join(common + (list(han(80, i)) if cjk else text(80, i).split()))) for i in range(12)]
+    passage = common + rare[:6]
+    for i in range(5, 60, 10):
+        passage[i] = "\u9fa0" if cjk else "changedword"
+    assert 1 in held(join(passage), items)
+
+
 def test_operator(spark):
     docs = [(1, around(ITEMS[0][1])), (2, text(400, "none")), (3, None), (4, ""), (5, ITEMS[1][1] + "\n" + ITEMS[2][1]), (5, ITEMS[1][1]), (6, text(20_000, "long") + " " + ITEMS[4][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7L AS item_id", "'x' AS share")
