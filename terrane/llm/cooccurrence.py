@@ -1,7 +1,9 @@
 """Items that appear together: pair counts by stripes, lift and log-likelihood ratio.
 
 Each task turns its baskets into stripes, for an item the array of its partners and their counts, and merges equal
-keys within a batch before anything is sent. The stripes of an item are cut by partner into ``shards``, so an item
+keys before anything is sent. What a task holds is bounded: pairs are expanded some at a time and added up, and the
+sum is sent when it has grown to a limit. A basket of many items is cut into blocks of items, and each pair of blocks is
+a row of its own that any task can take. The stripes of an item are cut by partner into ``shards``, so an item
 that holds a third of all rows is merged by many tasks, and partners of different shards never meet. Merging reads
 each shard as a sorted stream and holds one item's array at a time.
 """
@@ -15,18 +17,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.durable import checkpointed
+from terrane.durable import written
 
-#: Pairs that a task expands at once, before it merges them.
-_CHUNK = 2_000_000
+#: Pairs that a task expands at once, and distinct ones that it adds up before it sends them.
+_CHUNK, _HELD = 1_000_000, 2_000_000
 _STRIPES = "item long, shard int, partners array<long>, counts array<long>"
+_NONE = (np.empty(0, np.int64),) * 3
 
 
 def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal (a, b) become one, their counts added; sorted by a, b."""
     if not len(a):
         return a, b, n
-    order = np.lexsort((b, a))
+    small = min(a.min(), b.min()) >= 0 and max(a.max(), b.max()) < 1 << 31
+    order = np.argsort(a << 32 | b) if small else np.lexsort((b, a))
     a, b, n = a[order], b[order], n[order]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     return a[first], b[first], np.add.reduceat(n, first)
@@ -44,9 +48,10 @@ def _pairs(items: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _cut(items: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Runs of baskets with at most about ``_CHUNK`` pairs; a basket beyond that comes alone, in blocks of its rows."""
     start, at = 0, 0
-    weight = sizes * (sizes + 1) // 2
+    weight = np.cumsum(sizes * (sizes + 1) // 2)
     while start < len(sizes):
-        room = np.searchsorted(np.cumsum(weight[start:]), _CHUNK, side="right")
+        done = weight[start - 1] if start else 0
+        room = int(np.searchsorted(weight[start:] - done, _CHUNK, side="right"))
         if room == 0:
             own, k = items[at : at + sizes[start]], int(sizes[start])
             step = max(1, _CHUNK // k)
@@ -65,23 +70,46 @@ def _cut(items: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         start += room
 
 
+def _expanded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a batch: within ``items`` where ``others`` is null, else each of ``items`` with each of ``others``."""
+    items, others = batch.column(0), batch.column(1)
+    alone = items.filter(others.is_null())
+    yield from _cut(alone.flatten().to_numpy(), np.diff(alone.offsets.to_numpy()))
+    for i in np.flatnonzero(others.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        left, right = items[i].values.to_numpy(), others[i].values.to_numpy()
+        step = max(1, _CHUNK // max(1, len(right)))
+        for at in range(0, len(left), step):
+            block = left[at : at + step]
+            yield np.repeat(block, len(right)), np.tile(right, len(block))
+
+
+def _striped(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], shards: int) -> pa.RecordBatch:
+    a, b, n = pairs
+    shard = (b % shards).astype(np.int32)
+    order = np.lexsort((b, shard, a))
+    a, b, n, shard = a[order], b[order], n[order], shard[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (shard[1:] != shard[:-1])])
+    offsets = pa.array(np.r_[first, len(a)].astype(np.int32))
+    arrays = [pa.array(a[first]), pa.array(shard[first]), pa.ListArray.from_arrays(offsets, pa.array(b)), pa.ListArray.from_arrays(offsets, pa.array(n))]
+    return pa.RecordBatch.from_arrays(arrays, ["item", "shard", "partners", "counts"])
+
+
 def _stripes(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, size = _NONE, [], 0
         for batch in batches:
-            baskets = batch.column(0)
-            sizes = np.diff(baskets.offsets.to_numpy())
-            items = baskets.flatten().to_numpy()
-            parts = [_summed(a, b, np.ones(len(a), np.int64)) for a, b in _cut(items, sizes)]
-            if not parts:
-                continue
-            a, b, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            shard = (b % shards).astype(np.int32)
-            order = np.lexsort((b, shard, a))
-            a, b, n, shard = a[order], b[order], n[order], shard[order]
-            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (shard[1:] != shard[:-1])])
-            offsets = pa.array(np.r_[first, len(a)].astype(np.int32))
-            arrays = [pa.array(a[first]), pa.array(shard[first]), pa.ListArray.from_arrays(offsets, pa.array(b)), pa.ListArray.from_arrays(offsets, pa.array(n))]
-            yield pa.RecordBatch.from_arrays(arrays, ["item", "shard", "partners", "counts"])
+            for a, b in _expanded(batch):
+                waiting.append((a, b, np.ones(len(a), np.int64)))
+                size += len(a)
+                if size >= _CHUNK:
+                    held = _summed(*(np.concatenate(x) for x in zip(held, *waiting, strict=True)))
+                    waiting, size = [], 0
+                    if len(held[0]) >= _HELD:
+                        yield _striped(held, shards)
+                        held = _NONE
+        held = _summed(*(np.concatenate(x) for x in zip(held, *waiting, strict=True)))
+        if len(held[0]):
+            yield _striped(held, shards)
 
     return run
 
@@ -121,10 +149,29 @@ def _term(observed: Column, expected: Column) -> Column:
     return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
 
 
-def pair_counts(rows: DataFrame, item: str, basket: str, shards: int = 16) -> DataFrame:
-    """``item_a <= item_b, n_ab``: baskets that hold both; the rows with item_a = item_b count an item's baskets."""
-    baskets = rows.groupBy(basket).agg(F.sort_array(F.collect_set(F.col(item).cast("long"))).alias("items")).select("items")
-    stripes = baskets.mapInArrow(_stripes(shards), _STRIPES)
+def _blocks_of(baskets: DataFrame, most: int) -> DataFrame:
+    """``items, others``: each basket, or each pair of blocks of ``most`` items of a basket that has more."""
+    small = baskets.filter(F.size("items") <= most).select("items", F.lit(None).cast("array<long>").alias("others"))
+    count = F.ceil(F.size("items") / most).cast("int") - 1
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), count), lambda i: F.transform(F.sequence(i, count), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    cut = baskets.filter(F.size("items") > most).select("items", F.explode(pairs).alias("p"))
+    block = lambda c: F.slice("items", F.col(c) * most + 1, most)
+    large = cut.select(block("p.i").alias("items"), F.when(F.col("p.i") < F.col("p.j"), block("p.j")).alias("others"))
+    return small.unionByName(large.repartition(F.xxhash64("items", "others")))
+
+
+def basket_items(rows: DataFrame, item: str, basket: str) -> DataFrame:
+    """``basket, items``: the sorted distinct items of each basket, gathered in each task before the shuffle."""
+    return rows.groupBy(F.col(basket).alias("basket")).agg(F.sort_array(F.collect_set(F.col(item).cast("long"))).alias("items"))
+
+
+def pair_counts(baskets: DataFrame, shards: int | None = None, block_items: int = 2048) -> DataFrame:
+    """``item_a <= item_b, n_ab``: baskets that hold both; the rows with item_a = item_b count an item's baskets.
+
+    ``baskets`` has a column ``items``, sorted and distinct. ``shards``, into how many parts an item's stripes are cut, is by default the number of shuffle partitions.
+    """
+    shards = shards or max(16, int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    stripes = _blocks_of(baskets, block_items).mapInArrow(_stripes(shards), _STRIPES)
     merged = stripes.repartition("item", "shard").sortWithinPartitions("item", "shard")
     return merged.mapInArrow(_merge, "item_a long, item_b long, n_ab long")
 
@@ -137,7 +184,7 @@ def cooccurrence(
     baskets: DataFrame | None = None,
     min_count: int = 5,
     min_llr: float = 3.84,
-    shards: int = 16,
+    shards: int | None = None,
 ) -> DataFrame:
     """``item_a < item_b, n_a, n_b, n_ab, n, lift, llr`` for every pair in at least ``min_count`` baskets.
 
@@ -152,11 +199,12 @@ def cooccurrence(
     rows = occurrences.select(F.col(item).alias("item"), F.col(basket).alias("basket")).dropna()
     if items is not None:
         rows = rows.join(items.select(F.col("id").alias("item")).dropna().distinct(), "item", "left_semi")
-    if baskets is not None:
-        rows = rows.join(baskets.select(F.col("id").alias("basket")).dropna().distinct(), "basket", "left_semi")
-    rows = checkpointed(rows.distinct())  # read twice: for n and for the pairs
-    n = rows.agg(F.count_distinct("basket")).first()[0]
-    counts = checkpointed(pair_counts(rows, "item", "basket", shards).filter(F.col("n_ab") >= min_count))
+    gathered = basket_items(rows, "item", "basket")
+    if baskets is not None:  # after the rows are gathered: both sides lie by basket
+        gathered = gathered.join(baskets.select(F.col("id").alias("basket")).dropna().distinct(), "basket", "left_semi")
+    gathered = written(gathered.select("items"), "baskets")  # read twice: for n and for the pairs
+    n = gathered.count()
+    counts = written(pair_counts(gathered, shards).filter(F.col("n_ab") >= min_count), "pairs")
     single = counts.filter("item_a = item_b")
     pairs = (
         counts.filter("item_a < item_b")

@@ -13,10 +13,15 @@ def _cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.cooccurrence(table(spark, d, "concept_occurrences"), items=table(spark, d, "concepts"), baskets=table(spark, d, "chunks"))
 
 
+def strong_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs that occur together at least eight times as often as chance says."""
+    exact = {c: F.col(c).cast("decimal(18,0)") for c in ("n_ab", "n", "n_a", "n_b")}  # products go beyond 64 bits
+    strong = exact["n_ab"] * exact["n"] >= exact["n_a"] * exact["n_b"] * 8
+    return pairs.filter(strong)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _cooccurrence(spark, d)
-    strong = F.col("n_ab") * F.col("n") >= 8 * F.col("n_a") * F.col("n_b")
-    return pairs.filter(strong).select(F.col("item_a").alias("concept_a"), F.col("item_b").alias("concept_b"))
+    return strong_pairs(_cooccurrence(spark, d)).select(F.col("item_a").alias("concept_a"), F.col("item_b").alias("concept_b"))
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +183,7 @@ QUERIES = {
     "p8_decoded": p8_decoded,
 }
 SQL = {
-    "p1_found": _P1 + "SELECT item_a AS concept_a, item_b AS concept_b FROM llr WHERE n_ab * n >= 8 * n_a * n_b AND llr >= 3.84",
+    "p1_found": _P1 + "SELECT item_a AS concept_a, item_b AS concept_b FROM llr WHERE n_ab::HUGEINT * n >= 8 * n_a::HUGEINT * n_b AND llr >= 3.84",
     "p1_pairs": _P1 + "SELECT item_a, item_b, n_a, n_b, n_ab, n, round(lift, 6) AS lift, round(llr, 4) AS llr FROM llr WHERE lift > 1 AND llr >= 3.84",
     "p2_found": _P2,
     "p3_found": _P3 + "SELECT query_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC NULLS LAST, file_id) AS rn FROM fused) WHERE rn <= 5",

@@ -3,7 +3,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
-from terrane.llm.cooccurrence import cooccurrence, pair_counts
+from terrane.llm.cooccurrence import basket_items, cooccurrence, pair_counts
 
 
 def brute(rows, min_count=1):
@@ -39,11 +39,11 @@ def test_batches_and_shards_do_not_change_counts(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(60), rng.randrange(80)) for _ in range(1500)]
     df = spark.createDataFrame(rows, "i long, b long")
-    want = {(r.item_a, r.item_b, r.n_ab) for r in pair_counts(df, "i", "b", shards=1).collect()}
+    want = {(r.item_a, r.item_b, r.n_ab) for r in pair_counts(basket_items(df, "i", "b"), shards=1).collect()}
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-        got = [(r.item_a, r.item_b, r.n_ab) for r in pair_counts(df, "i", "b", shards=7).collect()]
+        got = [(r.item_a, r.item_b, r.n_ab) for r in pair_counts(basket_items(df, "i", "b"), shards=7).collect()]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == len(set(got)) and set(got) == want
@@ -63,6 +63,48 @@ def test_a_basket_of_more_pairs_than_are_expanded_at_once(spark, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_large_baskets_fall_into_pairs_of_blocks(spark, monkeypatch):
+    import terrane.llm.cooccurrence as module
+
+    monkeypatch.setattr(module, "_CHUNK", 40)
+    monkeypatch.setattr(module, "_HELD", 60)
+    rng = random.Random(8)
+    rows = [(i, 0) for i in range(53)] + [(i, 1) for i in range(0, 53, 2)] + [(rng.randrange(60), rng.randrange(2, 30)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "i long, b long")
+    got = [(r.item_a, r.item_b, r.n_ab) for r in pair_counts(basket_items(df, "i", "b"), shards=3, block_items=7).collect()]
+    _, one, two = brute(rows)
+    assert len(got) == len(set(got)) and set(got) == {(a, b, n) for (a, b), n in two.items()} | {(a, a, n) for a, n in one.items()}
+
+
+def test_what_a_task_holds_is_bounded_by_its_limits_and_not_by_the_basket():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    import terrane.llm.cooccurrence as module
+
+    run = module._stripes(16)
+    peaks = []
+    for k in (3_000, 6_000):
+        batch = pa.RecordBatch.from_arrays([pa.array([list(range(k))], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.int64()))], ["items", "others"])
+        tracemalloc.start()
+        n = sum(len(b.column(2).flatten()) for b in run(iter([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n == k * (k + 1) // 2
+    assert peaks[1] < 1.5 * peaks[0] + 50_000_000
+
+
+def test_counts_beyond_64_bits_when_multiplied(spark):
+    from pyspark.sql import functions as F
+
+    from terrane.llm.queries import strong_pairs
+
+    rows = [(1, 2, 2_000_000_000, 2_000_000_000, 1_000_000_000, 6_000_000_000), (1, 3, 2_000_000_000, 2_000_000_000, 5_333_333_334, 6_000_000_000), (1, 4, 2_000_000_000, 2_000_000_000, 5_333_333_333, 6_000_000_000)]
+    df = spark.createDataFrame(rows, "item_a long, item_b long, n_a long, n_b long, n_ab long, n long")
+    assert [r.item_b for r in strong_pairs(df).select(F.col("item_b")).collect()] == [3]
+
+
 def test_restriction_empty_tables_and_extra_columns(spark):
     rows = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (9, 1, "x"), (1, 2, "x"), (2, 2, "x"), (1, 7, "x"), (2, 7, "x"), (3, 3, "x")], "concept_id long, chunk_id long, id string")
     items = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (None, "b")], "id long, chunk_id string")
