@@ -72,6 +72,19 @@ SELECT id AS chunk_id, CASE WHEN stretch <= 1200 THEN 'blank' WHEN line <= 1200
 """
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each chunk put together again from its pieces, with what holds for all of them."""
+    pieces = p2_pieces(spark, d)
+    own = F.expr("substring(piece, n_overlap + 1)")
+    one = pieces.groupBy("chunk_id").agg(
+        F.sort_array(F.collect_list(F.struct("ordinal", own.alias("own")))).alias("parts"),
+        F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.max("symbol").alias("symbol"),
+        F.count_distinct(F.coalesce("symbol", F.lit(""))).alias("n_symbols"),
+        (F.max(F.char_length("piece")) <= 1200).alias("within_limit"), (F.max("n_overlap") <= 200).alias("within_overlap"),
+    )
+    return one.select("chunk_id", F.array_join("parts.own", "").alias("content"), "start_line", "end_line", "symbol", "n_symbols", "within_limit", "within_overlap")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_items(ranking.fuse_scores(table(spark, d, "search_hits"))).select("query_id", "file_id")
 
@@ -161,11 +174,20 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return language.unlabelled_languages(documents, language.language_segments(documents))
 
 
+#: A chunk itself, and what its pieces must say: its lines run to that of its last character.
+_REBUILT = """
+SELECT id AS chunk_id, content, CASE WHEN start_line > 0 THEN start_line ELSE 0 END AS start_line,
+  CASE WHEN start_line > 0 THEN start_line + length(body) - length(replace(body, chr(10), '')) ELSE 0 END AS end_line,
+  symbol, 1 AS n_symbols, true AS within_limit, true AS within_overlap
+FROM (SELECT DISTINCT id, content, start_line, symbol, substring(content, 1, length(content) - 1) AS body FROM chunks WHERE length(content) > 1200 AND id IS NOT NULL)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_rebuilt": p2_rebuilt,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p4_found": p4_found,
@@ -186,6 +208,7 @@ SQL = {
     "p1_found": _P1 + "SELECT item_a AS concept_a, item_b AS concept_b FROM llr WHERE n_ab::HUGEINT * n >= 8 * n_a::HUGEINT * n_b AND llr >= 3.84",
     "p1_pairs": _P1 + "SELECT item_a, item_b, n_a, n_b, n_ab, n, round(lift, 6) AS lift, round(llr, 4) AS llr FROM llr WHERE lift > 1 AND llr >= 3.84",
     "p2_found": _P2,
+    "p2_rebuilt": _REBUILT,
     "p3_found": _P3 + "SELECT query_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC NULLS LAST, file_id) AS rn FROM fused) WHERE rn <= 5",
     "p3_scores": _P3 + "SELECT query_id, file_id, round(fused, 6) AS fused, n_known FROM fused",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

@@ -54,7 +54,7 @@ def test_takes_seconds(name, model, index):
     words = leakage.words(leakage.normalise(text))
     leakage.matches(index, words, words)
     pieces = splitting.split_text(text)
-    assert all(e - s <= 1200 for s, _, e in pieces)
+    assert all(p.end - p.start <= 1200 for p in pieces)
     assert time.process_time() - began < 25
 
 
@@ -74,7 +74,7 @@ def test_any_text_is_taken(text):
         assert 1 <= first <= last <= text.count("\n") + text.count("\r") + 1 and size > 0 and 0 <= confidence <= 1
     normal = leakage.normalise(text)
     leakage.is_cjk(normal), leakage.words(normal), leakage.characters(normal)
-    assert "".join(text[c:e] for _, c, e in splitting.split_text(text, 20, 5)) == text
+    assert "".join(text[p.core : p.end] for p in splitting.split_text(text, 20, 5)) == text
 
 
 _MODEL = language.fit([("en", "The file is in the index and it was not there before the next run of the table. " * 3)])

@@ -2,18 +2,34 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from terrane.llm.splitting import boundary_class, split_oversized, split_text
+from terrane.llm.splitting import boundary_kind, split_oversized, split_text
+
+
+def spans(text, *limits):
+    return [(p.start, p.core, p.end) for p in split_text(text, *limits)]
+
+
+def boundary_class(text, limit=1200):
+    """The definition, counted on the text."""
+    stretch = worst_stretch = worst_line = 0
+    for line in text.splitlines(keepends=True) if "\r" not in text else [x + "\n" for x in text.split("\n")[:-1]] + [text.split("\n")[-1]]:
+        if line.strip(" \t\r\n") == "":
+            stretch = 0
+            continue
+        stretch += len(line)
+        worst_stretch, worst_line = max(worst_stretch, stretch), max(worst_line, len(line))
+    return "blank" if worst_stretch <= limit else "line" if worst_line <= limit else "inside"
 
 
 def test_small_and_empty_texts():
-    assert split_text("") == []
-    assert split_text("abc") == [(0, 0, 3)]
+    assert spans("") == []
+    assert spans("abc") == [(0, 0, 3)]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["word ", "x" * 30, "\n", "\n\n", "Ein Satz. ", "的方法。", "é", "👩‍💻", "\r\n", "  \n", "y" * 300]), max_size=120).map("".join))
 def test_pieces_cover_the_text_within_the_limit(text):
-    pieces = split_text(text, 200, 40)
+    pieces = spans(text, 200, 40)
     assert "".join(text[c:e] for _, c, e in pieces) == text
     for (s, c, e), before in zip(pieces, [None, *pieces], strict=False):
         assert e - s <= 200 and 0 <= c - s <= 40 and c < e
@@ -26,22 +42,22 @@ def test_pieces_cover_the_text_within_the_limit(text):
 def test_cuts_at_blank_lines_before_lines_before_words():
     block = "\n".join("line %d of a block" % i for i in range(20)) + "\n"
     text = (block + "\n") * 6
-    for _, core, end in split_text(text, 1200, 200)[:-1]:
+    for _, core, end in spans(text, 1200, 200)[:-1]:
         assert text[core:end].endswith("\n\n")
     long_line = " ".join(["word"] * 600)
-    for _, core, end in split_text(long_line, 1200, 200)[:-1]:
+    for _, core, end in spans(long_line, 1200, 200)[:-1]:
         assert long_line[end - 1] == " "
 
 
 def test_overlap_begins_at_a_line():
     text = "".join("line number %04d\n" % i for i in range(300))
-    for start, core, _ in split_text(text, 1200, 200)[1:]:
+    for start, core, _ in spans(text, 1200, 200)[1:]:
         assert 0 < core - start <= 200 and text[start - 1] == "\n"
 
 
 def test_no_cut_before_a_combining_mark_or_within_a_line_end():
     text = "é" * 2000
-    for _, core, _ in split_text(text, 1200, 200):
+    for _, core, _ in spans(text, 1200, 200):
         assert text[core] == "e"
 
 
@@ -58,8 +74,26 @@ def test_no_cut_before_a_combining_mark_or_within_a_line_end():
         ("\n" * 1300, "blank"),
     ],
 )
-def test_boundary_class(text, kind):
+def test_boundary_kind(text, kind):
     assert boundary_class(text) == kind
+    assert boundary_kind(split_text(text)) == kind
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "x" * 30, "\n", "\n\n", "Ein Satz. ", "é", "\r\n", "  \n", "y" * 90, "z" * 99 + "\n", " " * 120 + "\n"]), max_size=80).map("".join))
+def test_the_boundaries_that_remain_tell_the_class(text):
+    pieces = split_text(text, 100, 20)
+    assert boundary_kind(pieces) == (boundary_class(text, 100) if len(text) > 100 else None)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["word ", "some words, ", "x" * 30, "Ein Satz. ", "的方法。", "é", "y" * 300, "line\n"]), min_size=60, max_size=120).map("".join))
+def test_the_overlap_is_given_up_only_for_whole_lines_and_stretches(text):
+    limit, overlap = 200, 40
+    for p in split_text(text, limit, overlap)[1:]:
+        core = text[p.core : p.end]
+        if p.end - p.core > limit - overlap:  # a line or stretch of lines of its own
+            assert (p.core == 0 or text[p.core - 1] == "\n") and (p.end == len(text) or core.endswith("\n"))
 
 
 def test_operator(spark):
