@@ -91,7 +91,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     fused = ranking.fuse_scores(table(spark, d, "search_hits"))
-    return fused.select("query_id", "file_id", F.round("fused", 6).alias("fused"), "n_known")
+    return fused.select("query_id", "file_id", (F.round("fused", 6) + 0.0).alias("fused"), "n_known")
 
 
 def _percentile(score: str) -> str:
@@ -112,8 +112,8 @@ p AS (SELECT query_id, file_id, {", ".join(_percentile(s) for s in ranking.SCORE
 z AS (SELECT query_id, file_id, {", ".join(f"{ranking.normal_quantile_sql(f'p_{s}')} AS z_{s}" for s in ranking.SCORES)} FROM p),
 fused AS (
   SELECT query_id, file_id, {" + ".join(f"(z_{s} IS NOT NULL)::INT" for s in ranking.SCORES)} AS n_known,
-    ({" + ".join(f"coalesce(z_{s}, 0)" for s in ranking.SCORES)})
-    / nullif({" + ".join(f"(z_{s} IS NOT NULL)::INT" for s in ranking.SCORES)}, 0) AS fused FROM z)
+    CASE WHEN coalesce({", ".join(f"z_{s}" for s in ranking.SCORES)}) IS NOT NULL
+         THEN ({" + ".join(f"coalesce(z_{s}, 0)" for s in ranking.SCORES)}) / {len(ranking.SCORES)} END AS fused FROM z)
 """
 
 
@@ -210,7 +210,7 @@ SQL = {
     "p2_found": _P2,
     "p2_rebuilt": _REBUILT,
     "p3_found": _P3 + "SELECT query_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC NULLS LAST, file_id) AS rn FROM fused) WHERE rn <= 5",
-    "p3_scores": _P3 + "SELECT query_id, file_id, round(fused, 6) AS fused, n_known FROM fused",
+    "p3_scores": _P3 + "SELECT query_id, file_id, round(fused, 6) + 0.0 AS fused, n_known FROM fused",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
 

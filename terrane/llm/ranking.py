@@ -1,11 +1,13 @@
 """One ranking from several differently scaled scores.
 
 Each score becomes its empirical percentile within the query, ties averaged, then a normal score; an item's place
-comes from the weighted mean of those that are known. No score can dominate by its range, as only ranks go in.
+comes from the weighted mean of all of them, in which an unknown score stands at the query's middle, 0. So a known score
+weighs the same in each row, and no score can dominate by its range, as only ranks go in.
 
-Ranks are found without sorting a query in one task: equal values are counted first, queries with many distinct
-values are cut at approximate quantiles into buckets, and a rank is the number of rows in lower buckets plus the
-rank within the bucket. The cuts only spread the work; the ranks are exact wherever they fall.
+A query of ordinary size is ranked by windows over its rows, all of them after one shuffle. A query of more than
+``bucket_rows`` rows isn't sorted in one task: equal values are counted first, the distinct values are cut at
+approximate quantiles into buckets, and a rank is the number of rows in lower buckets plus the rank within the bucket.
+The cuts only spread the work; the ranks are exact either way and wherever they fall.
 """
 
 from __future__ import annotations
@@ -111,28 +113,52 @@ def fuse_scores(
     Of the rows with one query and item the one with the greatest ``version`` counts. ``weights`` (default: alike)
     are those of the scores.
 
-    Defined cases: a null or NaN score is unknown, neither low nor high, and left out of the row's mean; a row without
+    Defined cases: a null or NaN score is unknown, neither low nor high, and counts as the middle of its query; a row without
     any known score has fused null and comes last; infinite scores are the least or greatest; a score that is known
     once in a query gives 0; tied scores share one percentile; rows with a null query or item are ignored; repeated
     rows count once; empty input gives an empty result. Extra columns are never read.
     """
     weights = {s: 1.0 for s in scores} | dict(weights or {})
-    current = latest(hits.filter(F.col(query).isNotNull() & F.col(item).isNotNull()), [query, item], version, scores)
-    entries = F.array(*(F.struct(F.lit(i).alias("kind"), F.col(s).cast("double").alias("value"), F.lit(float(weights[s])).alias("w")) for i, s in enumerate(scores)))
-    # -0.0 and 0.0 tie
-    long = current.select(F.col(query).alias("_q"), F.col(item).alias("_i"), F.explode(entries).alias("e")).select(
-        "_q", "_i", "e.kind", F.when(F.isnan("e.value"), None).otherwise(F.col("e.value") + 0.0).alias("value"), "e.w"
+    known = hits.filter(F.col(query).isNotNull() & F.col(item).isNotNull())
+    # repeated rows are counted too, which may only spread a query that needn't be
+    large = known.groupBy(F.col(query).alias("_q")).count().filter(F.col("count") > bucket_rows).select("_q")
+    current = latest(known, [query, item], version, scores).select(
+        F.col(query).alias("_q"),
+        F.col(item).alias("_i"),
+        # -0.0 and 0.0 tie
+        *(F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double") + 0.0).alias(f"_s{k}") for k, s in enumerate(scores)),
     )
+    ranked = _by_windows(current.join(large, "_q", "left_anti"), len(scores)).unionByName(_by_buckets(current.join(large, "_q", "left_semi"), len(scores), bucket_rows))
+    total = float(sum(weights[s] for s in scores)) or 1.0
+    mean = sum(F.coalesce(normal_quantile(F.col(f"_p{k}")), F.lit(0.0)) * float(weights[s]) for k, s in enumerate(scores)) / total
+    n_known = sum(F.col(f"_p{k}").isNotNull().cast("int") for k in range(len(scores)))
+    return ranked.select(F.col("_q").alias(query), F.col("_i").alias(item), F.when(n_known > 0, mean).alias("fused"), n_known.alias("n_known"))
+
+
+def _by_windows(rows: DataFrame, n: int) -> DataFrame:
+    """``_q, _i`` and the percentile of each score, null where it is unknown."""
+    whole = Window.partitionBy("_q")
+    size = F.count(F.lit(1)).over(whole)
+    out = rows.withColumn("_size", size)
+    for k in range(n):
+        ordered = Window.partitionBy("_q").orderBy(f"_s{k}")  # unknown ones first
+        below_or_unknown = F.rank().over(ordered) - 1
+        up_to = F.round(F.cume_dist().over(ordered) * F.col("_size"))
+        unknown = F.col("_size") - F.count(f"_s{k}").over(whole)
+        percentile = ((below_or_unknown + up_to) / 2 - unknown) / (F.col("_size") - unknown)
+        out = out.withColumn(f"_p{k}", F.when(F.col(f"_s{k}").isNotNull(), percentile))
+    return out.select("_q", "_i", *(f"_p{k}" for k in range(n)))
+
+
+def _by_buckets(rows: DataFrame, n: int, bucket_rows: int) -> DataFrame:
+    """The same for queries of any size."""
+    entries = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"_s{k}").alias("value")) for k in range(n)))
+    long = rows.select("_q", "_i", F.explode(entries).alias("e")).select("_q", "_i", "e.kind", "e.value")
     known = long.filter("value IS NOT NULL")
-    table = percentiles(known, ["_q", "kind"], "value", bucket_rows).withColumn("z", normal_quantile(F.col("percentile")))
-    scored = known.join(table, ["_q", "kind", "value"]).select("_q", "_i", "z", "w")
-    unknown = long.filter("value IS NULL").select("_q", "_i", F.lit(None).cast("double").alias("z"), F.lit(0.0).alias("w"))
-    return (
-        scored.unionByName(unknown)
-        .groupBy("_q", "_i")
-        .agg((F.sum(F.col("z") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("fused"), F.count("z").cast("int").alias("n_known"))
-        .select(F.col("_q").alias(query), F.col("_i").alias(item), "fused", "n_known")
-    )
+    scored = known.join(percentiles(known, ["_q", "kind"], "value", bucket_rows), ["_q", "kind", "value"]).select("_q", "_i", "kind", "percentile")
+    # every row once more, as it may have no known score
+    scored = scored.unionByName(rows.select("_q", "_i", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("double").alias("percentile")))
+    return scored.groupBy("_q", "_i").agg(*(F.max(F.when(F.col("kind") == k, F.col("percentile"))).alias(f"_p{k}") for k in range(n)))
 
 
 def top_items(fused: DataFrame, query: str = "query_id", item: str = "file_id", k: int = 5) -> DataFrame:

@@ -32,7 +32,7 @@ def brute(rows):
             for k, v in own:
                 p = (sum(x < v for _, x in own) + sum(x == v for _, x in own) / 2) / len(own)
                 out[k].append(NormalDist().inv_cdf(p))
-    return {k: sum(out[k]) / len(out[k]) if out[k] else None for k in now}
+    return {k: sum(out[k]) / len(SCORES) if out[k] else None for k in now}  # an unknown score is the middle, 0
 
 
 @pytest.mark.parametrize("bucket_rows", [100_000, 4])
@@ -86,6 +86,13 @@ def test_weights_and_empty(spark):
     assert fuse_scores(df.limit(0)).count() == 0
 
 
+def test_a_known_score_weighs_the_same_in_each_row(spark):
+    """A file that is best in its only known score doesn't stand above one that is nearly best in all four."""
+    rows = [(1, f, T0, float(f), float(f), float(f), float(f), "", "") for f in range(20)] + [(1, 99, T0, 100.0, None, None, float("nan"), "", "")]
+    fused = {r.file_id: r for r in fuse_scores(spark.createDataFrame(rows, _SCHEMA)).collect()}
+    assert fused[99].n_known == 1 and fused[10].fused < fused[99].fused < fused[19].fused
+
+
 def test_percentiles_of_ties(spark):
     df = spark.createDataFrame([(1, 5.0)] * 3 + [(1, 7.0)], "g long, v double")
     assert sorted((r.v, r.percentile) for r in percentiles(df, ["g"], "v").collect()) == [(5.0, 0.375), (7.0, 0.875)]
