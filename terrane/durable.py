@@ -1,7 +1,7 @@
 """Cutting lineage so that the loss of an executor costs no more than the work since the cut.
 
 Everything goes to the shared folder that the session names in ``spark.checkpoint.dir``. Only where that
-setting is missing (a local session, as in tests) a folder of this process is used instead.
+setting is missing in a local session, as in tests, a folder of this process is used instead; on a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
         app = context.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="terrane-checkpoint-")
@@ -48,9 +51,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    _drop_at_exit(spark, path)
     return spark.read.parquet(path)
 
 
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    """What isn't released goes when the driver's JVM ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def create_once(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Makes the file ``path`` with all of ``data`` in one step; False if it is there already.
+
+    A finished draft is renamed onto a name that must be free, which the file system itself refuses otherwise, so of two
+    writers one wins. Parent folders are made. Stores without such a rename need a connector that has one.
+    """
+    context = spark.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    target = files.makeQualified(target)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}")
+    files.mkdirs(target.getParent())
+    stream = files.create(draft, False)
+    stream.write(bytearray(data))
+    stream.close()
+    free_name_only = context._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, free_name_only)
+    except Py4JJavaError as e:
+        files.delete(draft, False)
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """A small file as a whole."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
 def release(spark: SparkSession) -> int:
     """Deletes the tables that :func:`written` made in this process, once their results are stored; returns their number.
 

@@ -1,18 +1,26 @@
 """Queries on incremental processing."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.operators.incremental import changed_files
+from terrane.durable import shared_dir
+from terrane.operators.incremental import CommitLog, due_files
 from terrane.tables import table
 
 
+def _due(spark: SparkSession, d: str) -> DataFrame:
+    """The first run over a log of its own."""
+    log = CommitLog(spark, f"{shared_dir(spark).rstrip('/')}/due-{uuid.uuid4().hex}")
+    return due_files(log, table(spark, d, "files"), table(spark, d, "index_state"), table(spark, d, "scan_runs"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return changed_files(table(spark, d, "files"), table(spark, d, "index_state"), table(spark, d, "scan_runs")).select("file_id")
+    return _due(spark, d).select("file_id")
 
 
 def p7_reasons(spark: SparkSession, d: str) -> DataFrame:
-    due = changed_files(table(spark, d, "files"), table(spark, d, "index_state"), table(spark, d, "scan_runs"))
-    return due.groupBy("run_id", "reason").count().withColumnRenamed("count", "n_files")
+    return _due(spark, d).groupBy("run_id", "reason").count().withColumnRenamed("count", "n_files")
 
 
 _DUE = """

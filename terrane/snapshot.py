@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrane.durable import create_once, read_file
 from terrane.errors import IncompatibleSchema
 
 SCHEMA_VERSION = 3
@@ -48,11 +49,7 @@ class Store:
         numbers = self._numbers()
         if not numbers:
             return None
-        stream = self._fs.open(self._path(f"{self.path}/versions/{numbers[-1]:020d}"))
-        try:
-            found = json.loads(bytes(stream.readAllBytes()))
-        finally:
-            stream.close()
+        found = json.loads(read_file(self.spark, f"{self.path}/versions/{numbers[-1]:020d}"))
         if not 0 <= found.get("schema", 0) <= SCHEMA_VERSION:
             raise IncompatibleSchema(f"schema {found['schema']} is newer than {SCHEMA_VERSION}")
         return Version(found["number"], found["tables"], found.get("batches", {}), found["schema"])
@@ -74,14 +71,8 @@ class Store:
             df.write.parquet(f"{self.path}/{folder}")
             paths[name] = folder
         version = Version((base.number if base else 0) + 1, paths, {**(base.batches if base else {}), **(batches or {})})
-        self._fs.mkdirs(self._path(f"{self.path}/versions"))
-        target = self._path(f"{self.path}/versions/{version.number:020d}")
-        draft = self._path(f"{self.path}/versions/_draft-{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps({"number": version.number, "tables": paths, "batches": version.batches, "schema": version.schema}).encode()))
-        stream.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            self._fs.delete(draft, False)
+        manifest = json.dumps({"number": version.number, "tables": paths, "batches": version.batches, "schema": version.schema})
+        if not create_once(self.spark, f"{self.path}/versions/{version.number:020d}", manifest.encode()):
             raise RuntimeError(f"version {version.number} was published by another writer")
         return version
 
@@ -90,9 +81,7 @@ class Store:
         numbers = self._numbers()
         kept: set[str] = set()
         for n in numbers[-keep:]:
-            stream = self._fs.open(self._path(f"{self.path}/versions/{n:020d}"))
-            kept |= set(json.loads(bytes(stream.readAllBytes()))["tables"].values())
-            stream.close()
+            kept |= set(json.loads(read_file(self.spark, f"{self.path}/versions/{n:020d}"))["tables"].values())
         gone = 0
         tables = self._path(f"{self.path}/tables")
         for table in self._fs.listStatus(tables) if self._fs.exists(tables) else []:

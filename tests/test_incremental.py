@@ -1,6 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
-from terrane.operators.incremental import CommitLog, changed_files
+from terrane.operators.incremental import CommitLog, changed_files, due_files
 
 T0 = datetime(2025, 6, 1)
 
@@ -58,7 +59,7 @@ def test_commit_log(spark, tmp_path):
     assert log.commit(log.read(more, "seq", first), first) and log.watermark() == 5
     # a run that failed before its commit leaves nothing
     lost = log.begin(more, "seq")
-    log.read(more, "seq", lost).write.parquet(f"{tmp_path}/log/data/died")
+    log.read(more, "seq", lost).write.parquet(f"{tmp_path}/log/data/died/output")
     assert log.output().count() == 5
     second = log.begin(more, "seq")
     assert second == lost and log.commit(log.read(more, "seq", second), second)
@@ -69,3 +70,47 @@ def test_commit_log(spark, tmp_path):
     assert third.empty and log.read(more, "seq", third).count() == 0
     assert CommitLog(spark, f"file://{tmp_path}/log").watermark() == 6
     assert CommitLog(spark, f"file://{tmp_path}/other").begin(source.limit(0), "seq").empty
+
+
+def test_a_watermark_never_falls_and_old_commits_can_be_dropped(spark, tmp_path):
+    log = CommitLog(spark, f"{tmp_path}/log")
+    source = spark.createDataFrame([(i,) for i in range(3)], "seq long")
+    for part in (source, source.filter("seq < 1"), source.limit(0)):
+        bounds = log.begin(part, "seq")
+        assert log.commit({"a": log.read(part, "seq", bounds), "b": part}, bounds) and log.watermark() == 2
+    assert log.output("a").count() == 3 and log.last("b").count() == 0
+    assert log.vacuum(keep=1) == 2 and log.watermark() == 2 and log.output("a").count() == 0
+
+
+def test_runs_over_a_log_equal_one_look_at_all_tables(spark, tmp_path):
+    """Records come in bit by bit, late, of runs that end later; each run must find what a look at everything finds."""
+    rng = random.Random(4)
+    files = [file(i, h=rng.choice(["AA", "BB", None])) for i in range(40)]
+    status = {1: "succeeded", 2: "failed", 3: "running", 4: "succeeded"}
+    states = []
+    log = CommitLog(spark, f"{tmp_path}/log")
+    for step in range(4):
+        for k in range(30):
+            when = None if rng.random() < 0.1 else T0 + timedelta(days=step, seconds=k)
+            n = rng.randrange(1, 5)
+            states.append((rng.randrange(45), n, 1, 1, rng.choice(["aa", "bb"]), rng.choice(["m", "n"]), when, "x"))
+        if step == 2:
+            status[3] = "succeeded"
+        runs = [run(n, status=s) for n, s in status.items()] + [run(9, status="running")]
+        tables_ = tables(spark, files, states, runs)
+        want = {(r.file_id, r.reason) for r in changed_files(*tables_).collect()}
+        assert {(r.file_id, r.reason) for r in due_files(log, *tables_).collect()} == want
+        # twice, with nothing new
+        assert {(r.file_id, r.reason) for r in due_files(log, *tables_).collect()} == want
+    assert log.last("records").count() < len({(s[0], s[1]) for s in states})
+
+
+def test_a_run_that_another_was_faster_than_gets_its_result(spark, tmp_path):
+    log = CommitLog(spark, f"{tmp_path}/log")
+    tables_ = tables(spark, [file(1), file(2)], [state(1, 1)], [run(1), run(4, status="running")])
+    class Slow(CommitLog):
+        def begin(self, source, sequence):
+            bounds = super().begin(source, sequence)
+            due_files(log, *tables_)
+            return bounds
+    assert {r.file_id for r in due_files(Slow(spark, log.path), *tables_).collect()} == {2} and log._numbers() == [0]
