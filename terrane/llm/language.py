@@ -4,7 +4,8 @@ A word that the model knows in some language scores by its log frequency in each
 its character n-grams, the longest order first that the model knows. The model is fitted on a bounded sample of
 labelled rows, of which only those sentences count whose function words agree with the label, so wrong labels and
 foreign passages don't teach it. Documents are then read whole: prose is told from code, headings and short quotes
-line by line, every line or sentence is scored, and a Viterbi pass over them finds the stretches.
+line by line, every line or sentence is scored, and a Viterbi pass over them finds the stretches. A stretch in a script
+that the model doesn't know, or of whose words it knows too few, is in none of its languages.
 """
 
 from __future__ import annotations
@@ -46,27 +47,35 @@ LANGUAGES = tuple(sorted(NAMES))
 _AT = {code: i for i, code in enumerate(LANGUAGES)}
 _CJK_LANGUAGES = ("ja", "zh")
 
-_HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
-_KANA = "぀-ゟ゠-ヿ"
+_HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_KANA = "\u3040-\u30ff"
 _CJK = re.compile(f"[{_HAN}{_KANA}]")
 _CJK_RUN = re.compile(f"[{_HAN}{_KANA}々ー]+")
 #: Words that aren't part of an identifier with digits or underscores.
 _TOKEN = re.compile(r"\b[^\W\d_]+\b")
 _CAMEL = re.compile(r"[a-z][A-Z]")
-_INLINE = re.compile(r"`[^`\n]*`|\b[a-z]+://\S+|</?[a-zA-Z][^<>\n]{0,100}>")
+_INLINE = re.compile(r"`[^`\n]*`|\b[a-z]+://\S+|</?[a-zA-Z][^<>\n]*>")
+#: Marks of emphasis around words.
+_EMPHASIS = re.compile(r"(?<![\w*_])[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?![\w*_])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z]|[`¿¡\"'(])|(?<=[。！？])")
+#: What a line of front matter looks like.
+_SETTING = re.compile(r"\s*(?:$|#|-(?:\s|$)|[^\s:]+:(?:\s|$))|\s+\S")
 _FENCE = re.compile(r"\s*(```|~~~)")
 _HEADING = re.compile(r"\s*#{2,6}\s+\S")
 _QUOTE = re.compile(r"\s*>+\s?")
 #: What stands before the words of a comment, an item of a list or a line of a log.
 _LEAD = re.compile(r"\s*(?://+[/!]?|#+(?!!)|--+|/\*+!?|\*+/?|<!--|;+|%+|\"\"\"|'''|[-+*•]|\d+[.)]|\d{4}-\d\d-\d\d[T ]\d\d:\d\d\S*\s+(?:[A-Z]{3,8}\b)?)(?:\s+|$)")
 _CODE = re.compile(r"[{};=<>\[\]|\\&$^*]|[\w\])]\(|\(\)|\w\.\w+\(|::|\"/|:\s*$")
-# Words that begin statements in common programming languages.
-_STATEMENT = re.compile(
-    r"\s*(?:import|from|package|use|pub|func|fn|def|class|return|if|elif|else|for|while|let|const|var|public|private|static|int|export|type|"
-    r"throw|raise|await|with|echo|exit|fi|done|then|do|sleep|local|mkdir|set|select|insert|create|begin|commit|end|struct|enum|interface|defer)\b",
-    re.IGNORECASE,
-)
+# Words that begin statements in common programming languages, in lower case or, as in SQL, in capitals.
+_KEYWORDS = (
+    "import from package use pub func fn def class return if elif else for while let const var public private static int export type "
+    "throw raise await with echo exit fi done then do sleep local mkdir set select insert create begin commit end struct enum interface defer"
+).split()
+_STATEMENT = re.compile(rf"\s*(?:{'|'.join(_KEYWORDS)}|{'|'.join(map(str.upper, _KEYWORDS))})\b")
+#: A word of running text, not joined to anything by code's signs.
+_PLAIN = re.compile(r"(?<![\w.$@#/\\\-])[^\W\d_]{2,}(?=[\s,;:.!?)]|$)")
+#: So many plain words on a line with few signs of code are a sentence, whatever they begin with.
+_SENTENCE_WORDS = 8
 _OPENS = re.compile(r"(?:[{}(\[;]|\):|=)\s*$")
 _END = re.compile(r"[.。！？!?;；:：,，]\s*$")
 
@@ -88,9 +97,9 @@ def prose_lines(text: str) -> list[tuple[int, str, int]]:
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     out: list[tuple[int, str, int]] = []
     at, n = 0, len(lines)
-    if lines[0].strip("﻿ \t") == "---":
-        closing = next((i for i in range(1, min(n, 60)) if lines[i].strip() in ("---", "...")), 0)
-        at = closing + 1 if closing else 0
+    if lines[0].strip("\ufeff \t") == "---":
+        closing = next((i for i in range(1, n) if lines[i].strip() in ("---", "...") or not _SETTING.match(lines[i])), n)
+        at = closing + 1 if closing < n and lines[closing].strip() in ("---", "...") else 0
     while at < n:
         line = lines[at]
         at += 1
@@ -103,7 +112,12 @@ def prose_lines(text: str) -> list[tuple[int, str, int]]:
             if closing is not None:
                 at = closing + 1
                 continue
-        if c == "|" or (c == "#" and _HEADING.match(line)):
+        if c == "#" and _HEADING.match(line):
+            continue
+        if c == "|":  # a row of a table holds prose only if it is as long as a sentence
+            line = line.replace("|", " ")
+            if len(_PLAIN.findall(line)) >= 2 * _SENTENCE_WORDS or len(_CJK.findall(line)) >= 30:
+                out.append((at, line.strip(), len(line.strip())))
             continue
         if c == ">":
             quote = [(at, _QUOTE.sub("", line, count=1))]
@@ -126,13 +140,17 @@ def prose_lines(text: str) -> list[tuple[int, str, int]]:
             if not any(x.lstrip().startswith("#") for x in around) and not around[1].strip():
                 continue  # a heading, not a comment
         bare = _INLINE.sub(" ", body) if "`" in body or "<" in body or "://" in body else body
+        if "*" in bare or "_" in bare:
+            bare = _EMPHASIS.sub("", bare)
         if not bare.isascii() and (cjk := len(_CJK.findall(bare))) >= (1 if lead or out and out[-1][0] == at - 1 else 4):
             if lead or cjk * 4 >= len(bare):
                 out.append((at, bare, len(body)))
-            continue
+                continue
+            if len(_PLAIN.findall(bare)) < _SENTENCE_WORDS:
+                continue  # else a line that goes on in another script
         if lead is None:
             code = len(_CODE.findall(bare))
-            if code and (_OPENS.search(bare) or _STATEMENT.match(bare) or code * 25 > len(bare)):
+            if code and (code * 25 > len(bare) or (_OPENS.search(bare) or _STATEMENT.match(bare)) and len(_PLAIN.findall(bare)) < _SENTENCE_WORDS):
                 continue
             if bare.count(" ") < 3 and not (out and out[-1][0] == at - 1 and not code and not _STATEMENT.match(bare)):
                 continue  # a short line counts only as the rest of the prose before it
@@ -178,7 +196,8 @@ class Model:
                 return np.mean(known, 0)
         return np.zeros(len(LANGUAGES), np.float32)
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the words, and which of them it knows as words."""
         get = self.row.get
         found = np.fromiter(map(get, words, (-1,) * len(words)), np.int64, len(words))
         for i in np.flatnonzero(found < 0):
@@ -195,17 +214,17 @@ class Model:
             found[i] = at
         if len(self.table) < len(self.words) + len(self.extra):
             self.table = np.concatenate([self.table, np.array(self.extra[len(self.table) - len(self.words) :], np.float32)])
-        return self.table[found]
+        return self.table[found], found < len(self.words)
 
 
-def _ratios(counts: dict[str, Counter], keep: int, smoothing: float) -> dict[str, np.ndarray]:
+def _ratios(counts: dict[str, Counter], smoothing: float) -> dict[str, np.ndarray]:
     total = Counter()
     for c in counts.values():
         total.update(c)
     sums = {code: sum(c.values()) for code, c in counts.items()}
     size = max(1, len(total))
     out = {}
-    for item, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:keep]:
+    for item in sorted(total):
         v = np.array([math.log((counts[code][item] + smoothing) / (sums[code] + smoothing * size)) for code in LANGUAGES])
         out[item] = (v - v.mean()).astype(np.float32)
     return out
@@ -225,7 +244,7 @@ def seed_language(words: list[str]) -> str | None:
 _SEEDS = {code: frozenset(words.split()) for code, words in FUNCTION_WORDS.items()}
 
 
-def fit(rows: list[tuple[str, str]], keep_words: int = 60_000, keep_grams: int = 120_000) -> Model:
+def fit(rows: list[tuple[str, str]]) -> Model:
     """Model from (code, text) rows, of which sentences count that agree with their row's code by function words."""
     words: dict[str, Counter] = {code: Counter() for code in LANGUAGES}
     for code, text in rows:
@@ -243,15 +262,25 @@ def fit(rows: list[tuple[str, str]], keep_words: int = 60_000, keep_grams: int =
                 for g in _grams(w, order):
                     grams[code][g] += n
     frequent = {code: Counter({w: n for w, n in own.items() if n >= 2}) for code, own in words.items()}
-    return Model(_ratios(frequent, keep_words, 0.5), _ratios(grams, keep_grams, 2.0))
+    return Model(_ratios(frequent, 0.5), _ratios(grams, 2.0))
 
 
 #: Cost of a change of language between two units, in nats.
 _SWITCH = 6.0
+#: Least share of a stretch's words that the model must know as words of its language. Prose in a language of the model is
+#: to two fifths function words and common words, prose in a related language to less than three tenths.
+KNOWN_SHARE = 0.30
+#: A sentence of so many words of which fewer are known in any language is in none.
+_FOREIGN_WORDS, _FOREIGN_SHARE = 8, 0.15
+_OTHER_SCRIPT = re.compile(f"[^\\W\\d_{_HAN}{_KANA}a-zA-Z\u00aa-\u024f\u1e00-\u1eff\u0300-\u036f々ー]")
+
 
+def _is_cjk_word(word: str) -> bool:
+    return bool(_CJK.match(word))
 
-def segments(model: Model, text: str) -> list[tuple[str, int, int, int, float]]:
-    """(language, first line, last line, size, confidence) of the stretches of prose in one language."""
+
+def segments(model: Model, text: str) -> list[tuple[str | None, int, int, int, float]]:
+    """(language, first line, last line, size, confidence) of the stretches of prose in one language, null and 0 where it is none of the model's."""
     units: list[tuple[int, list[str], int]] = []
     for number, line, size in prose_lines(text):
         parts = _SENTENCE.split(line) if len(line) > 60 else [line]
@@ -264,7 +293,21 @@ def segments(model: Model, text: str) -> list[tuple[str, int, int, int, float]]:
     if not units:
         return []
     sizes = np.array([len(w) for _, w, _ in units])
-    scores = np.add.reduceat(model.rows([w for _, ws, _ in units for w in ws]), np.r_[0, np.cumsum(sizes)[:-1]], axis=0).astype(np.float64)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    words = [w for _, ws, _ in units for w in ws]
+    rows, known = model.rows(words)
+    scores = np.add.reduceat(rows, starts, axis=0).astype(np.float64)
+    # words known as words of each language; in Chinese and Japanese, which are told by script, every pair counts
+    told = known[:, None] & (rows > 0)
+    if not text.isascii():
+        told[np.fromiter(map(_is_cjk_word, words), bool, len(words))] = True
+        other = np.add.reduceat(np.fromiter((_OTHER_SCRIPT.search(w) is not None for w in words), np.int64, len(words)), starts)
+    else:
+        other = np.zeros(len(units), np.int64)
+    told = np.add.reduceat(told.astype(np.int64), starts, axis=0)
+    foreign = (other * 2 > sizes) | (sizes >= _FOREIGN_WORDS) & (told.max(1) < _FOREIGN_SHARE * sizes)
+    # the last state is none of the languages
+    scores = np.c_[np.where(foreign[:, None], -1e6, scores), np.where(foreign, 0.0, -1e6)]
     best = scores.argmax(1)
     if (best == best[0]).all():
         path = best
@@ -284,9 +327,14 @@ def segments(model: Model, text: str) -> list[tuple[str, int, int, int, float]]:
     out = []
     first = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
     for a, b in zip(first, np.r_[first[1:], len(path)], strict=True):
-        total = scores[a:b].sum(0) / math.sqrt(max(1, sizes[a:b].sum()))  # words of a text are not independent
+        lang, count = int(path[a]), max(1, int(sizes[a:b].sum()))
+        where = (units[a][0], units[b - 1][0], sum(u[2] for u in units[a:b]))
+        if lang == len(LANGUAGES) or told[a:b, lang].sum() < KNOWN_SHARE * count:
+            out.append((None, *where, 0.0))
+            continue
+        total = scores[a:b, :-1].sum(0) / math.sqrt(count)  # words of a text are not independent
         p = np.exp(total - total.max())
-        out.append((LANGUAGES[path[a]], units[a][0], units[b - 1][0], sum(u[2] for u in units[a:b]), float(p[path[a]] / p.sum())))
+        out.append((LANGUAGES[lang], *where, float(p[lang] / p.sum())))
     return out
 
 
@@ -329,9 +377,10 @@ def language_segments(documents: DataFrame, doc_id: str = "doc_id", text: str =
     comments and lists; ``confidence`` in 0..1 is the language's share against all others. The label is used for
     fitting only, never for a document itself.
 
-    Defined cases: a null, empty or blank text and one without prose give one row with lang null and confidence 0;
+    Defined cases: a null, empty or blank text and one without prose give one row with lang null and confidence 0, and so
+    does a stretch that is in none of the model's languages, with its lines and size;
     repeated rows give their segments repeatedly; an empty table gives an empty result; texts are read whole.
-    The model (at most 180,000 entries) is broadcast. Extra columns are never read.
+    The model is broadcast; its size is bounded by the sample that it is fitted on. Extra columns are never read.
     """
     model = model or fit_model(documents, text, lang, doc_id)
     shared = documents.sparkSession.sparkContext.broadcast((model.words, model.grams))

@@ -90,3 +90,76 @@ def test_held_out_accuracy(spark, sf):
             total += 1
             right += max(sizes, key=sizes.get) == c
     assert total >= 20 and right / total >= 0.8
+
+
+#: The same few sentences in languages that the model doesn't know, and in those that it does.
+FOREIGN = {
+    "ru": "Сегодня утром мы поехали в город, потому что нужно было купить новые книги для школы. Погода была холодная, но солнце светило весь день, и дети играли во дворе до самого вечера. Потом мы вернулись домой и приготовили ужин из того, что осталось.",
+    "ko": "오늘 아침에 우리는 학교에 필요한 새 책을 사려고 시내로 갔습니다. 날씨는 추웠지만 하루 종일 햇볕이 들었고 아이들은 저녁까지 마당에서 놀았습니다. 그리고 집에 돌아와 남은 음식으로 저녁을 만들었습니다. 내일은 도서관에 가서 역사 숙제를 할 것입니다.",
+    "ar": "ذهبنا هذا الصباح إلى المدينة لأننا كنا بحاجة إلى شراء كتب جديدة للمدرسة. كان الطقس باردا لكن الشمس أشرقت طوال اليوم، ولعب الأطفال في الفناء حتى المساء. ثم عدنا إلى البيت وأعددنا العشاء مما تبقى من الطعام في المطبخ القديم.",
+    "it": "Questa mattina siamo andati in città perché dovevamo comprare dei nuovi libri per la scuola. Il tempo era freddo, ma il sole splendeva tutto il giorno e i bambini hanno giocato nel cortile fino a sera. Poi siamo tornati a casa e abbiamo preparato la cena con quello che era rimasto nella dispensa della nonna.",
+    "sv": "I morse åkte vi till staden eftersom vi behövde köpa nya böcker till skolan. Vädret var kallt, men solen sken hela dagen och barnen lekte på gården ända till kvällen. Sedan gick vi hem och lagade middag av det som fanns kvar i köket, och efter det läste vi tidningen tillsammans.",
+    "da": "I morges tog vi ind til byen, fordi vi skulle købe nye bøger til skolen. Vejret var koldt, men solen skinnede hele dagen, og børnene legede i gården lige til aften. Så gik vi hjem og lavede aftensmad af det, der var tilbage i køkkenet, og bagefter læste vi avisen sammen.",
+    "pl": "Dziś rano pojechaliśmy do miasta, ponieważ musieliśmy kupić nowe książki do szkoły. Pogoda była zimna, ale słońce świeciło przez cały dzień, a dzieci bawiły się na podwórku aż do wieczora. Potem wróciliśmy do domu i przygotowaliśmy kolację z tego, co zostało.",
+    "tr": "Bu sabah okul için yeni kitaplar almamız gerektiğinden şehre gittik. Hava soğuktu ama güneş bütün gün parladı ve çocuklar akşama kadar bahçede oynadı. Sonra eve döndük ve mutfakta kalanlarla akşam yemeği hazırladık, ardından birlikte gazete okuduk.",
+    "ro": "În această dimineață am mers în oraș pentru că trebuia să cumpărăm cărți noi pentru școală. Vremea era rece, dar soarele a strălucit toată ziua, iar copiii s-au jucat în curte până seara. Apoi ne-am întors acasă și am pregătit cina din ce a mai rămas.",
+    "ca": "Aquest matí hem anat a la ciutat perquè havíem de comprar llibres nous per a l'escola. El temps era fred, però el sol va brillar tot el dia i els nens van jugar al pati fins al vespre. Després vam tornar a casa i vam preparar el sopar amb el que quedava.",
+    "fi": "Tänä aamuna menimme kaupunkiin, koska meidän piti ostaa uusia kirjoja koulua varten. Sää oli kylmä, mutta aurinko paistoi koko päivän ja lapset leikkivät pihalla iltaan asti. Sitten palasimme kotiin ja valmistimme illallisen siitä, mitä oli jäljellä.",
+    "la": "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur. Hi omnes lingua, institutis, legibus inter se differunt. Gallos ab Aquitanis Garumna flumen dividit.",
+}
+OWN = {
+    "en": "This morning we drove into town because we had to buy some new books for school. The weather was cold, but the sun was shining all day and the children played in the yard until the evening. Then we went home and made dinner from whatever was left over in the kitchen.",
+    "de": "Heute Morgen sind wir in die Stadt gefahren, weil wir neue Bücher für die Schule kaufen mussten. Das Wetter war kalt, aber die Sonne schien den ganzen Tag, und die Kinder spielten bis zum Abend im Hof. Dann gingen wir nach Hause und kochten aus den Resten ein Abendessen.",
+    "fr": "Ce matin, nous sommes allés en ville parce qu'il fallait acheter de nouveaux livres pour l'école. Il faisait froid, mais le soleil a brillé toute la journée et les enfants ont joué dans la cour jusqu'au soir. Puis nous sommes rentrés à la maison et nous avons préparé le dîner avec les restes.",
+    "es": "Esta mañana fuimos a la ciudad porque teníamos que comprar libros nuevos para la escuela. Hacía frío, pero el sol brilló todo el día y los niños jugaron en el patio hasta la noche. Después volvimos a casa y preparamos la cena con lo que quedaba en la cocina.",
+    "pt": "Esta manhã fomos à cidade porque precisávamos de comprar livros novos para a escola. O tempo estava frio, mas o sol brilhou o dia inteiro e as crianças brincaram no pátio até à noite. Depois voltámos para casa e preparámos o jantar com o que tinha sobrado na cozinha.",
+    "nl": "Vanmorgen zijn we naar de stad gereden omdat we nieuwe boeken voor school moesten kopen. Het weer was koud, maar de zon scheen de hele dag en de kinderen speelden tot de avond op het plein. Daarna gingen we naar huis en maakten we eten van wat er nog over was.",
+    "zh": "今天早上我们开车去城里，因为需要给学校买一些新书。天气很冷，但是太阳照了一整天，孩子们在院子里玩到晚上。然后我们回家，用厨房里剩下的东西做了晚饭，晚上大家一起看报纸，聊了聊明天的安排。",
+    "ja": "今朝、学校で使う新しい本を買うために町へ出かけました。天気は寒かったですが、一日中太陽が照っていて、子どもたちは夕方まで庭で遊んでいました。それから家に帰って、残り物で夕食を作り、みんなで新聞を読みました。",
+}
+
+
+@pytest.fixture(scope="module")
+def fitted(spark, sf):
+    return L.fit_model(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+@pytest.mark.parametrize("code", sorted(FOREIGN))
+def test_other_languages_are_none_of_the_model(fitted, code):
+    assert {s[0] for s in L.segments(fitted, FOREIGN[code])} == {None}
+    around = L.segments(fitted, f"{OWN['en']}\n\n{FOREIGN[code]}\n\n{OWN['en']}")
+    assert {s[0] for s in around} == {"en", None}
+    assert sum(s[3] for s in around if s[0] is None) > 0.6 * len(FOREIGN[code])
+
+
+@pytest.mark.parametrize("code", sorted(OWN))
+def test_prose_on_other_matters_keeps_its_language(fitted, code):
+    (only,) = L.segments(fitted, OWN[code])
+    assert only[0] == code and only[4] > 0.99
+    assert {s[0] for s in L.segments(fitted, f"{OWN['en']}\n\n{OWN[code]}")} == {"en", code}
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Set `cursor` to 2739 before you start the watcher, otherwise the first run will be slow; please keep it that way.",
+        "If the ranking stage is missing, the store falls back to a full pass and writes 1482 rows at once.",
+        "of the old trees nobody should call `Graph` directly because it is done already;",
+        "der **Stein** _wurde_ am **Abend** von den _Leuten_ aus dem Dorf in den alten Hof getragen.",
+        "如果缺少分块器，概念图就会退回到全量扫描。 Als het register ontbreekt, wordt het hele bestand helemaal opnieuw opgebouwd en worden er veel regels geschreven.",
+    ],
+)
+def test_sentences_that_look_like_statements(line):
+    assert [n for n, _, _ in L.prose_lines(line)] == [1]
+
+
+@pytest.mark.parametrize("line", ["if watch_resolve(a, b) {", "set(a, b);", "return fetch(x) or none;", "| a | b | c |", "SELECT a, b FROM t WHERE c = 1;", "for entry in node.items():"])
+def test_statements_are_no_prose(line):
+    assert L.prose_lines(line) == []
+
+
+def test_front_matter_of_any_length_and_a_rule_that_is_none():
+    settings = "".join(f"key{i}: value of it\n" for i in range(200))
+    prose = "The file is in the index and it was not there before the next run."
+    assert [n for n, _, _ in L.prose_lines(f"---\n{settings}---\n{prose}")] == [203]
+    assert [n for n, _, _ in L.prose_lines(f"---\n{prose}\n---\n{prose}")] == [2, 4]
