@@ -6,7 +6,8 @@ of its terms' greatest impacts stays under the threshold; of the rest only block
 scored (block-max WAND, retrieving all above a threshold instead of the best k). What is retrieved is verified word by
 word: the item must share a passage with the document in order, with few changes.
 
-The index of a block of items has a bounded size and is broadcast; more items than that are asked block after block.
+Items of like length share an index, so that a long one doesn't widen the passages that the others are asked with. The
+indexes of a block of items have a bounded size and are broadcast; more items than that are asked block after block.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ _CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _HAS_CJK = re.compile(f"[{_CJK}\U00020000-\U0003ffff]")
 _WORD = re.compile(f"[^\\W_{_CJK}\U00020000-\U0003ffff]+")
 _ALNUM = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,100}>")
-_LINK = re.compile(r"\]\([^()\s]{0,500}\)")
+_TAG = re.compile(r"</?[a-zA-Z][\w:.-]*(?:\s+[\w:.@-]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=]+))?)*\s*/?>")
+_LINK = re.compile(r"\]\([^()\s]*\)")
 _MARKS = re.compile("[­̀-ͯ​-‏⁠︀-️﻿'‘’ʼ`´‐‑-]")
 _ASCII_MARKS = re.compile("['`-]")
 
@@ -145,7 +146,11 @@ class Index:
         heaviest = np.r_[0.0, np.cumsum(sorted(weights.values(), reverse=True))]
         rate, shortest = self.spoils * self.changed, max(1, math.ceil(self.least * size - 1e-9))
         best = math.inf
-        for spoilt in range(math.floor(rate * shortest + 1e-9), math.floor(rate * size + 1e-9) + 1):
+        first, most = math.floor(rate * shortest + 1e-9), math.floor(rate * size + 1e-9)
+        steps = list(range(first, most + 1))
+        if len(terms) > whole:  # numbers near each other together, with the length of the least and the changes of the greatest
+            steps = sorted({min(most, int(first * 1.1**i + i)) for i in range(200)} | {first})
+        for spoilt, next_ in zip(steps, [*steps[1:], most + 1], strict=True):
             length = max(shortest, math.ceil(spoilt / rate - 1e-9)) if spoilt else shortest
             # with words put in it may be longer than two cells always hold; then one pair holds all but half of the rest
             there = math.ceil(length * (1 + 2 * self.changed))
@@ -159,11 +164,11 @@ class Index:
                 own = np.where(before[at] < places, w[at], 0.0)
                 kept = np.partition(own, length - spoilt - 1, axis=1)[:, : length - spoilt].sum(1)
             else:
-                first = np.zeros(len(places) + length)
-                for p, b in enumerate(before.tolist()):  # counts in the stretches that start after its last place
-                    first[max(0, b + 1, p - length + 1)] += w[p]
-                    first[p + 1] -= w[p]
-                kept = np.cumsum(first)[: len(places)] - heaviest[min(spoilt, len(heaviest) - 1)]
+                # a term counts in the stretches that start after its last place and hold this one
+                at = np.arange(len(terms))
+                starts = np.maximum(np.maximum(before + 1, at - length + 1), 0)
+                change = np.bincount(starts, w, len(terms) + 1) - np.bincount(at + 1, w, len(terms) + 1)
+                kept = np.cumsum(change)[: len(places)] - heaviest[min(next_ - 1, len(heaviest) - 1)]
             best = min(best, float(kept.min()))
         return max(0.0, best * 0.9999)
 
@@ -201,17 +206,25 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) + (starts - np.cumsum(sizes) + sizes)[owner], owner
 
 
-def make_index(items: list[tuple[int, str]], cjk: bool, least: float = 0.45, changed: float = 0.10) -> Index:
-    chosen = []
+#: Greatest length of an item in the first group of like lengths, and how many times longer each further group may be.
+_GROUP, _WIDER = 320, 4
+
+
+def make_indexes(items: list[tuple[int, str]], cjk: bool, least: float = 0.45, changed: float = 0.10) -> list[Index]:
+    """An index for each group of items of like length."""
+    groups: dict[int, list] = defaultdict(list)
     for item, text in items:
         normal = normalise(text or "")
         if is_cjk(normal) == cjk:
             tokens = characters(normal) if cjk else words(normal)
             if len(tokens) > 1:
-                chosen.append((item, tokens))
-    chosen.sort(key=lambda x: len(x[1]))  # blocks of items with like thresholds
-    index = Index([i for i, _ in chosen], [t for _, t in chosen], least=least, changed=changed, spoils=2 if cjk else 1)
-    return index.build([_bigrams(t) if cjk else t for _, t in chosen])
+                groups[max(0, math.ceil(math.log(len(tokens) / _GROUP, _WIDER)))].append((item, tokens))
+    out = []
+    for _, chosen in sorted(groups.items()):
+        chosen.sort(key=lambda x: len(x[1]))  # blocks of items with like thresholds
+        index = Index([i for i, _ in chosen], [t for _, t in chosen], least=least, changed=changed, spoils=2 if cjk else 1)
+        out.append(index.build([_bigrams(t) if cjk else t for _, t in chosen]))
+    return out
 
 
 def passage(where: dict, size: int, tokens, lo: int, hi: int, least: float = 0.45, changed: float = 0.10) -> float:
@@ -276,20 +289,24 @@ def passage(where: dict, size: int, tokens, lo: int, hi: int, least: float = 0.4
     return best
 
 
-def matches(index: Index, tokens, terms: list[str], least: float = 0.45, changed: float = 0.10) -> dict[int, float]:
-    """Item numbers that a document holds, with their shares."""
-    found: dict[int, float] = {}
-    if len(terms) < 2 or not index.ids:
-        return found
-    slack = index.window // 2 + 8  # what a passage may go on beyond the one that was asked
-    for start, end, picked in index.retrieve(terms):
-        for i in picked.tolist():
-            if found.get(i, 0.0) < 0.999:
-                lo, hi = max(0, start - slack), min(len(tokens), end + slack)
-                share = passage(index.positions[i], len(index.tokens[i]), tokens, lo, hi, least, changed)
-                if share > found.get(i, 0.0):
-                    found[i] = share
-    return found
+def matches(indexes: list[Index], tokens, terms: list[str], least: float = 0.45, changed: float = 0.10) -> dict[int, float]:
+    """Ids of the items that a document holds, with their shares."""
+    out: dict[int, float] = {}
+    if len(terms) < 2:
+        return out
+    for index in indexes:
+        found: dict[int, float] = {}
+        slack = index.window // 2 + 8  # what a passage may go on beyond the one that was asked
+        for start, end, picked in index.retrieve(terms):
+            for i in picked.tolist():
+                if found.get(i, 0.0) < 0.999:
+                    lo, hi = max(0, start - slack), min(len(tokens), end + slack)
+                    share = passage(index.positions[i], len(index.tokens[i]), tokens, lo, hi, least, changed)
+                    if share > found.get(i, 0.0):
+                        found[i] = share
+        for i, share in found.items():
+            out[index.ids[i]] = max(share, out.get(index.ids[i], 0.0))
+    return out
 
 
 def _find(shared, least: float, changed: float):
@@ -300,16 +317,29 @@ def _find(shared, least: float, changed: float):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 normal = normalise(text)
                 tokens = words(normal)
-                out += [(doc, by_word.ids[i], s) for i, s in matches(by_word, tokens, tokens, least, changed).items()]
-                if by_char.ids and not normal.isascii() and _HAS_CJK.search(normal):
+                out += [(doc, i, s) for i, s in matches(by_word, tokens, tokens, least, changed).items()]
+                if by_char and not normal.isascii() and _HAS_CJK.search(normal):
                     chars = characters(normal)
-                    out += [(doc, by_char.ids[i], s) for i, s in matches(by_char, chars, _bigrams(chars), least, changed).items()]
+                    out += [(doc, i, s) for i, s in matches(by_char, chars, _bigrams(chars), least, changed).items()]
             docs, items, shares = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], ["doc_id", "item_id", "share"])
 
     return run
 
 
+def _packed(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Ids in blocks of at most ``most`` characters; an item beyond that is a block of its own."""
+    out: list[list[int]] = []
+    room = 0
+    for item, size in sizes:
+        if not out or size > room:
+            out.append([])
+            room = most
+        out[-1].append(item)
+        room -= size
+    return out
+
+
 def leaked_items(
     documents: DataFrame,
     items: DataFrame,
@@ -335,13 +365,13 @@ def leaked_items(
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL AND text <> ''")
     docs = spread(docs)
     known = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL AND text <> ''").distinct()
-    total = known.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_chars))
+    sizes = known.groupBy("item_id").agg(F.sum(F.length("text")).alias("size")).sort("item_id")
+    blocks = _packed([(r["item_id"], r["size"]) for r in sizes.collect()], block_chars)  # two numbers an item
     results = []
-    for b in range(blocks):
-        own = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else known
+    for block in blocks or [[]]:
+        own = known if len(blocks) < 2 else known.filter(F.col("item_id").between(block[0], block[-1]))
         rows = [(r["item_id"], r["text"]) for r in own.sort("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast((make_index(rows, False, least, changed), make_index(rows, True, least, changed)))
+        shared = spark.sparkContext.broadcast((make_indexes(rows, False, least, changed), make_indexes(rows, True, least, changed)))
         results.append(docs.mapInArrow(_find(shared, least, changed), "doc_id long, item_id long, share double"))
     found = results[0]
     for r in results[1:]:

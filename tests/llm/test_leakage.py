@@ -24,11 +24,10 @@ ITEMS = [(i, text(60 + i % 20, i)) for i in range(40)] + [(100 + i, han(120, i))
 
 def held(document, items=None):
     rows = items or ITEMS
-    w, c = L.make_index(rows, False), L.make_index(rows, True)
+    w, c = L.make_indexes(rows, False), L.make_indexes(rows, True)
     n = L.normalise(document)
     tokens, chars = L.words(n), L.characters(n)
-    out = {w.ids[i] for i in L.matches(w, tokens, tokens)}
-    return out | {c.ids[i] for i in L.matches(c, chars, L._bigrams(chars))}
+    return set(L.matches(w, tokens, tokens)) | set(L.matches(c, chars, L._bigrams(chars)))
 
 
 def around(passage):
@@ -124,6 +123,47 @@ def test_passages_of_little_weight(cjk):
     assert 1 in held(join(passage), items)
 
 
+def test_retrieval_loses_nothing_that_the_verifier_accepts():
+    """Items of common words first and specific ones last; documents hold their beginnings, of which few words weigh anything."""
+    r = random.Random(31)
+    common = [f"the{i}" for i in range(40)]
+    items = [(i, " ".join([r.choice(common) for _ in range(50)] + text(50, f"own {i}").split())) for i in range(260)]
+    indexes = L.make_indexes(items, False)
+    asked = accepted = 0
+    for i in r.sample(range(260), 50):
+        own = items[i][1].split()
+        for share, edits in ((0.48, 0), (0.5, 4), (0.46, 1)):
+            part = own[: round(share * 100)]
+            for at in r.sample(range(len(part)), edits):
+                part[at] = "changedword"
+            tokens = (text(120, f"b{i}") + " " + " ".join(part) + " " + text(120, f"a{i}")).split()
+            got = L.matches(indexes, tokens, tokens)
+            want = {n for x in indexes for k, n in enumerate(x.ids) if L.passage(x.positions[k], len(x.tokens[k]), tokens, 0, len(tokens)) > 0}
+            assert set(got) == want
+            asked += 1
+            accepted += i in want
+    assert accepted >= 0.97 * asked
+
+
+def test_a_long_item_does_not_widen_the_passages_of_others():
+    items = [*ITEMS[:5], (900, text(4_000, "book"))]
+    indexes = L.make_indexes(items, False)
+    assert [x.window for x in indexes] == [96, 3_600]
+    assert held(around(ITEMS[2][1]) + " " + text(2_000, "book"), items) == {2, 900}
+
+
+def test_markup_of_any_length():
+    words = ITEMS[6][1].split()
+    tag = "<a " + " ".join(f'data-{i}="value {i}"' for i in range(80)) + ">"
+    assert held(around(f" {tag} ".join(words))) == {6}
+    assert held(around(" ".join(f"[{w}](https://x.example/{'p' * 900})" for w in words))) == {6}
+    assert L.words(L.normalise("if a < b and c, then d > e")) == "if a b and c then d e".split()
+
+
+def test_items_are_packed_within_the_bound():
+    assert L._packed([(1, 5), (2, 5), (3, 1), (4, 30), (5, 2)], 10) == [[1, 2], [3], [4], [5]] and L._packed([], 9) == []
+
+
 def test_operator(spark):
     docs = [(1, around(ITEMS[0][1])), (2, text(400, "none")), (3, None), (4, ""), (5, ITEMS[1][1] + "\n" + ITEMS[2][1]), (5, ITEMS[1][1]), (6, text(20_000, "long") + " " + ITEMS[4][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "7L AS item_id", "'x' AS share")

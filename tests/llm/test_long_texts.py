@@ -41,7 +41,7 @@ def model():
 
 @pytest.fixture(scope="module")
 def index():
-    return leakage.make_index([(1, " ".join(f"w{i}" for i in range(80)))], False)
+    return leakage.make_indexes([(1, " ".join(f"w{i}" for i in range(80)))], False)
 
 
 @pytest.mark.parametrize("name", sorted(TEXTS))
