@@ -1,16 +1,17 @@
 """Credentials in source code and configuration, found and redacted.
 
-Strings and long tokens are measured by Shannon entropy against what a random string of their alphabet and length
-would have. What they are called, and the form they are given in, moves the threshold: a value that is called a
+Strings and long tokens of any length are measured by Shannon entropy against what a random string of their alphabet and
+length would have. What they are called, and the form they are given in, moves the threshold: a value that is called a
 password needs little entropy, one that is called a hash, an id or a public key never counts, and an unnamed token
-must look random. Placeholders and references to where a value is kept are no credentials. A few issuers' tokens and
-private key blocks are told by their published form.
+must look random and be no row of data. Placeholders and references to where a value is kept are no credentials. A few
+issuers' tokens and private key blocks are told by their published form.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import functools
 import math
 import re
@@ -44,7 +45,7 @@ _PASSWORD = (
 ).split()
 # Words in names of other credentials.
 _STRONG = "secret secrets credential credentials cred creds apikey authtoken secretkey accesskey privatekey geheimnis schluessel schlüssel zugangsschluessel zugangsschlüssel chave llave sleutel toegangssleutel jeton miyao 密钥 秘密".split()
-_WEAK = "token key auth bearer session cookie jwt pat sas".split()
+_WEAK = "token tokens key keys auth bearer session cookie jwt pat sas seed otp totp hotp pepper mnemonic".split()
 # Keys in languages that put the noun first.
 _FOREIGN_KEY = frozenset("cle clé clef clave chave llave chiave schluessel schlüssel sleutel jeton ficha token".split())
 _FOREIGN_OF = frozenset("api acces accès acceso acesso accesso privee privée privada privata secrete secrète secreta segreta".split())
@@ -55,11 +56,12 @@ _OTHER = (
     "public pub hash sha sha1 sha256 sha512 md5 crc integrity checksum digest etag commit revision rev fingerprint thumbprint uuid guid "
     "correlation request trace span build built version kind type name names column field fields label title path file dir url uri host "
     "endpoint limit count length size max min ttl expiry expires timeout algorithm alg scope env prefix suffix header param format policy "
-    "id ids index cache primary foreign sort partition prompt hint reset next prev page cursor ssh"
+    "id ids index cache primary foreign sort partition prompt hint reset next prev page cursor ssh "
+    "icon image img png svg font wasm blob base64 b64 data"
 ).split()
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:[x*.\-_#?0]+|.*(?:your|insert|change[-_ ]?me|replace|placeholder|example|dummy|todo|fixme|redacted|sample|fake|not[-_]?a[-_]?real|my[-_](?:token|key|secret|password)).*"
-    r"|<.*>|\{.*\}|\$\{.*|\$\(.*|\$[A-Z_][A-Z0-9_]*|%\(.*|%[A-Z0-9_]+%|\{\{.*|#\{.*|env:.*|vault:.*|file:.*|ssm:.*|secretsmanager:.*|op:.*|ref[+:].*|arn:.*|/.*|\./.*|@.*"
+    r"|<.*>|\{.*\}|\$\{.*|\$\(.*|\$[A-Z_][A-Z0-9_]*|%\(.*|%[A-Z0-9_]+%|\{\{.*|#\{.*|env:.*|vault:.*|file:.*|ssm:.*|secretsmanager:.*|op:.*|ref[+:].*|arn:.*|\./.*|@[a-z][a-z._\-]*"
     r"|(?:os|process|system|env|config|settings|secrets|vault)\..*|(?:get)?env\(.*|null|none|nil|true|false|undefined|test|secret|password|passwd|token|key|string|n/a|hidden)$"
 )
 _WORDS_ONLY = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_ ./:](?:[A-Z]?[a-z]+|[A-Z]+))*$")
@@ -71,21 +73,27 @@ _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _OTHER_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.*?(?:-----END [A-Z0-9 ]+-----|\Z)", re.DOTALL)
 _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 
-_URL = re.compile(r"\b[a-z][a-z0-9+.\-]{1,20}://([^\s:/@\"'`<>]{0,200}):([^\s@\"'`<>]{1,300}?)@(?=[A-Za-z0-9\[\-.])", re.IGNORECASE)
+#: A URL up to its password, and what a password may be made of.
+_URL = re.compile(r"\b[a-z][a-z0-9+.\-]{1,20}://[^\s:/@\"'`<>]*:", re.IGNORECASE)
+_URL_PASSWORD = re.compile(r"[^\s@\"'`<>]+")
+_HOST = re.compile(r"@[A-Za-z0-9\[\-.]")
 _HEADER = re.compile(r"\b(?:proxy-)?authorization\b[\"']?\s*[:=,]\s*[\"']?\s*(?:bearer|basic|token|digest|apikey)\s+([^\s\"'`,;]+)|\bx-[a-z\-]*(?:api|auth|access)[a-z\-]*(?:key|token)\b[\"']?\s*[:=,]\s*[\"']?([^\s\"'`,;]+)", re.IGNORECASE)
 _FLAG = re.compile(
     r"\bsshpass\s+-p\s*[\"']?([^\s\"'`]+)"
     r"|(?<![\w-])--?(?:password|passwd|pass|pwd|token|api-?key|secret|secret-key|access-key|auth-?token|client-secret)(?:=|\s+)[\"']?([^\s\"'`;,]+)"
-    r"|\bcurl\b[^\n]{0,400}?\s(?:-u|--user)\s*[\"']?[^\s:\"']+:([^\s\"'`@]+)"
-    r"|\bmysql(?:dump)?\b[^\n]{0,400}?\s-p([^\s\"'`]+)"
     r"|\bIDENTIFIED\s+BY\s+[\"']([^\"'\n]+)"
     r"|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(\S+)",
     re.IGNORECASE,
 )
+#: Flags that hold a password after one command.
+_FLAG_OF = (
+    (re.compile(r"\bcurl\b", re.IGNORECASE), re.compile(r"\s(?:-u|--user)[\s=]*[\"']?[^\s:\"']+:([^\s\"'`@]+)")),
+    (re.compile(r"\bmysql(?:dump|admin)?\b", re.IGNORECASE), re.compile(r"\s-p([^\s\"'`]+)")),
+)
 #: A name, what may stand between it and its value, and the value in quotes.
 _ASSIGN = re.compile(
-    r"(?<![\w.])(?P<name>[^\W\d][\w.\-]{0,100})[\"'`]?\]?\s{0,20}"
-    r"(?:(?::\s*(?:&?(?:'static\s+)?[A-Za-z]+|\[\]byte)\s*)?(?P<op>:=|=>|==|=|:|>|,)\s*|[ \t]+(?=[\"']))"
+    r"(?<![\w.])(?<!\w-)(?P<name>[^\W\d][\w.\-]*)[\"'`]?\]?\s*"
+    r"(?:(?::\s*(?:&?(?:'static\s+)?[A-Za-z]+|\[\]byte)\s*)?(?P<op>:=|=>|==|=|:|>|,)\s*|(?<=[ \t])(?=[\"']))"
     r"(?:\(\s*(?:(?://|#|--)\s*)?)?(?:[rbuf](?=[\"'])|\[\]byte\()?"
     r"(?:\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`)"
 )
@@ -94,8 +102,8 @@ _BARE = re.compile(r"[^\w<]*(?:(?:export|local|set|env|setenv|declare|readonly)\
 #: The rest of a value that is put together from strings, on this line or the next.
 _MORE = re.compile(r"\s*(?:\+|\.\.?|\\)?\s*(?:(?://|#|--)\s*)?(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')")
 _ANY_QUOTE = re.compile(r"[\"'`]")
-#: A string that is given to something.
-_GIVEN = re.compile(r"[=:(]\s*([\"'`])([!#-&(-_a-~]{10,128})\1")
+#: A string that is given to something or stands in a list.
+_GIVEN = re.compile(r"[=:(\[,]\s*([\"'`])([!#-&(-_a-~]{10,})\1")
 #: A token of any length, quoted or not.
 _LONG = re.compile(r"(?<![\w+/\-.@%$\\&#])[A-Za-z0-9_+/\-]{24,}={0,2}(?![\w+/\-.@%(\[\\])")
 #: A line of a table or of encoded text.
@@ -146,10 +154,22 @@ def _classes(value: str) -> int:
     return sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
 
 
+_PATH = re.compile(r"~?(?:/[\w.\-]*)+$")
+
+
 def is_placeholder(value: str) -> bool:
+    """Whether a value stands for another or says where it is kept; a path is one unless it looks random."""
+    if _PATH.match(value) and not (_random_token(value, 24) and _mixed(value)):
+        return True
     return bool(_PLACEHOLDER.match(value)) or len(set(value)) <= 2 or "${" in value or "{{" in value
 
 
+def _mixed(value: str) -> bool:
+    """Lower case, upper case and digits that alternate as in no name or path."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in value if c.isalnum()]
+    return set(kinds) == {"d", "u", "l"} and kinds.count("d") >= 2 and sum(map(str.__ne__, kinds, kinds[1:])) >= 0.4 * (len(kinds) - 1)
+
+
 def _random_token(value: str, least: int) -> bool:
     """Whether a value looks like drawn at random."""
     n = len(value)
@@ -236,138 +256,127 @@ def _value_counts(name: str, value: str, quoted: bool) -> bool:
     return False
 
 
-def find_credentials(text: str) -> list[Finding]:
-    """The credentials of a text, by place. Key blocks start at their BEGIN line."""
-    found: list[Finding] = []
-    taken: list[tuple[int, int]] = []
+class _Found:
+    """Findings, and the places that are taken; no two overlap."""
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+    def __init__(self) -> None:
+        self.all: list[Finding] = []
+        self._taken: list[tuple[int, int]] = []
 
-    def add(kind: str, *spans: tuple[int, int]) -> None:
-        if spans and all(a < b and free(a, b) for a, b in spans):
-            found.append(Finding(kind, spans))
-            taken.extend(spans)
+    def free(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self._taken, (b, b))
+        return i == 0 or self._taken[i - 1][1] <= a
 
-    if "-----BEGIN " in text:
-        for m in _OTHER_BLOCK.finditer(text):
-            a, b = m.span()
-            head = _BEGIN.match(text, a)
-            if head is None:
-                taken.append((a, b))
-                continue
-            end = _END.search(text, head.end())
-            stop = end.end() if end else head.end()
-            if end is None:  # cut off: as far as the lines look like a key
-                for line in re.finditer(r"[^\n]*\n?", text[head.end() :]):
-                    bare = line.group().strip(" \t\r\n#/*-\"'+\\,;")
-                    if bare and not re.fullmatch(r"[A-Za-z0-9+/=]+|[A-Za-z\-]+: .*", bare):
-                        break
-                    stop = head.end() + line.end()
-                    if line.end() == line.start():
-                        break
-            body = text[head.end() : end.start() if end else stop]
-            if _BODY.search(body) or not body.strip():
-                add("private key", (a, stop))
-            else:
-                taken.append((a, stop))
-    a = 0
-    while a < len(text):
-        b = text.find("\n", a)
-        b = len(text) if b < 0 else b
-        if b - a >= 6:
-            _scan_line(text, a, b, add, free)
-        a = b + 1
-    for m in _GIVEN.finditer(text):
-        if free(*m.span(2)) and _lone_token(text, m.start(1), m.end(), m.group(2)):
-            add("token", m.span(2))
-    for m in _LONG.finditer(text):
-        if free(*m.span()) and _long_token(text, *m.span()):
-            add("token", m.span())
-    return sorted(found, key=lambda f: f.start)
+    def take(self, a: int, b: int) -> None:
+        bisect.insort(self._taken, (a, b))
 
+    def add(self, kind: str, *spans: tuple[int, int]) -> None:
+        if spans and all(a < b and self.free(a, b) for a, b in spans):
+            self.all.append(Finding(kind, spans))
+            for a, b in spans:
+                self.take(a, b)
 
-def _lone_token(text: str, a: int, b: int, value: str) -> bool:
-    """A random looking string whose name doesn't say what it is; rows of a table of strings don't count."""
-    size = alphabet(value)
-    if size < 64 or _classes(value) < 3 or not _random_token(value, 20 if size == 64 else 10) or is_placeholder(value) or _NOT_SECRET.match(value):
-        return False
-    if len(value) > 64 or re.search(r"[(){}\[\]<>|\;,]|%[(sdv]|://|\.\.?/", value) or size == 64 and re.search(r"[./]\w*[./]|^\.|^[\w\-]+\.[\w.\-]+$", value):
-        return False
-    line_start = text.rfind("\n", 0, a) + 1
-    line_end = text.find("\n", b)
-    before, after = text[line_start:a], text[b : line_end if line_end >= 0 else len(text)]
-    if after.rstrip().endswith("+") or re.search(r"data:|base64|sha\d|integrity", before, re.IGNORECASE):
-        return False
-    names = re.findall(r"[^\W\d][\w\-]*", before)
-    return bool(names) and name_strength(names[-1]) >= 0
 
+def find_credentials(text: str) -> list[Finding]:
+    """The credentials of a text, by place. Key blocks start at their BEGIN line."""
+    found = _Found()
+    if "-----BEGIN " in text:
+        _key_blocks(text, found)
+    _known_forms(text, found)
+    _assignments(text, found)
+    _bare_lines(text, found)
+    for m in _GIVEN.finditer(text):
+        if found.free(*m.span(2)) and _lone_token(text, m.start(1), m.end(), m.group(2)):
+            found.add("token", m.span(2))
+    for m in _LONG.finditer(text):
+        if found.free(*m.span()) and _long_token(text, *m.span()):
+            found.add("token", m.span())
+    return sorted(found.all, key=lambda f: f.start)
 
-def _long_token(text: str, a: int, b: int) -> bool:
-    """A long token that no name speaks for: all of lower case, upper case and digits, and mixed as in no name or path.
 
-    Hex, and lower case and digits alone, look like hashes and ids and need a name.
-    """
-    value = text[a:b]
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in value if c.isalnum()]
-    if set(kinds) != {"d", "u", "l"} or kinds.count("d") < 2 or sum(map(str.__ne__, kinds, kinds[1:])) < 0.4 * (len(kinds) - 1):
-        return False
-    if not _random_token(value, 24) or is_placeholder(value) or _NOT_SECRET.match(value) or "//" in value[:2]:
-        return False
-    start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-    end = len(text) if end < 0 else end
-    before, after = text[start:a], text[b:end]
-    if after.rstrip().endswith("+") or re.search(r"data:|base64|sha\d|integrity|ssh-|ecdsa-|AAAA", before + value[:8], re.IGNORECASE):
-        return False
-    above = text.rfind("\n", 0, max(0, start - 1)) + 1
-    below = text.find("\n", end + 1)
-    if _ROW.match(text, end + 1, len(text) if below < 0 else below) or _ROW.match(text, start, end) and _ROW.match(text, above, max(0, start - 1)):
-        return False
-    names = re.findall(r"[^\W\d][\w\-]*", before)
-    return not names or name_strength(names[-1]) >= 0
+def _key_blocks(text: str, found: _Found) -> None:
+    for m in _OTHER_BLOCK.finditer(text):
+        a, b = m.span()
+        head = _BEGIN.match(text, a)
+        if head is None:
+            found.take(a, b)
+            continue
+        end = _END.search(text, head.end())
+        stop = end.end() if end else head.end()
+        if end is None:  # cut off: as far as the lines look like a key
+            for line in re.finditer(r"[^\n]*\n?", text[head.end() :]):
+                bare = line.group().strip(" \t\r\n#/*-\"'+\\,;")
+                if bare and not re.fullmatch(r"[A-Za-z0-9+/=]+|[A-Za-z\-]+: .*", bare):
+                    break
+                stop = head.end() + line.end()
+                if line.end() == line.start():
+                    break
+        if not found.free(a, stop):
+            continue
+        body = text[head.end() : end.start() if end else stop]
+        if _BODY.search(body) or not body.strip():
+            found.add("private key", (a, stop))
+        else:
+            found.take(a, stop)
 
 
-def _scan_line(text: str, a: int, b: int, add, free) -> None:
-    line = text[a:b]
-    for m in _URL.finditer(text, a, b) if "://" in line else ():
-        value = m.group(2)
-        if not is_placeholder(value) and not (_WORDS_ONLY.match(value) and len(value) < 6) and not value.startswith("$") and value.lower() not in ("pass", "password", "secret", "user"):
-            add("url", m.span(2))
-    for m in ISSUED.finditer(text, a, b):
+def _known_forms(text: str, found: _Found) -> None:
+    """URLs, issuers' tokens, headers and arguments of commands."""
+    at = 0
+    while "://" in text and (m := _URL.search(text, at)):
+        at = m.end()
+        word = _URL_PASSWORD.match(text, at)
+        if word is None:
+            continue
+        value = word.group()
+        if not _HOST.match(text, word.end()):
+            at = word.end()  # no @ in it, so no other URL in it has a password
+        elif not is_placeholder(value) and not (_WORDS_ONLY.match(value) and len(value) < 6) and not value.startswith("$") and value.lower() not in ("pass", "password", "secret", "user"):
+            found.add("url", word.span())
+    for m in ISSUED.finditer(text):
         if not is_placeholder(m.group()):
-            add("token", m.span())
-    for m in _HEADER.finditer(text, a, b) if ":" in line else ():
+            found.add("token", m.span())
+    for m in _HEADER.finditer(text):
         value = m.group(m.lastindex)
         if not is_placeholder(value) and len(value) >= 8 and (_is_key(value) or _is_password(value)):
-            add("header", m.span(m.lastindex))
-    for m in _FLAG.finditer(text, a, b) if " " in line else ():
+            found.add("header", m.span(m.lastindex))
+    flags = list(_FLAG.finditer(text))
+    for command, flag in _FLAG_OF:
+        for m in flag.finditer(text) if command.search(text) else ():
+            if command.search(text, text.rfind("\n", 0, m.start()) + 1, m.start() + 1):
+                flags.append(m)
+    for m in flags:
         value = m.group(m.lastindex)
         if _is_password(value) or _is_key(value):
-            add("argument", m.span(m.lastindex))
-    if not _ANY_QUOTE.search(text, a, b) and "(" not in line[-3:]:
-        m = _BARE.match(text, a, b)
-        if m is None:
-            return
-        kind = "bare" if m.group("bare") is not None else "inner"
-        name, value = m.group("name" if kind == "bare" else "tag"), m.group(kind)
-        strength = name_strength(name)
-        if strength <= 0 or "(" in value or "[" in value or value.endswith("{"):
-            return
-        if re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)*", value) and not (re.search(r"\d", value) and (_random_token(value, 8) or strength == 3 and _classes(value) >= 3)):
-            return  # a name, not a value
-        if _value_counts(name, value, False):
-            add("value", m.span(kind))
-        return
-    at = a
-    while m := _ASSIGN.search(text, at, min(len(text), b + 200)):
-        if m.start() >= b:
-            break
+            found.add("argument", m.span(m.lastindex))
+
+
+def _bare_lines(text: str, found: _Found) -> None:
+    """Lines that give a name a word without quotes."""
+    a = 0
+    while a < len(text):
+        b = text.find("\n", a)
+        b = len(text) if b < 0 else b
+        if b - a >= 6 and not _ANY_QUOTE.search(text, a, b) and "(" not in text[max(a, b - 3) : b] and (m := _BARE.match(text, a, b)):
+            kind = "bare" if m.group("bare") is not None else "inner"
+            name, value = m.group("name" if kind == "bare" else "tag"), m.group(kind)
+            strength = name_strength(name)
+            is_name = re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)*", value) and not (re.search(r"\d", value) and (_random_token(value, 8) or strength == 3 and _classes(value) >= 3))
+            if strength > 0 and "(" not in value and "[" not in value and not value.endswith("{") and not is_name and _value_counts(name, value, False):
+                found.add("value", m.span(kind))
+        a = b + 1
+
+
+def _assignments(text: str, found: _Found) -> None:
+    """Names with a value in quotes, on the same line or the next, of any length and put together from any number of strings."""
+    at = 0
+    while m := _ASSIGN.search(text, at):
         kind = next(k for k in ("d", "s", "b") if m.group(k) is not None)
         value, span = m.group(kind), m.span(kind)
         name = m.group("name")
         strength = name_strength(name)
         at = m.end("name") if strength <= 0 else m.end()
-        if strength <= 0 or m.group("op") == "==" or not free(*span):
+        if strength <= 0 or m.group("op") == "==" or not found.free(*span):
             continue
         spans, whole = [span], value
         end = m.end()
@@ -382,10 +391,56 @@ def _scan_line(text: str, a: int, b: int, add, free) -> None:
             whole += more.group(g)
             end = more.end()
         if _value_counts(name, whole, True):
-            add("value", *(s for s in spans if s[0] < s[1]))
+            found.add("value", *(s for s in spans if s[0] < s[1]))
             at = end
 
 
+def _line_around(text: str, a: int, b: int) -> tuple[int, int]:
+    start, end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    return start, len(text) if end < 0 else end
+
+
+def _among_rows(text: str, start: int, end: int) -> bool:
+    """Whether the line is one of several rows of a table or of encoded text."""
+    above = text.rfind("\n", 0, max(0, start - 1)) + 1
+    below = text.find("\n", end + 1)
+    after = _ROW.match(text, end + 1, len(text) if below < 0 else below)
+    return bool(after or _ROW.match(text, start, end) and _ROW.match(text, above, max(0, start - 1)))
+
+
+def _unnamed(text: str, a: int, b: int, value: str) -> bool:
+    """Whether nothing around a random looking value says that it is something else."""
+    start, end = _line_around(text, a, b)
+    before, after = text[start:a], text[b:end]
+    if after.rstrip().endswith("+") or re.search(r"data:|base64|sha\d|integrity|ssh-|ecdsa-|AAAA", before + value[:8], re.IGNORECASE):
+        return False
+    if _among_rows(text, start, end):
+        return False
+    names = re.findall(r"[^\W\d][\w\-]*", before)
+    return not names or name_strength(names[-1]) >= 0
+
+
+def _lone_token(text: str, a: int, b: int, value: str) -> bool:
+    """A random looking string whose name doesn't say what it is; rows of a table of strings don't count."""
+    size = alphabet(value)
+    if size < 64 or _classes(value) < 3 or not _random_token(value, 20 if size == 64 else 10) or is_placeholder(value) or _NOT_SECRET.match(value):
+        return False
+    if re.search(r"[(){}\[\]<>|\\;,]|%[(sdv]|://|\.\.?/", value) or size == 64 and re.search(r"[./]\w*[./]|^\.|^[\w\-]+\.[\w.\-]+$", value) and not _mixed(value):
+        return False
+    return _unnamed(text, a, b, value)
+
+
+def _long_token(text: str, a: int, b: int) -> bool:
+    """A long token that no name speaks for: all of lower case, upper case and digits, and mixed as in no name or path.
+
+    Hex, and lower case and digits alone, look like hashes and ids and need a name.
+    """
+    value = text[a:b]
+    if not _mixed(value) or not _random_token(value, 24) or is_placeholder(value) or _NOT_SECRET.match(value) or "//" in value[:2]:
+        return False
+    return _unnamed(text, a, b, value)
+
+
 def redact(text: str, found: list[Finding], mark: str = "REDACTED") -> str:
     """The text with only the credentials replaced; quotes, lines and everything around them stay."""
     out, at = [], 0

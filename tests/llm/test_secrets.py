@@ -162,3 +162,79 @@ def test_lines_without_known_words():
     rows = "\n".join(draw(76) for _ in range(4))
     for text in [f"HARBOR={draw(40, '0123456789abcdef')}", f"content_hash={draw(40)}", f"logo: data:image/png;base64,{draw(90)}", rows, "T = (\n" + "\n".join(f'    b"{x}"' for x in rows.split("\n")) + "\n)", "src/Buffer2/HandleRelayGraphV3/LockerIndexTable"]:
         assert S.find_credentials(f"a\n{text}\nb\n") == [], text
+
+
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _random(seed, n, letters=_ALNUM):
+    r = random.Random(seed)
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "upload {} to it",
+        "x = '{}'",
+        'send(["first", "{}"])',
+        "call(page, '{}')",
+        "// left over: {}",
+    ],
+)
+@pytest.mark.parametrize("n", [32, 40, 44, 64, 80, 130, 700])
+def test_tokens_without_a_name_at_any_length(line, n):
+    value = _random(n, n)
+    text = f"a = 1\n{line.format(value)}\nb = 2\n"
+    (one,) = S.find_credentials(text)
+    assert text[slice(*one.spans[0])] == value
+
+
+def test_names_of_seeds_and_one_time_passwords():
+    assert S.find_credentials(f'seed = "{_random(1, 64, "0123456789abcdef")}"')
+    assert S.find_credentials(f'totp: "{_random(2, 32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")}"')
+    assert not S.find_credentials("seed = 42\notp = None\n")
+
+
+def test_long_values_and_far_flags():
+    password = _random(3, 3000)
+    for text in (f"postgres://user:{password}@db.example.org/x", f"postgres://{'u' * 500}:{password}@db.example.org/x", f'password = "{password}"', "password = (\n" + " " * 300 + f'"{password}")', f"{'n' * 300}_password = '{password}'", f"password{' ' * 60}= '{password}'", f"curl -H 'a: {'b ' * 900}' -u admin:{password} https://x.example"):
+        (one,) = S.find_credentials(text)
+        assert text[slice(*one.spans[0])] == password
+    assert not S.find_credentials("http://a.example:8080/x and y@z.example")
+
+
+def test_a_key_that_begins_like_a_path():
+    assert S.find_credentials('aws_secret_access_key = "/LNg9jZxOf1d+WKZ7S1cEkPwSpEVmy7/L/zqMFP4"')
+    assert not S.find_credentials('secret_key = "/etc/ssl/private/server-01.key"')
+
+
+def test_precision_and_recall_on_forms_that_no_rule_names():
+    """Random credentials and what resembles them, in templates made for this test."""
+    r = random.Random(12)
+    hexa, b64 = "0123456789abcdef", _ALNUM + "+/"
+    true = [
+        lambda: f'client.connect(host, user, password="{_random(r.random(), 12)}7a!")',
+        lambda: f"SERVICE_TOKEN={_random(r.random(), 36)}",
+        lambda: f"  storage_key: '{_random(r.random(), 86, b64)}=='",
+        lambda: f'"refreshToken": "{_random(r.random(), 48)}",',
+        lambda: f"let auth = \"{_random(r.random(), 40)}\";",
+        lambda: f"webhook_secret = '{_random(r.random(), 40, hexa)}'",
+        lambda: f"amqp://svc:{_random(r.random(), 18)}@queue.example.net:5672/v",
+        lambda: f"# old one was {_random(r.random(), 40)}",
+    ]
+    false = [
+        lambda: f'revision = "{_random(r.random(), 40, hexa)}"',
+        lambda: f'"integrity": "sha512-{_random(r.random(), 86, b64)}==",',
+        lambda: "request_id: " + "-".join(_random(r.random(), k, hexa) for k in (8, 4, 4, 4, 12)),
+        lambda: f"password = os.environ['DB_PASSWORD_{r.randrange(9)}']",
+        lambda: f"token = settings.tokens[{r.randrange(99)}].value",
+        lambda: "api_key: ${API_KEY_" + str(r.randrange(9)) + "}",
+        lambda: f"url = 'https://files.example.org/builds/{_random(r.random(), 40, hexa)}/app.tar.gz'",
+        lambda: f'password_hint = "the name of street {r.randrange(99)}"',
+    ]
+    # each on a page of its own, as neighbouring lines of tokens are data
+    page = "x = 1\n{}\ny = 2\n"
+    hits = sum(bool(S.find_credentials(page.format(f()))) for f in true for _ in range(50))
+    wrong = sum(bool(S.find_credentials(page.format(f()))) for f in false for _ in range(50))
+    assert hits / (50 * len(true)) >= 0.97 and hits / (hits + wrong) >= 0.99
