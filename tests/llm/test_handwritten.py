@@ -41,6 +41,24 @@ B64 = "".join(_rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0
         ("/r/src/few.c", "#include <stdio.h>\n\nstatic const int relay[] = {\n    94, 51, 30,\n    64, 56, 86,\n};\n\nint sum(int a)\n{\n\tint total = 0;\n\tfor (int i = 0; i < a; i++)\n\t\ttotal += relay[i];\n\treturn total;\n}\n", None),
         ("/r/src/key.py", PY + f'KEY = "{B64[:200]}"\n', None),
         ("/r/docs/a.md", "word " * 3000, None),
+        ("/r/src/a.py", "# Released under the MIT License.\n" + PY, None),
+        ("/r/src/a.py", "# Distributed under the Apache license, version 2.\n" + PY, None),
+        ("/r/src/a.py", "# kelyar v8.14.19\n# https://kelyar.example/\n# Released under the MIT license\n" + PY, "vendored"),
+        ("/r/src/a.py", "# Reader v2.1\n# Released under the MIT License.\n" + PY, None),
+        ("/r/external/adapter.py", PY, None),
+        ("/r/src/deps/resolve.py", PY, None),
+        ("/r/contrib/plugins/a.py", PY, None),
+        ("/r/external/kelyar-3.8/a.py", PY, "vendored"),
+        ("/r/deps/kelyar/src/a.py", PY, "vendored"),
+        ("/r/src/a.py", "# emitted by protogen v3, changes will be lost\n" + PY, "generated"),
+        ("/r/src/a.py", "# Rendered from table.tmpl; never edit, run make instead.\n" + PY, "generated"),
+        ("/r/src/a.py", "# Built by hand from parts that may be lost.\n" + PY, None),
+        ("/r/web/a.cjs", "!function(e,t){" + "".join(f"function f{i}(a,b){{return a?b[{i}]:null}}" for i in range(60)) + "}()", "minified"),
+        ("/r/web/a.dart", "!function(e,t){" + "".join(f"function f{i}(a,b){{return a?b[{i}]:null}}" for i in range(60)) + "}()", "minified"),
+        ("/r/web/b.js", "!function(e){for(var i=0;i<9;i++)e[i]=function(){return(i+1)}}(this)", "minified"),
+        ("/r/web/c.js", "[][(![]+[])[+[]]+(![]+[])[!+[]+!+[]]]" * 40, "minified"),
+        ("/r/data/d.py", "x = (\n" + "\n".join(B64[i : i + 90].replace("+", "a").replace("/", "b") for i in range(0, 900, 90)) + "\n)\n", "data"),
+        ("/r/conf/a.json", "{" + '"a":1,' * 400 + "}", None),
         (None, None, None),
         ("", "", None),
     ],

@@ -178,7 +178,7 @@ def _random(seed, n, letters=_ALNUM):
         "upload {} to it",
         "x = '{}'",
         'send(["first", "{}"])',
-        "call(page, '{}')",
+        "call(target, '{}')",
         "// left over: {}",
     ],
 )
