@@ -2,7 +2,9 @@
 
 For each model a codebook is fitted on a bounded sample: leaves (k-means) and, for each pair of dimensions, sixteen
 centres that minimise the score-aware loss, in which the part of the error that is parallel to the vector weighs
-``eta`` times the rest. Every vector is stored once, in its nearest leaf, as the length of its residual to the leaf's
+``eta`` times the rest. A model of more vectors than the leaves of one level can take has further levels: each cuts every
+leaf by the same centres of what is left of its vectors, so the number of leaves grows with the number of vectors and the
+codebook does not. Every vector is stored once, in its nearest leaf, as the length of its residual to the leaf's
 centre and four bits a pair of dimensions of the residual's direction, and asks the leaves that the sample showed to be
 enough. A leaf is cut into blocks of stored vectors and of queries, so a leaf that holds a third of all rows is many
 tasks; in each, table scans pick candidates, whose exact cosines are returned. Where the codes' errors leave it open
@@ -16,7 +18,8 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +48,55 @@ def eta(dimensions: int, threshold: float = 0.2) -> float:
     return max(1.0, (dimensions - 1) * threshold**2 / (1 - threshold**2))
 
 
-def _residual(x: np.ndarray, leaves: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def centre(levels: list[np.ndarray], leaf: np.ndarray | int) -> np.ndarray:
+    """Centres of leaves, the sums of one centre of each level. The number of a leaf holds a digit for each level, the last level's lowest."""
+    out = 0.0
+    for own in reversed(levels[1:]):
+        out = out + own[leaf % len(own)]
+        leaf = leaf // len(own)
+    return levels[0][leaf] + out
+
+
+def leaf_count(levels: list[np.ndarray]) -> int:
+    return math.prod(map(len, levels))
+
+
+def home_leaf(levels: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The leaf of each unit vector, level by level."""
+    leaf = (x @ levels[0].T).argmax(1)
+    rest = x - levels[0][leaf] if len(levels) > 1 else x
+    for own in levels[1:]:
+        digit = (rest @ own.T - (own * own).sum(1) / 2).argmax(1)
+        rest = rest - own[digit]
+        leaf = leaf * len(own) + digit
+    return leaf
+
+
+#: Partial sums that are followed from one level to the next.
+_BEAM = 128
+
+
+def nearest_leaves(levels: list[np.ndarray], x: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` leaves for each vector, the greatest inner product with their centres first."""
+    if len(levels) > 1 and len(x) > 256:  # the sums of further levels are large
+        return np.concatenate([nearest_leaves(levels, x[i : i + 256], most) for i in range(0, len(x), 256)])
+    score = x @ levels[0].T
+    leaf = np.broadcast_to(np.arange(len(levels[0])), score.shape)
+    for own in levels[1:]:
+        width = min(score.shape[1], max(_BEAM, math.ceil(4 * most / len(own))))
+        kept = np.argpartition(-score, width - 1, axis=1)[:, :width]
+        add = x @ own.T
+        score = (np.take_along_axis(score, kept, axis=1)[:, :, None] + add[:, None, :]).reshape(len(x), -1)
+        leaf = (np.take_along_axis(leaf, kept, axis=1)[:, :, None] * len(own) + np.arange(len(own))).reshape(len(x), -1)
+    if most < score.shape[1]:
+        kept = np.argpartition(-score, most - 1, axis=1)[:, :most]
+        score, leaf = np.take_along_axis(score, kept, axis=1), np.take_along_axis(leaf, kept, axis=1)
+    return np.take_along_axis(leaf, np.argsort(-score, axis=1, kind="stable"), axis=1)
+
+
+def _residual(x: np.ndarray, levels: list[np.ndarray], home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Direction (zero if there is none) and length of the way from each vector's leaf centre to it."""
-    rest = x - leaves[home]
+    rest = x - centre(levels, home)
     length = np.linalg.norm(rest, axis=1)
     return rest / np.maximum(length, 1e-12)[:, None], length
 
@@ -114,65 +163,137 @@ def _fit_leaves(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 1
     return leaves
 
 
-def _enough(x: np.ndarray, leaves: np.ndarray, k: int, target: float) -> int:
+def _fit_rests(rest: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Centres of what the levels so far leave of the vectors."""
+    own = rest[rng.choice(len(rest), k, replace=False)].copy()
+    for _ in range(rounds):
+        near = (rest @ own.T - (own * own).sum(1) / 2).argmax(1)
+        for j in range(k):
+            members = rest[near == j]
+            if len(members):
+                own[j] = members.mean(0)
+    return own
+
+
+def level_sizes(rows: int, sample: int, leaf_rows: int, first: int = 1024, further: int = 256) -> list[int]:
+    """How many centres each level has so that a leaf holds about ``leaf_rows`` of ``rows`` vectors."""
+    most = max(1, sample // 16)
+    wanted = max(1, round(rows / leaf_rows))
+    sizes = [min(first, wanted, most)]
+    while (missing := math.ceil(wanted / math.prod(sizes))) > 1 and most > 1:
+        sizes.append(min(further, missing, most))
+    return sizes
+
+
+def _enough(x: np.ndarray, levels: list[np.ndarray], k: int, target: float) -> int:
     """How many nearest leaves hold the share ``target`` of the sample's true neighbours."""
-    if len(leaves) == 1:
+    count = leaf_count(levels)
+    if count == 1:
         return 1
-    asked = x[: min(len(x), 1000)]
+    asked = x[: min(len(x), 1000 if len(levels) == 1 else 250)]
     scores = asked @ x.T
     scores[np.arange(len(asked)), np.arange(len(asked))] = -2
     near = np.argpartition(-scores, min(k, len(x) - 2), axis=1)[:, :k]
-    home = (x @ leaves.T).argmax(1)
-    order = np.argsort(np.argsort(-(asked @ leaves.T), axis=1), axis=1)
-    rank = np.take_along_axis(order, home[near], axis=1)
-    return int(min(len(leaves), np.quantile(rank, target, method="higher") + 1))
-
-
-def fit(x: np.ndarray, rows: int, k: int = 10, leaf_rows: int = 4096, most_leaves: int = 1024, target: float = 0.97, seed: int = 7) -> dict:
+    home = home_leaf(levels, x)
+    found = nearest_leaves(levels, asked, min(count, 32_768))
+    rank = np.full((len(asked), near.shape[1]), found.shape[1])
+    for i in range(len(asked)):
+        order = np.argsort(found[i])
+        at = np.minimum(np.searchsorted(found[i], home[near[i]], sorter=order), found.shape[1] - 1)
+        hit = found[i][order[at]] == home[near[i]]
+        rank[i][hit] = order[at][hit]
+    return int(min(found.shape[1], np.quantile(rank, target, method="higher") + 1))
+
+
+def fit(x: np.ndarray, rows: int, k: int = 10, leaf_rows: int = 4096, target: float = 0.97, seed: int = 7, first: int = 1024, further: int = 256) -> dict:
     """Codebook of one model from a sample ``x`` of its ``rows`` unit vectors."""
     rng = np.random.default_rng(seed)
-    count = int(min(most_leaves, max(1, round(rows / leaf_rows)), max(1, len(x) // 16)))
-    leaves = _fit_leaves(x, count, rng)
-    way, _ = _residual(x, leaves, (x @ leaves.T).argmax(1))
+    sizes = level_sizes(rows, len(x), leaf_rows, first, further)
+    levels = [_fit_leaves(x, sizes[0], rng)]
+    for size in sizes[1:]:
+        levels.append(_fit_rests(x - centre(levels, home_leaf(levels, x)), size, rng))
+    way, _ = _residual(x, levels, home_leaf(levels, x))
     weight = eta(x.shape[1])
     return {
-        "leaves": leaves,
+        "levels": levels,
         "centres": _fit_centres(_padded(x), weight, 6, rng, _padded(way)),
         "weight": weight,
-        "probes": _enough(x, leaves, k, target),
+        "probes": _enough(x, levels, k, target),
     }
 
 
+def _rows(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """A matrix from a column of lists or of bytes, all of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_binary(column.type):
+        flat = np.frombuffer(b"".join(column.to_pylist()), kind)
+    else:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return flat.reshape(len(column), -1)
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    x = np.ascontiguousarray(x)
+    width = x.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])
+
+
+def _by_model(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Model, ids and unit vectors of the rows of each model in a batch of ``model, id, vector``."""
+    models = batch.column("model")
+    for model in models.unique().to_pylist():
+        own = batch.filter(pc.equal(models, model))
+        yield model, own.column("id").to_numpy(), _unit(_rows(own.column("vector"), np.float32))
+
+
+_PLACED = "model string, leaf long, block int, part int, asks boolean, id long, vector binary, codes binary, length float, error float"
+
+
 def _assign(shared, copies: dict):
     """Each vector once as stored, with its codes, and once for each leaf it asks."""
-    columns = ["model", "leaf", "block", "part", "asks", "id", "vector", "codes", "length", "error"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in _PLACED.split(", ")]
+
+    def rows(model, leaf, block, part, asks, ids, vectors, codes, length, error) -> pa.RecordBatch:
+        n = len(ids)
+        columns = [
+            pa.array([model], pa.string()).take(pa.array(np.zeros(n, np.int64))),
+            pa.array(leaf, pa.int64()),
+            pa.array(np.broadcast_to(block, n), pa.int32()),
+            pa.array(np.broadcast_to(part, n), pa.int32()),
+            pa.array(np.full(n, asks)),
+            pa.array(ids, pa.int64()),
+            _bytes(vectors),
+            pa.nulls(n, pa.binary()) if codes is None else _bytes(codes),
+            pa.nulls(n, pa.float32()) if length is None else pa.array(length, pa.float32()),
+            pa.nulls(n, pa.float32()) if error is None else pa.array(error, pa.float32()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = {m: pickle.loads(b) for m, b in shared.value.items()}
-        for frame in frames:
-            for model, own in frame.groupby("model", sort=False):
+        for batch in batches:
+            for model, ids, x in _by_model(batch):
                 book = books[model]
-                x = _unit(np.stack(own["vector"].to_numpy()))
-                ids = own["id"].to_numpy(np.int64)
-                near = np.argsort(-(x @ book["leaves"].T), axis=1, kind="stable")[:, : book["probes"]]
-                way, length = _residual(x, book["leaves"], near[:, 0])
+                near = nearest_leaves(book["levels"], x, book["probes"])
+                home = home_leaf(book["levels"], x)
+                way, length = _residual(x, book["levels"], home)
                 codes = quantise(_padded(x), book["centres"], book["weight"], coded=_padded(way))
                 error = length * np.linalg.norm(_padded(way) - _decode(codes, book["centres"]), axis=1)
-                packed = [c.tobytes() for c in codes[:, 0::2] << 4 | codes[:, 1::2]]
+                packed = codes[:, 0::2] << 4 | codes[:, 1::2]
                 blocks, parts = copies[model]
                 salt = (ids * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(33)
-                home = near[:, 0]
-                vectors = list(x)
                 block = (salt % blocks[home].astype(np.uint64)).astype(np.int32)
                 for part in range(parts):
-                    yield pd.DataFrame(dict(zip(columns, (model, home, block, part, False, ids, vectors, packed, length, error), strict=True)), columns=columns)
+                    yield rows(model, home, block, part, False, ids, x, packed, length, error)
                 part = ((salt >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
                 for r in range(near.shape[1]):
                     for b in range(int(blocks[near[:, r]].max())):
                         asks = blocks[near[:, r]] > b
                         if asks.any():
-                            kept = [v for v, a in zip(vectors, asks, strict=True) if a]
-                            yield pd.DataFrame(dict(zip(columns, (model, near[asks, r], b, part[asks], True, ids[asks], kept, None, np.nan, np.nan), strict=True)), columns=columns)
+                            yield rows(model, near[asks, r], b, part[asks], True, ids[asks], x[asks], None, None, None)
 
     return run
 
@@ -188,18 +309,26 @@ def scan(queries: np.ndarray, packed: np.ndarray, centres: np.ndarray) -> np.nda
     return out
 
 
+_FOUND = "model string, id long, other long, cosine double"
+
+
 def _search(shared, k: int, candidates: int):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        book = pickle.loads(shared.value[key[0]])
-        asks = frame["asks"].to_numpy(bool)
-        stored, asking = frame[~asks], frame[asks]
+    def table(model, a, b, c) -> pa.Table:
+        names = pa.array([model], pa.string()).take(pa.array(np.zeros(len(a), np.int64)))
+        return pa.table({"model": names, "id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        model, leaf = key[0].as_py(), key[1].as_py()
+        book = pickle.loads(shared.value[model])
+        asks = rows.column("asks")
+        stored, asking = rows.filter(pc.invert(asks)), rows.filter(asks)
         if not len(stored) or not len(asking):
-            return pd.DataFrame({"model": [], "id": [], "other": [], "cosine": []})
-        data, ids = np.stack(stored["vector"].to_numpy()).astype(np.float32), stored["id"].to_numpy(np.int64)
-        packed = np.frombuffer(b"".join(stored["codes"]), np.uint8).reshape(len(stored), -1)
-        queries, own = np.stack(asking["vector"].to_numpy()).astype(np.float32), asking["id"].to_numpy(np.int64)
-        length, error = stored["length"].to_numpy(np.float32), stored["error"].to_numpy(np.float32)
-        centre = book["leaves"][key[1]]
+            return table(model, [], [], [])
+        data, ids = _rows(stored.column("vector"), np.float32), stored.column("id").to_numpy()
+        packed = _rows(stored.column("codes"), np.uint8)
+        queries, own = _rows(asking.column("vector"), np.float32), asking.column("id").to_numpy()
+        length, error = stored.column("length").to_numpy(), stored.column("error").to_numpy()
+        middle = centre(book["levels"], leaf)
         keep = min(candidates, len(data))
         found = []
         for at in range(0, len(queries), 256):
@@ -216,7 +345,7 @@ def _search(shared, k: int, candidates: int):
                 reach = approximate + error
                 np.put_along_axis(reach, picked, -np.inf, axis=1)
                 least = cosine[:, k - 1] if keep >= k else np.full(len(q), -2, np.float32)
-                open_ = np.flatnonzero(reach.max(1) + q @ centre + _ROUNDING >= least)
+                open_ = np.flatnonzero(reach.max(1) + q @ middle + _ROUNDING >= least)
                 whole = q[open_] @ data.T
                 whole[ids == me[open_, None]] = -2
                 best = np.argpartition(-whole, min(k, len(data)) - 1, axis=1)[:, :k]
@@ -225,8 +354,7 @@ def _search(shared, k: int, candidates: int):
                 cosine[open_], other[open_] = np.take_along_axis(whole, best, axis=1), ids[best]
             real = cosine > -2
             found.append((np.repeat(me, real.sum(1)), other[real], cosine[real]))
-        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"model": key[0], "id": a, "other": b, "cosine": c.astype(np.float64)})
+        return table(model, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
@@ -264,11 +392,13 @@ def nearest(
     leaf_rows: int = 4096,
     block_rows: int = 8192,
     part_rows: int = 16_384,
+    centres: tuple[int, int] = (1024, 256),
     **columns: str,
 ) -> DataFrame:
     """``model, id, other, cosine``: for every valid vector up to ``k`` other vectors of its model, most similar first.
 
-    The codebooks are fitted on at most ``sample_rows`` vectors of each model, and all vectors are indexed and ask.
+    The codebooks are fitted on at most ``sample_rows`` vectors of each model, and all vectors are indexed and ask. A leaf
+    holds about ``leaf_rows`` vectors however many there are: the first level has up to ``centres[0]`` centres and each further one up to ``centres[1]``.
     ``candidates`` of each scanned block are reranked exactly, and a query to which another vector of the block may be
     as near is compared with all of it; so the cosines are exact, nothing is lost in a scanned block, and only the
     choice of leaves is approximate. Ties go to the lower id. See :func:`valid_vectors` for what counts (``columns`` are its column
@@ -283,30 +413,32 @@ def nearest(
     if not sizes:
         return spark.createDataFrame([], "model string, id long, other long, cosine double")
 
-    def fit_model(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(np.stack(frame["vector"].to_numpy()))
-        book = fit(x, sizes[key[0]], k, leaf_rows)
-        return pd.DataFrame({"model": [key[0]], "book": [pickle.dumps(book)]})
+    def fit_model(key: tuple, rows: pa.Table) -> pa.Table:
+        model = key[0].as_py()
+        x = _unit(_rows(rows.column("vector"), np.float32))
+        book = fit(x, sizes[model], k, leaf_rows, first=centres[0], further=centres[1])
+        return pa.table({"model": [model], "book": pa.array([pickle.dumps(book)], pa.binary())})
 
-    books = {r["model"]: bytes(r["book"]) for r in _sample(valid, sample_rows).groupBy("model").applyInPandas(fit_model, "model string, book binary").collect()}
+    books = {r["model"]: bytes(r["book"]) for r in _sample(valid, sample_rows).groupBy("model").applyInArrow(fit_model, "model string, book binary").collect()}
     shared = spark.sparkContext.broadcast(books)
 
-    def home(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = {m: pickle.loads(b)["leaves"] for m, b in shared.value.items()}
-        for frame in frames:
-            for m, f in frame.groupby("model", sort=False):
-                leaf, n = np.unique((_unit(np.stack(f["vector"].to_numpy())) @ own[m].T).argmax(1), return_counts=True)
-                yield pd.DataFrame({"model": m, "leaf": leaf, "n": n})
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = {m: pickle.loads(b)["levels"] for m, b in shared.value.items()}
+        for batch in batches:
+            for m, _, x in _by_model(batch):
+                leaf, n = np.unique(home_leaf(levels[m], x), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"model": [m] * len(leaf), "leaf": leaf.astype(np.int64), "n": n.astype(np.int64)})
 
     copies = {}
     for m, b in books.items():
         book = pickle.loads(b)
-        copies[m] = (np.ones(len(book["leaves"]), np.int64), max(1, math.ceil(sizes[m] * book["probes"] / len(book["leaves"]) / part_rows)))
-    # one small row a leaf: how many blocks each needs
-    for r in valid.mapInPandas(home, "model string, leaf int, n long").groupBy("model", "leaf").agg(F.sum("n").alias("n")).collect():
+        count = leaf_count(book["levels"])
+        copies[m] = (np.ones(count, np.int64), max(1, math.ceil(sizes[m] * book["probes"] / count / part_rows)))
+    # one small row a leaf, a few thousandths of the vectors: how many blocks each needs
+    for r in valid.mapInArrow(home, "model string, leaf long, n long").groupBy("model", "leaf").agg(F.sum("n").alias("n")).collect():
         copies[r["model"]][0][r["leaf"]] = max(1, math.ceil(r["n"] / block_rows))
-    placed = valid.mapInPandas(_assign(shared, copies), "model string, leaf int, block int, part int, asks boolean, id long, vector array<float>, codes binary, length float, error float")
-    found = placed.groupBy("model", "leaf", "block", "part").applyInPandas(_search(shared, k, candidates), "model string, id long, other long, cosine double")
+    placed = valid.mapInArrow(_assign(shared, copies), _PLACED)
+    found = placed.groupBy("model", "leaf", "block", "part").applyInArrow(_search(shared, k, candidates), _FOUND)
     order = Window.partitionBy("model", "id").orderBy(F.col("cosine").desc(), F.col("other"))
     best = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     return best.select(F.substring_index("model", _SPACE, 1).alias("model"), "id", "other", "cosine")

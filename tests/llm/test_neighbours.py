@@ -18,7 +18,7 @@ def exact(x, ids, k=10):
     return {int(i): {int(ids[j]) for j in o} for i, o in zip(ids, order, strict=True)}, s
 
 
-@pytest.mark.parametrize("sizes", [{}, {"leaf_rows": 200, "block_rows": 150, "part_rows": 300, "candidates": 64}])
+@pytest.mark.parametrize("sizes", [{}, {"leaf_rows": 200, "block_rows": 150, "part_rows": 300, "candidates": 64}, {"leaf_rows": 40, "block_rows": 150, "centres": (8, 6)}])
 def test_recall_of_random_and_clustered_vectors(spark, sizes):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 32))
@@ -54,6 +54,27 @@ def test_recall_in_a_group_of_near_copies(spark, noise):
     assert sum(len(found[i] & set(w.tolist())) for i, w in enumerate(want)) / 3000 >= 0.95
 
 
+@pytest.mark.parametrize("rows", [1, 5_000, 75_000, 10_000_000, 1_000_000_000, 1_000_000_000_000])
+def test_leaves_grow_with_the_vectors_and_the_codebook_does_not(rows):
+    sizes = N.level_sizes(rows, min(rows, 16_384), 4096)
+    assert sum(sizes) <= 1024 + 3 * 256
+    assert rows / np.prod(sizes) <= 1.5 * 4096
+
+
+def test_levels():
+    rng = np.random.default_rng(3)
+    x = N._unit(rng.normal(size=(4000, 24)))
+    book = N.fit(x, 400_000, leaf_rows=1000, first=16, further=5)
+    assert [len(c) for c in book["levels"]] == [16, 5, 5] and N.leaf_count(book["levels"]) == 400
+    leaf = N.home_leaf(book["levels"], x)
+    assert leaf.min() >= 0 and leaf.max() < 400
+    rest = np.linalg.norm(x - N.centre(book["levels"], leaf), axis=1).mean()
+    assert rest < np.linalg.norm(x - book["levels"][0][leaf // 25], axis=1).mean()
+    near = N.nearest_leaves(book["levels"], x[:300], 400)
+    every = x[:300] @ N.centre(book["levels"], np.arange(400)).T
+    assert (near == np.argsort(-every, axis=1, kind="stable")).mean() > 0.99 and all(len(set(r)) == 400 for r in near.tolist())
+
+
 def test_what_counts(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
