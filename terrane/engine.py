@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
 import time
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane import journal as J
-from terrane.durable import checkpointed
+from terrane.durable import checkpointed, written
 from terrane.errors import Closed, InvalidQuery, NotIndexed, UnsafePath
-from terrane.functions.paths import directory, within
+from terrane.functions.paths import ancestors, directory, within
 from terrane.functions.text import segment_index, truncate_utf8
 from terrane.functions.vectors import bucket, hash_vectors, model_name
 from terrane.operators import context, graph, inverted, nearest, relational, retrieval
@@ -23,20 +25,30 @@ from terrane.snapshot import SCHEMA_VERSION, Store, Version
 from terrane.sources.extract import EXTRACT_BYTES, HEAD_BYTES, extract_files, read_contents
 from terrane.sources.tree import register
 
-#: Tables of a version, in the order in which they depend on each other.
+#: Tables that are read by their name; the last three but one are made from ``chunk_concepts`` where they are read.
 TABLES = ("files", "chunks", "symbols", "symbol_refs", "tags", "embeddings", "chunk_embeddings", "concepts", "concept_occurrences", "concept_edges", "scan_roots")
+#: The column of file ids of each stored table; a table without one is written as a whole.
+KEYS = {
+    "files": "id",
+    "file_postings": "id",
+    "file_lengths": "id",
+    **dict.fromkeys(("chunks", "symbols", "symbol_refs", "embeddings", "chunk_embeddings", "chunk_concepts", "chunk_postings"), "file_id"),
+}
+#: What is made from the row of a file, and thus anew when only the row changes.
+_OF_FILES = ("files", "file_postings", "file_lengths")
 
 _EMPTY = {
     "files": "id long, parent_id long, scan_root string, name string, path string, kind string, size long, mtime_ns long, link_target string, content_head string, content_hash string, mime string, tags_text string, search_text string, indexed_at_ns long",
+    "file_postings": "token string, id long, field int, pos int",
+    "file_lengths": "id long, length int",
     "chunks": "id long, file_id long, ordinal long, language string, symbol string, start_line long, end_line long, content string, content_hash string, search_text string",
+    "chunk_postings": "token string, id long, field int, pos int, file_id long",
+    "chunk_concepts": "chunk_id long, file_id long, pos int, name string, kind string",
     "symbols": "id long, file_id long, symbol string, kind string, start_line long, end_line long",
     "symbol_refs": "id long, file_id long, caller_symbol string, callee_symbol string, line long",
     "tags": "file_id long, tag string",
     "embeddings": "file_id long, model string, dimensions int, bucket int, vector array<float>, content_hash string, updated_at_ns long",
-    "chunk_embeddings": "chunk_id long, model string, dimensions int, bucket int, vector array<float>, content_hash string, updated_at_ns long",
-    "concepts": "id long, name string, kind string, doc_count long",
-    "concept_occurrences": "concept_id long, chunk_id long",
-    "concept_edges": "src long, dst long, co_count long",
+    "chunk_embeddings": "chunk_id long, model string, dimensions int, bucket int, vector array<float>, content_hash string, updated_at_ns long, file_id long",
     "scan_roots": "path string, last_scan_ns long, last_duration_ns long, entry_count long",
 }
 
@@ -48,6 +60,10 @@ class Options:
     content_bytes: int = HEAD_BYTES
     extract_bytes: int = EXTRACT_BYTES
     max_rows: int = sqlgate.MAX_ROWS
+    #: A table of more parts than this is put together.
+    most_parts: int = 8
+    #: Folder of the journal of changes; by default beside the index, and needed where that isn't on a local file system.
+    journal: str = ""
     dimensions: int = 256
     include: Sequence[str] = field(default=())
     exclude: Sequence[str] = field(default=())
@@ -66,30 +82,68 @@ class ScanResult:
     seconds: float
 
 
+def _concept_id(name: Column) -> Column:
+    """Concepts are known by a number that follows from their name, so it never changes."""
+    return F.xxhash64(name).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def _with_parents(rows: DataFrame, every: DataFrame) -> DataFrame:
+    """``rows`` with the id of the entry that holds each of them."""
+    parents = every.select(F.col("id").alias("parent_id"), F.col("path").alias("_folder"))
+    return rows.join(parents, directory(F.col("path")) == F.col("_folder"), "left").drop("_folder")
+
+
+def _missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The paths that the file system doesn't have."""
+    for batch in batches:
+        yield batch.filter(pa.array([not os.path.lexists(p) for p in batch.column(0).to_pylist()], pa.bool_()))
+
+
 class Engine:
     """An index at ``path``. Every change publishes a new version; readers see whole versions only."""
 
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None) -> None:
-        self.spark, self.path, self.options = spark, os.path.abspath(path), options or Options()
+        self.local = "://" not in path
+        self.spark, self.path, self.options = spark, os.path.abspath(path) if self.local else path.rstrip("/"), options or Options()
         register(spark)
         self.store = Store(spark, self.path)
         self.store.current()  # refuses what a newer engine wrote
-        self.journal = J.Journal(os.path.join(self.path, "journal"))
+        folder = self.options.journal or (os.path.join(self.path, "journal") if self.local else "")
+        self.journal = J.Journal(folder) if folder else None
         self._open = True
         sqlfunctions.register(spark)
         self.migrate()
-        J.recover(self.journal, self._rename_rows, self._remove_rows)
+        if self.journal is not None:
+            J.recover(self.journal, self._rename_rows, self._remove_rows)
 
     # -- versions
 
     def migrate(self) -> bool:
-        """Brings a version of an older schema up to date by making its derived tables again."""
+        """Brings a version of an older schema up to date, step by step; each step is a version of its own."""
         version = self.store.current()
         if version is None or version.schema >= SCHEMA_VERSION:
             return False
-        self.rebuild()
+        while version.schema < SCHEMA_VERSION:
+            tables = self._STEPS.get(version.schema, lambda *_: {})(self, version)
+            version = self.store.publish(tables, version, schema=version.schema + 1)
         return True
 
+    def _add_search_text(self, version: Version) -> dict[str, DataFrame]:
+        files = self.table("files", version).withColumn("search_text", segment_index(F.col("content_head")))
+        return {"files": files, "chunks": self.table("chunks", version).withColumn("search_text", segment_index(F.col("content")))}
+
+    def _add_concepts(self, version: Version) -> dict[str, DataFrame]:
+        return {"chunk_concepts": self._concepts_of(self.table("chunks", version))}
+
+    def _add_indexes(self, version: Version) -> dict[str, DataFrame]:
+        files, chunks = self.table("files", version), self.table("chunks", version)
+        vectors = self.table("chunk_embeddings", version).drop("file_id")
+        with_file = vectors.join(chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id")
+        return {**self._index_of(files), "chunk_postings": self._postings_of(chunks), "chunk_concepts": self._concepts_of(chunks), "chunk_embeddings": with_file}
+
+    #: By the schema that a step starts from.
+    _STEPS = {1: _add_search_text, 2: _add_concepts, 3: _add_indexes}
+
     def columns(self, name: str) -> list[tuple[str, str]]:
         """Names and types of a table's columns."""
         return self.table(name).dtypes
@@ -105,9 +159,15 @@ class Engine:
     def table(self, name: str, version: Version | None = None) -> DataFrame:
         """A table of a version, empty if it was never written."""
         version = version or self._version()
+        if name in ("concepts", "concept_occurrences", "concept_edges"):
+            found = self.table("chunk_concepts", version).withColumn("concept_id", _concept_id(F.col("name")))
+            if name == "concepts":
+                return graph.concept_nodes(found).select(_concept_id(F.col("name")).alias("id"), "name", "kind", "doc_count")
+            occurrences = found.select("concept_id", "chunk_id")
+            return occurrences if name == "concept_occurrences" else graph.edges(occurrences)
         if version is None or name not in version.tables:
             return self.spark.createDataFrame([], _EMPTY[name])
-        return self.store.read(name, version)
+        return self.store.read(name, version, KEYS.get(name))
 
     @property
     def model(self) -> str:
@@ -118,8 +178,11 @@ class Engine:
 
     # -- building
 
-    def listing(self, root: str) -> DataFrame:
+    def listing(self, root: str, paths: Sequence[str] | None = None) -> DataFrame:
+        """The entries below a root, or those at and below some paths of it, that the policy admits."""
         reader = self.spark.read.format("tree").option("root", root).option("database", self.path).option("all_files", str(self.options.all_files))
+        if paths is not None:
+            reader = reader.option("paths", json.dumps(list(paths)))
         out = reader.option("include", ",".join(self.options.include)).option("exclude", ",".join([*self.options.exclude])).load()
         return out.filter(~within(F.col("path"), self.path))
 
@@ -131,7 +194,7 @@ class Engine:
         began = time.time_ns()
         root = os.path.abspath(root)
         version = self._version()
-        found = checkpointed(self.listing(root))
+        found = written(self.listing(root), "listing")
         entries = found.count()
         if not entries:
             raise NotIndexed(f"{root} doesn't exist")
@@ -155,19 +218,20 @@ class Engine:
             raise NotIndexed("no indexed folder holds these paths")
         if batch is not None and batch <= version.batches.get(root, -1):
             return 0
-        listing = self.listing(root)
-        touched = F.lit(False)
-        for p in paths:
-            touched = touched | within(F.col("path"), p)
-        found = checkpointed(listing.filter(touched))
-        gone = self.table("files", version).filter(touched).select("path").join(found.select("path"), "path", "left_anti")
+        found = written(self.listing(root, paths), "listing")
+        known = self.table("files", version).select("path")
+        # a known path is touched if it or a folder above it is given
+        above = known.select("path", F.explode(ancestors(F.col("path"))).alias("above"))
+        given = self.spark.createDataFrame([(p,) for p in paths], "above string")
+        gone = above.join(given, "above", "left_semi").select("path").distinct().join(found.select("path"), "path", "left_anti")
         self._apply(version, found, gone, root, time.time_ns(), [], None, None, {root: batch} if batch is not None else None)
         return len(paths)
 
     def _apply(self, version, found, gone, root, began, tags, entries, reuse, batches=None) -> None:
+        """Publishes a version with the new rows of the entries that changed; all others' rows stay where they are."""
         files = self.table("files", version)
-        changed = found if reuse is None else found.join(reuse, "path", "left_anti")
-        texts = checkpointed(extract_files(read_contents(changed, self.options.extract_bytes), self.options.extract_bytes))
+        changed = found if reuse is None else written(found.join(reuse, "path", "left_anti"), "changed")
+        texts = written(extract_files(read_contents(changed, self.options.extract_bytes), self.options.extract_bytes), "texts")
         mime = F.when(F.col("kind") == "dir", "inode/directory").when(F.col("kind") == "symlink", "inode/symlink").otherwise(F.coalesce("mime", F.lit("")))
         text = F.coalesce("text", F.lit(""))
         rows = changed.join(texts, "path", "left").select(
@@ -181,50 +245,75 @@ class Engine:
             truncate_utf8(text, self.options.content_bytes).alias("content_head"),
             F.coalesce("content_hash", F.lit("")).alias("content_hash"),
             mime.alias("mime"),
-            F.lit(None).cast("string").alias("tags_text"),
             segment_index(truncate_utf8(text, self.options.content_bytes)).alias("search_text"),
             F.lit(began).alias("indexed_at_ns"),
-            F.lit(None).cast("long").alias("parent_id"),
         )
-        merged = checkpointed(relational.upsert(files, rows, gone))
-        parents = merged.select(F.col("id").alias("_p"), F.col("path").alias("_folder"))
-        merged = checkpointed(merged.drop("parent_id").join(parents, directory(F.col("path")) == F.col("_folder"), "left").withColumnRenamed("_p", "parent_id").drop("_folder"))
-        ids = merged.select("id", "path")
-        fresh = changed.select("path").join(ids, "path").select(F.col("id").alias("file_id"), "path")
-        dead = files.select(F.col("id").alias("file_id")).join(merged.select(F.col("id").alias("file_id")), "file_id", "left_anti")
-        replaced = checkpointed(fresh.select("file_id").unionByName(dead).distinct())
-        parsed = texts.join(fresh, "path")
-        tables = {"files": merged}
-        tables["chunks"] = self._children("chunks", version, replaced, parsed, "chunks", ["ordinal", "symbol", "start_line", "end_line", "content", "content_hash"], ["ordinal"])
-        chunks = tables["chunks"]
-        tables["symbols"] = self._children("symbols", version, replaced, parsed, "symbols", ["symbol", "start_line", "end_line"], ["start_line", "symbol"])
-        tables["symbol_refs"] = self._children("symbol_refs", version, replaced, parsed, "refs", ["caller", "callee", "line"], ["line", "caller", "callee"])
+        paths = files.select("path", "id")
+        rows = written(relational.with_ids(paths, rows), "rows")
+        dead = written(paths.join(gone, "path", "left_semi").join(rows.select("path"), "path", "left_anti").select(F.col("id").alias("file_id")), "dead")
+        fresh = rows.select(F.col("id").alias("file_id"), "path")
+        replaced = fresh.select("file_id").unionByName(dead)
         own = self.table("tags", version).join(dead, "file_id", "left_anti")
+        top = paths.select(F.col("id").alias("file_id"), "path").unionByName(fresh).filter(F.col("path") == root).select("file_id").distinct()
         if tags:
-            top = merged.filter(F.col("path") == root).select(F.col("id").alias("file_id"), F.explode(F.array(*map(F.lit, tags))).alias("tag"))
-            own = own.unionByName(top).dropDuplicates()
-        tables["tags"] = checkpointed(own)
-        tables["files"] = self._with_tags(merged, tables["tags"])
+            own = own.unionByName(top.select("file_id", F.explode(F.array(*map(F.lit, tags))).alias("tag"))).dropDuplicates()
+        own = written(own, "tags")
+        # rows of files that were not read again, but whose folder is new or whose tags changed
+        folders = rows.filter("kind = 'dir'").join(paths.select("path"), "path", "left_anti").select("path")
+        stay = files.join(replaced, F.col("id") == F.col("file_id"), "left_anti")
+        orphans = stay.join(folders, directory(stay["path"]) == folders["path"], "left_semi")
+        again = orphans if not tags else orphans.unionByName(stay.filter(F.col("path") == root)).dropDuplicates(["id"])
+        every = paths.join(replaced, F.col("id") == F.col("file_id"), "left_anti").unionByName(rows.select("path", "id"))
+        columns = self.spark.createDataFrame([], _EMPTY["files"]).columns
+        plain = [c for c in columns if c not in ("parent_id", "tags_text")]
+        now_files = written(self._with_tags(_with_parents(rows.select(*plain).unionByName(again.select(*plain)), every), own).select(*columns), "files")
+        parsed = texts.join(fresh, "path")
+        counters: dict[str, int] = {}
+        added = {**self._index_of(now_files)}
+        added["chunks"] = self._children("chunks", version, counters, parsed, "chunks", ["ordinal", "symbol", "start_line", "end_line", "content", "content_hash"], ["ordinal"])
+        chunks = added["chunks"]
+        added["chunk_postings"] = self._postings_of(chunks)
+        added["chunk_concepts"] = self._concepts_of(chunks)
+        added["symbols"] = self._children("symbols", version, counters, parsed, "symbols", ["symbol", "start_line", "end_line"], ["start_line", "symbol"])
+        added["symbol_refs"] = self._children("symbol_refs", version, counters, parsed, "refs", ["caller", "callee", "line"], ["line", "caller", "callee"])
         now = F.lit(began)
-        texts_of_files = merged.filter("kind = 'file'").join(fresh.select(F.col("file_id").alias("id")), "id", "left_semi")
-        file_vectors = self._embed(texts_of_files.select("id", F.concat_ws("\n", "name", "path", "content_head").alias("text")))
-        tables["embeddings"] = self._vectors("embeddings", "file_id", version, replaced, file_vectors, texts_of_files, now)
-        new_chunks = chunks.join(replaced, "file_id", "left_semi")
-        chunk_vectors = self._embed(new_chunks.select("id", F.concat_ws("\n", "symbol", "content").alias("text")))
-        kept_chunks = self.table("chunk_embeddings", version).join(chunks.join(replaced, "file_id", "left_anti").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-        tables["chunk_embeddings"] = kept_chunks.unionByName(self._vector_rows(chunk_vectors, new_chunks, "chunk_id", now))
-        tables |= self._concepts(chunks)
-        scans = self.table("scan_roots", version)
+        readable = now_files.filter("kind = 'file'").join(fresh.select(F.col("file_id").alias("id")), "id", "left_semi")
+        file_vectors = self._embed(readable.select("id", F.concat_ws("\n", "name", "path", "content_head").alias("text")))
+        added["embeddings"] = self._vector_rows(file_vectors, readable, "file_id", now)
+        chunk_vectors = self._embed(chunks.select("id", F.concat_ws("\n", "symbol", "content").alias("text")))
+        added["chunk_embeddings"] = self._vector_rows(chunk_vectors, chunks, "chunk_id", now).join(chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id")
+        tables = {"tags": own}
         if entries is not None:
             own_scan = self.spark.createDataFrame([(root, began, time.time_ns() - began, entries)], _EMPTY["scan_roots"])
-            scans = scans.filter(F.col("path") != root).unionByName(own_scan)
-        tables["scan_roots"] = scans
-        self.store.publish(tables, version, batches)
-
-    def _children(self, name, version, replaced, parsed, column, fields, order) -> DataFrame:
-        """Rows of a table that belong to files: those of other files as they were, and the new ones with new ids."""
-        old = self.table(name, version)
-        rest = old.join(replaced, "file_id", "left_anti")
+            tables["scan_roots"] = self.table("scan_roots", version).filter(F.col("path") != root).unionByName(own_scan)
+        gone_rows = {None: replaced, _OF_FILES: again.select(F.col("id").alias("file_id"))}
+        self.compact(self.store.publish(tables, version, batches, added, gone_rows if version else None, counters))
+
+    def compact(self, version: Version) -> Version:
+        """Puts together the tables that have come to more parts than the options say."""
+        many = [n for n, parts in version.tables.items() if len(parts) > self.options.most_parts]
+        return self.store.publish({n: self.table(n, version) for n in many}, version) if many else version
+
+    def _index_of(self, files: DataFrame) -> dict[str, DataFrame]:
+        """Rows of files and what is made of each of them."""
+        return {
+            "files": files,
+            "file_postings": inverted.in_token_order(inverted.postings(files, inverted.FILE_FIELDS)),
+            "file_lengths": inverted.lengths(files, inverted.FILE_FIELDS),
+        }
+
+    @staticmethod
+    def _postings_of(chunks: DataFrame) -> DataFrame:
+        return inverted.in_token_order(inverted.postings(chunks, inverted.CHUNK_FIELDS, keep=["file_id"]))
+
+    @staticmethod
+    def _concepts_of(chunks: DataFrame) -> DataFrame:
+        """Concepts of chunks, from which the graph is made, so that it never drifts from them."""
+        found = graph.extract_concepts(chunks).join(chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id")
+        return found.select("chunk_id", "file_id", F.col("pos").cast("int").alias("pos"), "name", "kind")
+
+    def _children(self, name, version, counters, parsed, column, fields, order) -> DataFrame:
+        """New rows of a table that belong to files, with new ids."""
         rows = parsed.select("file_id", "language", F.explode(column).alias("c")).select("file_id", "language", *(F.col(f"c.{f}").alias(f) for f in fields))
         if name == "chunks":
             rows = rows.withColumn("search_text", segment_index(F.col("content")))
@@ -233,32 +322,24 @@ class Engine:
         if name == "symbol_refs":
             rows = rows.withColumnRenamed("caller", "caller_symbol").withColumnRenamed("callee", "callee_symbol")
             order = [{"caller": "caller_symbol", "callee": "callee_symbol"}.get(o, o) for o in order]
-        first = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
-        fresh = numbered(rows, ["file_id", *order], "id", first)
+        last = version.counters.get(name) if version else 0
+        if last is None:  # a version of an older schema
+            last = self.table(name, version).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         schema = self.spark.createDataFrame([], _EMPTY[name]).dtypes
-        return checkpointed(rest.unionByName(fresh.select(*(F.col(c).cast(t).alias(c) for c, t in schema))))
+        fresh = written(numbered(rows, ["file_id", *order], "id", last + 1).select(*(F.col(c).cast(t).alias(c) for c, t in schema)), name)
+        counters[name] = fresh.agg(F.coalesce(F.max("id"), F.lit(last))).first()[0]
+        return fresh
 
     @staticmethod
     def _with_tags(files: DataFrame, tags: DataFrame) -> DataFrame:
         texts = relational.tags_text(tags).select(F.col("file_id").alias("id"), F.col("tags_text").alias("_t"))
-        return files.join(texts, "id", "left").withColumn("tags_text", F.coalesce("_t", F.lit(""))).drop("_t")
+        return files.drop("tags_text").join(texts, "id", "left").withColumn("tags_text", F.coalesce("_t", F.lit(""))).drop("_t")
 
     def _vector_rows(self, vectors, rows, key, now) -> DataFrame:
         return vectors.join(rows.select("id", "content_hash"), "id").select(
             F.col("id").alias(key), F.lit(self.model).alias("model"), F.size("vector").alias("dimensions"), bucket(F.col("vector")).alias("bucket"), F.col("vector").cast("array<float>").alias("vector"), "content_hash", now.alias("updated_at_ns")
         )
 
-    def _vectors(self, name, key, version, replaced, vectors, rows, now) -> DataFrame:
-        rest = self.table(name, version).join(replaced, key, "left_anti")
-        return rest.unionByName(self._vector_rows(vectors, rows, key, now))
-
-    def _concepts(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        """Concept tables from the chunks, so that they never drift from them."""
-        extracted = checkpointed(graph.extract_concepts(chunks))
-        nodes = checkpointed(numbered(graph.concept_nodes(extracted), ["name"], "id").select("id", "name", "kind", "doc_count"))
-        occurrences = checkpointed(extracted.join(nodes.select(F.col("id").alias("concept_id"), "name"), "name").select("concept_id", "chunk_id"))
-        return {"concepts": nodes, "concept_occurrences": occurrences, "concept_edges": graph.edges(occurrences)}
-
     # -- queries
 
     def list(self, path: str) -> DataFrame:
@@ -276,13 +357,15 @@ class Engine:
 
     def find(self, text: str) -> DataFrame:
         """Files with any of the words, by BM25 over the whole index."""
-        files = self.table("files")
+        version = self._version()
+        files = self.table("files", version)
         asked = self._asked(text)
         if inverted.query_phrases(asked).isEmpty():
             raise InvalidQuery("nothing in the query can be searched for")
-        hits = inverted.find(files, asked).join(files.select("id", "path", "kind", "size", "content_head"), "id")
+        index = inverted.Index(self.table("file_postings", version), self.table("file_lengths", version))
+        hits = inverted.find(index, asked).join(files.select("id", "path", "kind", "size", "content_head"), "id")
         words = [r["token"] for r in inverted.query_phrases(asked).select("token").distinct().collect()]
-        cut = F.udf(lambda t: inverted.snippet(t or "", words), "string")
+        cut = inverted.snippets(words)
         top = hits.orderBy(F.desc(F.round("score", 9)), "path").limit(self.options.max_rows)
         return top.select("path", "kind", "size", "score", cut("content_head").alias("snippet")).orderBy(F.desc(F.round("score", 9)), "path")
 
@@ -290,7 +373,8 @@ class Engine:
         version = self._version()
         names = self.spark.createDataFrame([(name,)], "name string")
         concepts = self.table("concepts", version)
-        return graph.related(names, concepts, self.table("concept_edges", version), concepts.select("id", "doc_count"), limit)
+        around = graph.edges_around(self.table("concept_occurrences", version), names.select(_concept_id(F.col("name")).alias("id")))
+        return graph.related(names, concepts, around, concepts.select("id", "doc_count"), limit, directed=True)
 
     def concept_occurrences(self, name: str, limit: int = 20) -> DataFrame:
         version = self._version()
@@ -307,7 +391,8 @@ class Engine:
         """Read-only SQL over the tables of the current version."""
         version = self._version()
         for name in TABLES:
-            self.table(name, version).createOrReplaceTempView(name)
+            shown = self.table(name, version)
+            (shown.drop("file_id") if name == "chunk_embeddings" else shown).createOrReplaceTempView(name)
         return sqlgate.query(self.spark, text, args, max_rows or self.options.max_rows)
 
     def _asked(self, text: str) -> DataFrame:
@@ -324,12 +409,14 @@ class Engine:
         by_file = nearest.topk(own.select(F.col("file_id").alias("id"), "vector"), vectors, limit, limit)
         parts = self.table("chunk_embeddings", version).filter(F.col("model") == self.model)
         by_chunk = nearest.topk(parts.select(F.col("chunk_id").alias("id"), "vector"), vectors, limit, limit)
-        by_chunk = by_chunk.join(chunks.select("id", "file_id"), "id").groupBy("query_id", F.col("file_id").alias("id")).agg(F.max("cosine").alias("cosine"))
-        near = by_file.unionByName(by_chunk).groupBy("query_id", "id").agg(F.max("cosine").alias("cosine"))
+        near_chunks = retrieval.chunk_vectors(by_chunk, chunks)
         concepts = None
         if self.options.concept_fusion:
-            concepts = retrieval.concept_neighbours(queries, self.table("concepts", version), self.table("concept_edges", version), self.table("concept_occurrences", version), chunks, request.candidates)
-        return retrieval.hybrid_search(queries, files, chunks, request, now_ns or time.time_ns(), near, concepts, self.options.reranker)
+            concepts = retrieval.concept_neighbours(queries, self.table("concepts", version), None, self.table("concept_occurrences", version), chunks, request.candidates)
+        return retrieval.hybrid_search(
+            queries, files, chunks, request, now_ns or time.time_ns(), by_file, concepts, self.options.reranker,
+            near_chunks=near_chunks, file_index=self.table("file_postings", version), chunk_index=self.table("chunk_postings", version),
+        )
 
     def search(self, text: str, request: retrieval.Request | None = None, now_ns: int | None = None) -> DataFrame:
         return self.search_all(self._asked(text), request, now_ns).drop("query_id").orderBy("place")
@@ -346,16 +433,16 @@ class Engine:
         files = self.table("files", version)
         counts = relational.check(files, self.table("chunks", version), self.table("embeddings", version), self.table("concept_occurrences", version), self.table("concepts", version))
         out = {r["item"]: r["n"] for r in counts.collect()}
-        missing = F.udf(lambda p: not os.path.lexists(p), "boolean")
-        out["missing_paths"] = files.filter(missing("path")).count()
+        out["missing_paths"] = files.select("path").mapInArrow(_missing, "path string").count()
         return out
 
     def rebuild(self) -> None:
-        """Makes every derived column and table again."""
+        """Makes every derived column and table again, each in one part."""
         version = self._version()
         files = self.table("files", version).withColumn("search_text", segment_index(F.col("content_head")))
-        chunks = checkpointed(self.table("chunks", version).withColumn("search_text", segment_index(F.col("content"))))
-        self.store.publish({"files": self._with_tags(files, self.table("tags", version)), "chunks": chunks, **self._concepts(chunks)}, version)
+        files = written(self._with_tags(files, self.table("tags", version)), "files")
+        chunks = written(self.table("chunks", version).withColumn("search_text", segment_index(F.col("content"))), "chunks")
+        self.store.publish({**self._index_of(files), "chunks": chunks, "chunk_postings": self._postings_of(chunks), "chunk_concepts": self._concepts_of(chunks)}, version)
 
     # -- changes
 
@@ -378,9 +465,16 @@ class Engine:
         self._publish_tags(self.table("tags", version).filter(~((F.col("file_id") == file_id) & (F.col("tag") == tag))), version)
 
     def _publish_tags(self, tags: DataFrame, version: Version) -> None:
-        self.store.publish({"tags": tags, "files": self._with_tags(self.table("files", version), tags)}, version)
+        tags = written(tags, "tags")
+        # only files whose tags changed get new rows
+        old = self.table("tags", version)
+        touched = written(tags.exceptAll(old).unionByName(old.exceptAll(tags)).select("file_id").distinct(), "touched")
+        rows = written(self._with_tags(self.table("files", version).join(touched.select(F.col("file_id").alias("id")), "id", "left_semi"), tags), "files")
+        self.compact(self.store.publish({"tags": tags}, version, None, self._index_of(rows), {_OF_FILES: touched}))
 
     def _guard(self, path: str) -> str:
+        if self.journal is None:
+            raise UnsafePath("changes to files need the folder of a journal")
         path = os.path.abspath(path)
         if path == "/" or self.path == path or self.path.startswith(path.rstrip("/") + "/"):
             raise UnsafePath(path)
@@ -402,11 +496,14 @@ class Engine:
         version = self._version()
         if version is None:
             return
-        files = checkpointed(relational.rename_subtree(self.table("files", version), old, new))
-        parents = files.select(F.col("id").alias("_p"), F.col("path").alias("_folder"))
-        files = files.drop("parent_id").join(parents, directory(F.col("path")) == F.col("_folder"), "left").withColumnRenamed("_p", "parent_id").drop("_folder")
+        files = self.table("files", version)
+        columns = files.columns
+        inside = relational.rename_subtree(files.filter(within(F.col("path"), old)), old, new)
+        every = files.filter(~within(F.col("path"), old)).select("path", "id").unionByName(inside.select("path", "id"))
+        rows = written(_with_parents(inside.drop("parent_id"), every).select(*columns), "moved")
         moved = F.when(within(F.col("path"), old), F.concat(F.lit(new), F.substring("path", len(old) + 1, 1 << 30))).otherwise(F.col("path"))
-        self.store.publish({"files": files, "scan_roots": self.table("scan_roots", version).withColumn("path", moved)}, version)
+        scans = {"scan_roots": self.table("scan_roots", version).withColumn("path", moved)}
+        self.compact(self.store.publish(scans, version, None, self._index_of(rows), {_OF_FILES: rows.select(F.col("id").alias("file_id"))}))
 
     def remove(self, path: str, recursive: bool = False) -> None:
         """Deletes a path from the file system and the index; a folder that isn't empty needs ``recursive``."""
@@ -427,12 +524,9 @@ class Engine:
         version = self._version()
         if version is None:
             return
-        files = self.table("files", version)
-        children = {n: (self.table(n, version), "file_id") for n in ("chunks", "symbols", "symbol_refs", "tags", "embeddings")}
-        left = {n: checkpointed(t) for n, t in relational.remove_subtree(files, path, children).items()}
-        kept = left["chunks"].select(F.col("id").alias("chunk_id"))
-        left["chunk_embeddings"] = self.table("chunk_embeddings", version).join(kept, "chunk_id", "left_semi")
-        left["scan_roots"] = self.table("scan_roots", version).filter(~within(F.col("path"), path))
-        self.store.publish(left | self._concepts(left["chunks"]), version)
-
-
+        gone = written(self.table("files", version).filter(within(F.col("path"), path)).select(F.col("id").alias("file_id")), "gone")
+        tables = {
+            "tags": self.table("tags", version).join(gone, "file_id", "left_anti"),
+            "scan_roots": self.table("scan_roots", version).filter(~within(F.col("path"), path)),
+        }
+        self.store.publish(tables, version, replaced={None: gone})

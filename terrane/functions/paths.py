@@ -17,6 +17,12 @@ def directory(path: Column) -> Column:
     return F.when(parent == "", "/").otherwise(parent)
 
 
+def ancestors(path: Column) -> Column:
+    """A path and every folder above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when((n == 1) & path.startswith("/"), "/").otherwise(F.array_join(F.slice(parts, 1, n), "/")))
+
+
 def depth(path: Column) -> Column:
     return F.size(F.split(path, "/"))
 

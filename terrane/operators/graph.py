@@ -42,11 +42,23 @@ def edges(occurrences: DataFrame) -> DataFrame:
     """
     clean = occurrences.select("concept_id", "chunk_id").dropna()
     sets = clean.groupBy("chunk_id").agg(F.sort_array(F.collect_set("concept_id")).alias("c"))
-    left = sets.select("c", F.posexplode("c").alias("i", "src"))
-    pairs = left.select("src", F.explode(F.slice("c", F.col("i") + 2, F.size("c"))).alias("dst"))
+    # pairs are made within the row; the array itself is not repeated for each element
+    each = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("src"), y.alias("dst")))))
+    pairs = sets.select(F.explode(each).alias("p")).select("p.src", "p.dst")
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("co_count"))
 
 
+def edges_around(occurrences: DataFrame, start: DataFrame) -> DataFrame:
+    """``src, dst, co_count``: the edges of the concepts ``start`` (id) only, from each to its neighbours.
+
+    Only the chunks of these concepts are read, so a single name costs as much as it occurs and not the whole graph.
+    """
+    clean = occurrences.select("concept_id", "chunk_id").dropna().distinct()
+    own = clean.join(start.select(F.col("id").alias("concept_id")).distinct(), "concept_id", "left_semi").select(F.col("concept_id").alias("src"), "chunk_id")
+    near = own.join(clean.select(F.col("concept_id").alias("dst"), "chunk_id"), "chunk_id").filter("src <> dst")
+    return near.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("co_count"))
+
+
 def both_ways(edge: DataFrame) -> DataFrame:
     """Undirected edges, once in each direction."""
     return edge.select("src", "dst", "co_count").unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "co_count"))
@@ -57,10 +69,13 @@ def doc_counts(occurrences: DataFrame) -> DataFrame:
     return occurrences.select(F.col("concept_id").alias("id"), "chunk_id").dropna().distinct().groupBy("id").agg(F.count(F.lit(1)).alias("doc_count"))
 
 
-def related(names: DataFrame, concepts: DataFrame, edge: DataFrame, counts: DataFrame, limit: int = 20) -> DataFrame:
-    """``name, related, co_count, score``: for each name the concepts it occurs with, by co * (ln co - ln count)."""
+def related(names: DataFrame, concepts: DataFrame, edge: DataFrame, counts: DataFrame, limit: int = 20, directed: bool = False) -> DataFrame:
+    """``name, related, co_count, score``: for each name the concepts it occurs with, by co * (ln co - ln count).
+
+    ``edge`` are undirected edges, or with ``directed`` those of :func:`edges_around` the names.
+    """
     start = names.select("name").distinct().join(concepts.select("name", F.col("id").alias("src")), "name")
-    around = start.join(both_ways(edge), "src").join(concepts.select(F.col("id").alias("dst"), F.col("name").alias("related")), "dst").join(counts.select(F.col("id").alias("dst"), "doc_count"), "dst")
+    around = start.join(edge if directed else both_ways(edge), "src").join(concepts.select(F.col("id").alias("dst"), F.col("name").alias("related")), "dst").join(counts.select(F.col("id").alias("dst"), "doc_count"), "dst")
     score = F.col("co_count") * (F.ln("co_count") - F.ln("doc_count"))
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc(F.round("score", 9)), F.desc("co_count"), "related"))
     return around.withColumn("score", score).withColumn("place", place).filter(F.col("place") <= limit).select("name", "related", "co_count", "score", "place")

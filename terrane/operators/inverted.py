@@ -1,13 +1,19 @@
-"""Inverted index with positions: recall by phrases and ranking by BM25 over the whole corpus."""
+"""Inverted index with positions: recall by phrases and ranking by BM25 over the whole corpus.
+
+The index is a table of its own, made when rows are indexed and read by every search. It is stored in the order of its tokens,
+so a search for some tokens reads only the row groups that hold them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.durable import checkpointed
+from terrane.durable import written
 from terrane.functions.scores import bm25
 from terrane.functions.text import analyze_terms, index_tokens, match_phrases
 from terrane.tables import spread
@@ -17,14 +23,55 @@ FILE_FIELDS = ("name", "path", "tags_text", "content_head", "search_text")
 CHUNK_FIELDS = ("symbol", "language", "content", "search_text")
 
 
-def postings(rows: DataFrame, fields: Sequence[str], id: str = "id") -> DataFrame:
-    """``token, id, field, pos``: each token of each field of each row; ids must be unique."""
+def postings(rows: DataFrame, fields: Sequence[str], id: str = "id", keep: Sequence[str] = ()) -> DataFrame:
+    """``token, id, field, pos`` and the columns ``keep``: each token of each field of each row; ids must be unique."""
 
     def of(n: int, field: str) -> Column:
         return F.transform(index_tokens(F.col(field)), lambda t, i: F.struct(t.alias("token"), F.lit(n).alias("field"), i.alias("pos")))
 
     each = [of(n, f) for n, f in enumerate(fields)]
-    return rows.select(F.col(id).alias("id"), F.explode(F.concat(*each)).alias("p")).select("p.token", "id", "p.field", "p.pos")
+    return rows.select(F.col(id).alias("id"), *keep, F.explode(F.concat(*each)).alias("p")).select("p.token", "id", "p.field", "p.pos", *keep)
+
+
+def lengths(rows: DataFrame, fields: Sequence[str], id: str = "id") -> DataFrame:
+    """``id, length``: the number of tokens of all fields of each row."""
+    return rows.select(F.col(id).alias("id"), sum((F.size(index_tokens(F.col(f))) for f in fields), F.lit(0)).alias("length"))
+
+
+def in_token_order(index: DataFrame, parts: int | None = None) -> DataFrame:
+    """An index as it is to be stored: ranges of tokens, each sorted; a token with very many places falls into several ranges."""
+    by_range = index.repartitionByRange("token", "id") if parts is None else index.repartitionByRange(parts, "token", "id")
+    return by_range.sortWithinPartitions("token", "id", "field", "pos")
+
+
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (token, id, field, pos) and ``lengths`` (id, length) of the rows of a corpus."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    @staticmethod
+    def of(rows: DataFrame, fields: Sequence[str], id: str = "id") -> Index:
+        """An index that is computed where it is used."""
+        return Index(postings(rows, fields, id), lengths(rows, fields, id))
+
+    def stored(self, name: str) -> Index:
+        """The same as tables in the shared folder."""
+        return Index(written(in_token_order(self.postings), f"{name}-postings"), written(self.lengths, f"{name}-lengths"))
+
+
+#: Up to so many tokens are named in the scan of an index; the tokens of more queries than that are joined with it.
+MOST_NAMED = 10_000
+
+
+def with_tokens(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """The postings of the tokens that are asked for."""
+    tokens = asked.select("token").distinct()
+    named = [r["token"] for r in tokens.limit(MOST_NAMED + 1).collect()]
+    if len(named) > MOST_NAMED:
+        return index.join(tokens, "token", "left_semi")
+    return index.filter(F.col("token").isin(named))
 
 
 def term_statistics(rows: DataFrame, text: str) -> DataFrame:
@@ -51,8 +98,7 @@ def query_phrases(queries: DataFrame, query_id: str = "query_id", text: str = "q
 
 def phrase_hits(index: DataFrame, asked: DataFrame) -> DataFrame:
     """``query_id, phrase, id, field, at``: where a phrase begins; its tokens stand there one after another."""
-    wanted = index.join(asked.select("token").distinct(), "token", "left_semi")
-    hits = wanted.join(asked, "token").withColumn("at", F.col("pos") - F.col("offset"))
+    hits = with_tokens(index, asked).join(asked, "token").withColumn("at", F.col("pos") - F.col("offset"))
     single = hits.filter("n = 1").select("query_id", "phrase", "id", "field", "at")
     several = hits.filter("n > 1").groupBy("query_id", "phrase", "id", "field", "at", "n").agg(F.count_distinct("offset").alias("m"))
     return single.unionByName(several.filter("m = n").select("query_id", "phrase", "id", "field", "at"))
@@ -65,24 +111,32 @@ def recalled(index: DataFrame, asked: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("_r", place).filter(F.col("_r") <= limit).drop("_r")
 
 
-def find(rows: DataFrame, queries: DataFrame, fields: Sequence[str] = FILE_FIELDS, id: str = "id") -> DataFrame:
+def find(index: Index, queries: DataFrame) -> DataFrame:
     """``query_id, id, score``: rows that hold any phrase of a query, by BM25 with the phrases of the whole corpus.
 
     A phrase's frequency in a row is counted over all fields, and the row's length is the number of all its tokens.
     Queries without a searchable phrase find nothing.
     """
-    index = postings(rows, fields, id)
-    asked = query_phrases(queries)
-    tokens = sum((F.size(index_tokens(F.col(f))) for f in fields), F.lit(0))
-    lengths = rows.select(F.col(id).alias("id"), tokens.alias("length"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
-    frequency = checkpointed(phrase_hits(index, asked).groupBy("query_id", "phrase", "id").agg(F.count(F.lit(1)).alias("tf")))
+    asked = written(query_phrases(queries), "phrases")
+    totals = index.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average")).first()
+    frequency = written(phrase_hits(index.postings, asked).groupBy("query_id", "phrase", "id").agg(F.count(F.lit(1)).alias("tf")), "hits")
     holders = frequency.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    scored = frequency.join(holders, ["query_id", "phrase"]).join(lengths, "id")
+    scored = frequency.join(holders, ["query_id", "phrase"]).join(index.lengths, "id")
     weight = bm25(F.col("tf"), F.col("length"), F.lit(float(totals["average"] or 0.0)), F.lit(totals["n"]), F.col("df"))
     return scored.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
 
 
+def snippets(tokens: Sequence[str]):
+    """:func:`snippet` as a column expression, by Arrow batches."""
+    wanted = list(tokens)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: snippet(t or "", wanted))
+
+    return cut
+
+
 def snippet(text: str, tokens: Sequence[str], width: int = 24) -> str:
     """The ``width`` tokens of a text that hold the most of the wanted ones, these in brackets, cut ends marked."""
     import re

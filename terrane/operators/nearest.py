@@ -69,7 +69,7 @@ def _compare(shared, k: int):
                     score = np.divide(q, length, out=np.zeros_like(q), where=length > 0) @ data.T
                     order = np.lexsort((np.broadcast_to(own, score.shape), -np.round(score, 9)), axis=1)[:, :keep]
                     value = np.take_along_axis(score, order, 1)
-                    hit = value > 0
+                    hit = np.round(value, 9) > 0  # less is rounding
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat(query_ids[at : at + _BLOCK], hit.sum(1))), pa.array(own[order][hit]), pa.array(value[hit])],
                         ["query_id", "id", "cosine"],
@@ -88,7 +88,7 @@ def probed_topk(vectors: DataFrame, queries: DataFrame, k: int, limit: int, id:
     candidates = data.join(asked, "bucket")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     kept = candidates.withColumn("_r", first).filter(F.col("_r") <= limit * 9)
-    scored = kept.select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("cosine")).filter("cosine > 0")
+    scored = kept.select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("cosine")).filter("round(cosine, 9) > 0")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id"))
     return scored.withColumn("_r", place).filter(F.col("_r") <= k).drop("_r")
 

@@ -151,23 +151,26 @@ def reusable(found: DataFrame, known: DataFrame, embeddings: DataFrame, model: s
     return found.join(old, "path").filter(same).select("path", "known_id")
 
 
+def with_ids(known: DataFrame, changed: DataFrame, key: str = "path", id: str = "id") -> DataFrame:
+    """``changed`` with ids: an existing key keeps its id, a new one gets the next; new ids follow the order of the keys."""
+    from terrane.operators.numbering import numbered
+
+    joined = changed.join(known.select(key, id), key, "left")
+    last = known.agg(F.coalesce(F.max(id), F.lit(0))).first()[0]
+    fresh = numbered(joined.filter(F.col(id).isNull()).drop(id), [key], id, last + 1)
+    return joined.filter(F.col(id).isNotNull()).unionByName(fresh)
+
+
 def upsert(known: DataFrame, changed: DataFrame, deleted: DataFrame | None = None, key: str = "path", id: str = "id") -> DataFrame:
     """``known`` with the rows of ``changed`` put in by key: an existing key keeps its id, a new one gets the next.
 
     ``changed`` has the columns of ``known`` but the id. ``deleted`` (its key column) takes rows out; a key that is both
     changed and deleted stays. New ids follow the order of the keys.
     """
-    from terrane.operators.numbering import numbered
-
     rest = known.join(changed.select(key), key, "left_anti")
     if deleted is not None:
         rest = rest.join(deleted.select(key), key, "left_anti")
-    ids = known.select(key, id)
-    joined = changed.join(ids, key, "left")
-    last = known.agg(F.coalesce(F.max(id), F.lit(0))).first()[0]
-    fresh = numbered(joined.filter(F.col(id).isNull()).drop(id), [key], id, last + 1)
-    columns = known.columns
-    return rest.select(*columns).unionByName(joined.filter(F.col(id).isNotNull()).select(*columns)).unionByName(fresh.select(*columns))
+    return rest.unionByName(with_ids(known, changed, key, id).select(*known.columns))
 
 
 def rename_subtree(files: DataFrame, old: str, new: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.durable import checkpointed
+from terrane.durable import written
 from terrane.functions.scores import bm25, freshness, reciprocal_rank, sigmoid
 from terrane.functions.text import analyze_terms, compact_snippet, distinct_terms, text_or_empty
 from terrane.operators import inverted
@@ -22,6 +22,7 @@ from terrane.operators.relational import metadata_filter
 #: Weights of words, vectors, age and concepts.
 WEIGHTS = {"words": 0.52, "vectors": 0.38, "age": 0.10, "concepts": 0.0}
 CONCEPT_WEIGHTS = {"words": 0.47, "vectors": 0.34, "age": 0.09, "concepts": 0.10}
+_NEAR = "struct<snippet:string,chunk_symbol:string,start_line:bigint,end_line:bigint>"
 SNIPPET_BYTES, RERANK_BYTES, RERANK_MOST = 320, 1800, 50
 
 
@@ -60,7 +61,7 @@ def local_bm25(recalled: DataFrame, rows: DataFrame, queries: DataFrame, text: C
     A row's text is analysed once, however many queries recalled it, and only the queries' words of it are kept.
     """
     needed = rows.join(recalled.select(F.col("id").alias(id)).distinct(), id, "left_semi").select(F.col(id).alias("id"), analyze_terms(text).alias("terms"))
-    needed = checkpointed(needed)  # analysed once; at most what the arm may recall
+    needed = written(needed, "recalled")  # analysed once; at most what the arm may recall
     asked = queries.select("query_id", F.explode(distinct_terms(analyze_terms(F.col("query_text")))).alias("term"))
     vocabulary = asked.select("term").distinct()
     tf = needed.select("id", F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -79,22 +80,25 @@ def _ranked(scored: DataFrame, *ties: str) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order))
 
 
-def file_words(files: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """``query_id, id, rank, snippet``: files by words of their name, path, tags and content."""
-    index = inverted.postings(files, inverted.FILE_FIELDS)
-    found = checkpointed(inverted.recalled(index, inverted.query_phrases(queries), limit))  # small, and read often
+def file_words(files: DataFrame, queries: DataFrame, limit: int, index: DataFrame | None = None) -> DataFrame:
+    """``query_id, id, rank, snippet``: files by words of their name, path, tags and content.
+
+    ``index`` holds the postings of the files; without it they are made of all files.
+    """
+    index = inverted.postings(files, inverted.FILE_FIELDS) if index is None else index
+    found = written(inverted.recalled(index, inverted.query_phrases(queries), limit), "recall")  # small, and read often
     text = F.concat_ws(" ", *(text_or_empty(F.col(c)) for c in ("name", "path", "tags_text", "content_head")))
     scored = local_bm25(found, files, queries, text).join(files.select("id", "path", compact_snippet(F.col("content_head"), SNIPPET_BYTES).alias("snippet")), "id")
     return _ranked(scored, "path", "id").select("query_id", "id", "rank", "snippet")
 
 
-def chunk_words(chunks: DataFrame, files: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def chunk_words(chunks: DataFrame, files: DataFrame, queries: DataFrame, limit: int, index: DataFrame | None = None) -> DataFrame:
     """``query_id, id (of the file), rank, snippet, chunk_symbol, start_line, end_line``: each file's best chunk by words.
 
-    Ranks count chunks, not files.
+    Ranks count chunks, not files. ``index`` holds the postings of the chunks; without it they are made of all chunks.
     """
-    index = inverted.postings(chunks, inverted.CHUNK_FIELDS)
-    found = checkpointed(inverted.recalled(index, inverted.query_phrases(queries), limit))
+    index = inverted.postings(chunks, inverted.CHUNK_FIELDS) if index is None else index
+    found = written(inverted.recalled(index, inverted.query_phrases(queries), limit), "recall")
     text = F.concat_ws(" ", text_or_empty(F.col("symbol")), text_or_empty(F.col("content")))
     place = chunks.select(F.col("id").alias("chunk_id"), "file_id", "symbol", "start_line", "end_line", "content")
     scored = (
@@ -108,6 +112,17 @@ def chunk_words(chunks: DataFrame, files: DataFrame, queries: DataFrame, limit:
     return best.select("query_id", "id", "b.rank", F.col("b.content").alias("snippet"), text_or_empty(F.col("b.symbol")).alias("chunk_symbol"), "b.start_line", "b.end_line")
 
 
+def chunk_vectors(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query_id, id (of the file), cosine, snippet, chunk_symbol, start_line, end_line``: each file's nearest chunk.
+
+    ``found`` is ``query_id, id (of the chunk), cosine``; of equally near chunks the one with the lower id counts.
+    """
+    place = chunks.select("id", "file_id", F.struct(F.col("content").alias("snippet"), text_or_empty(F.col("symbol")).alias("chunk_symbol"), "start_line", "end_line").alias("place"))
+    order = F.struct(-F.round("cosine", 9), "id")
+    best = found.join(place, "id").groupBy("query_id", F.col("file_id").alias("id")).agg(F.max("cosine").alias("cosine"), F.min_by("place", order).alias("place"))
+    return best.select("query_id", "id", "cosine", "place.*")
+
+
 def newest(files: DataFrame, queries: DataFrame, request: Request) -> DataFrame:
     """``query_id, id``: for each query the most recently changed files of the request's filter."""
     chosen = files.filter(request.condition).orderBy(F.desc("mtime_ns"), "id").limit(request.candidates).select("id")
@@ -116,18 +131,32 @@ def newest(files: DataFrame, queries: DataFrame, request: Request) -> DataFrame:
     return queries.select("query_id").withColumn("ids", ids).select("query_id", F.explode("ids").alias("id"))
 
 
-def concept_neighbours(queries: DataFrame, concepts: DataFrame, edges: DataFrame, occurrences: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """``query_id, id (of the file), rank``: files with neighbours, in the concept graph, of the concepts a query names.
+def named_concepts(queries: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``query_id, src``: the concepts whose names, of one word or several, stand in a query.
 
-    Files are ranked by the number of distinct neighbours. The edges are turned both ways first, so every join is on
-    equality.
+    Both are read as concept words; a name is sought among the runs of words of a query that are as long as some name.
     """
     from terrane.functions.text import concept_words
-    from terrane.operators.graph import both_ways
 
-    named = queries.select("query_id", F.explode(F.array_distinct(concept_words(F.col("query_text")))).alias("name"))
-    start = named.join(concepts.select(F.lower("name").alias("name"), F.col("id").alias("src")), "name").select("query_id", "src").distinct()
-    around = start.join(both_ways(edges), "src").select("query_id", F.col("dst").alias("concept_id")).distinct()
+    names = concepts.select(concept_words(F.col("name")).alias("n"), F.col("id").alias("src")).filter(F.size("n") > 0)
+    longest = names.agg(F.max(F.size("n"))).first()[0] or 1
+    words = queries.select("query_id", concept_words(F.col("query_text")).alias("w")).filter(F.size("w") > 0)
+    runs = F.flatten(F.transform("w", lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda k: F.array_join(F.slice("w", i + 1, k), " "))))
+    named = words.select("query_id", F.explode(F.array_distinct(runs)).alias("name"))
+    return named.join(names.select(F.array_join("n", " ").alias("name"), "src"), "name").select("query_id", "src").distinct()
+
+
+def concept_neighbours(queries: DataFrame, concepts: DataFrame, edges: DataFrame | None, occurrences: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """``query_id, id (of the file), rank``: files with neighbours, in the concept graph, of the concepts a query names.
+
+    Files are ranked by the number of distinct neighbours. ``edges`` are undirected; without them the neighbours come from
+    the chunks of the named concepts.
+    """
+    from terrane.operators.graph import both_ways, edges_around
+
+    start = named_concepts(queries, concepts)
+    graph = edges_around(occurrences, start.select(F.col("src").alias("id"))) if edges is None else both_ways(edges)
+    around = start.join(graph, "src").select("query_id", F.col("dst").alias("concept_id")).distinct()
     where = occurrences.select("concept_id", "chunk_id").dropna().distinct().join(chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id").select("concept_id", F.col("file_id").alias("id")).distinct()
     strength = around.join(where, "concept_id").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("strength"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("strength"), "id"))
@@ -145,16 +174,18 @@ def fuse(
     concepts: DataFrame | None = None,
     metadata: DataFrame | None = None,
     weights: dict[str, float] | None = None,
+    near_chunks: DataFrame | None = None,
 ) -> DataFrame:
     """Merges the arms and ranks: ``query_id, id, path, ..., score, bm25_score, vector_score, metadata_score``.
 
     A chunk's rank replaces a file's if it is as good, and then the chunk is shown. ``vectors`` holds
-    ``query_id, id, cosine`` of files or of their best chunks; the greatest counts. Filters apply to what every arm
+    ``query_id, id, cosine`` of files, ``near_chunks`` the rows of :func:`chunk_vectors`: a chunk that is nearer than its file
+    gives the file its cosine, and is shown where no words were found. Filters apply to what every arm
     recalled, after its limit. A candidate of a query with text that no arm but the newest files knows is dropped.
     """
     weights = weights or (CONCEPT_WEIGHTS if concepts is not None else WEIGHTS)
     none = F.lit(None)
-    columns = {"words": "int", "snippet": "string", "chunk_rank": "int", "chunk_snippet": "string", "chunk_symbol": "string", "start_line": "long", "end_line": "long", "cosine": "double", "concept_rank": "int"}
+    columns = {"words": "int", "snippet": "string", "chunk_rank": "int", "chunk_snippet": "string", "chunk_symbol": "string", "start_line": "long", "end_line": "long", "cosine": "double", "concept_rank": "int", "near_cosine": "double", "near": _NEAR}
 
     def arm(df: DataFrame | None, **given: str) -> DataFrame | None:
         return None if df is None else df.select("query_id", "id", *((F.col(given[c]) if c in given else none).cast(t).alias(c) for c, t in columns.items()))
@@ -163,6 +194,7 @@ def fuse(
         arm(words, words="rank", snippet="snippet"),
         arm(chunk, chunk_rank="rank", chunk_snippet="snippet", chunk_symbol="chunk_symbol", start_line="start_line", end_line="end_line"),
         arm(vectors, cosine="cosine"),
+        None if near_chunks is None else arm(near_chunks.withColumn("near", F.struct("snippet", "chunk_symbol", "start_line", "end_line")), near_cosine="cosine", near="near"),
         arm(concepts, concept_rank="rank"),
         arm(metadata),
     ]
@@ -171,18 +203,25 @@ def fuse(
     for a in arms[1:]:
         union = union.unionByName(a)
     # at most one row of each arm has a value in its columns, the vectors' aside
-    merged = union.groupBy("query_id", "id").agg(*((F.max(c) if c == "cosine" else F.first(c, ignorenulls=True)).alias(c) for c in columns))
+    merged = union.groupBy("query_id", "id").agg(*((F.max(c) if c in ("cosine", "near_cosine") else F.first(c, ignorenulls=True)).alias(c) for c in columns))
     chunk_wins = F.col("chunk_rank").isNotNull() & (F.col("words").isNull() | (F.col("chunk_rank") <= F.col("words")))
     lex = F.when(chunk_wins, F.col("chunk_rank")).otherwise(F.coalesce("words", F.lit(0)))
+    # the nearest chunk is shown where words rank neither the file nor any chunk
+    near_wins = F.col("near_cosine").isNotNull() & (F.col("cosine").isNull() | (F.round("near_cosine", 9) > F.round("cosine", 9)))
+    near_shown = near_wins & (lex == 0)
+
+    def shown(by_chunk: str, near: str, otherwise) -> Column:
+        return F.when(chunk_wins, F.col(by_chunk)).when(near_shown, F.col(f"near.{near}")).otherwise(otherwise)
+
     info = files.select("id", "path", "kind", "size", "mtime_ns", "mime", "tags_text")
     has_text = queries.select("query_id", (F.trim("query_text") != "").alias("has_text"))
     candidates = (
         merged.withColumn("lex", lex)
-        .withColumn("snippet", F.when(chunk_wins, F.col("chunk_snippet")).otherwise(F.coalesce("snippet", F.lit(""))))
-        .withColumn("chunk_symbol", F.when(chunk_wins, F.col("chunk_symbol")).otherwise(""))
-        .withColumn("start_line", F.when(chunk_wins, F.col("start_line")).otherwise(0))
-        .withColumn("end_line", F.when(chunk_wins, F.col("end_line")).otherwise(0))
-        .withColumn("vector_score", F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0))))
+        .withColumn("snippet", shown("chunk_snippet", "snippet", F.coalesce("snippet", F.lit(""))))
+        .withColumn("chunk_symbol", shown("chunk_symbol", "chunk_symbol", F.lit("")))
+        .withColumn("start_line", shown("start_line", "start_line", F.lit(0)))
+        .withColumn("end_line", shown("end_line", "end_line", F.lit(0)))
+        .withColumn("vector_score", F.greatest(F.lit(0.0), F.coalesce("cosine", F.lit(0.0)), F.coalesce("near_cosine", F.lit(0.0))))
         .withColumn("concept_rank", F.coalesce("concept_rank", F.lit(0)))
         .join(info, "id")
         .join(has_text, "query_id")
@@ -223,11 +262,14 @@ def hybrid_search(
     vectors: DataFrame | None = None,
     concepts: DataFrame | None = None,
     reranker: Callable[[str, list[str]], list[float]] | None = None,
+    near_chunks: DataFrame | None = None,
+    file_index: DataFrame | None = None,
+    chunk_index: DataFrame | None = None,
 ) -> DataFrame:
     """The first ``request.limit`` hits of each query of ``queries`` (query_id, query_text), with their places.
 
-    ``files`` is the current state of the files, ``chunks`` has each id once. ``vectors`` and ``concepts`` are results of
-    the other arms; without them these don't take part. A request with neither text nor filter is an error.
+    ``files`` is the current state of the files, ``chunks`` has each id once. ``vectors``, ``near_chunks`` and ``concepts`` are
+    results of the other arms; without them these don't take part. The indexes are stored postings of files and chunks. A request with neither text nor filter is an error.
     """
     texts = queries.select(F.col("query_id"), F.trim(text_or_empty(F.col("query_text"))).alias("query_text"))
     if not request.filters and not texts.filter("query_text = ''").isEmpty():
@@ -240,11 +282,12 @@ def hybrid_search(
             files,
             request,
             now_ns,
-            words=checkpointed(file_words(files, texts, request.candidates)),
-            chunk=checkpointed(chunk_words(chunks, files, texts, request.candidates)),
-            vectors=None if vectors is None else checkpointed(vectors),
-            concepts=None if concepts is None else checkpointed(concepts),
+            words=written(file_words(files, texts, request.candidates, file_index), "arm"),
+            chunk=written(chunk_words(chunks, files, texts, request.candidates, chunk_index), "arm"),
+            vectors=None if vectors is None else written(vectors, "arm"),
+            concepts=None if concepts is None else written(concepts, "arm"),
             metadata=newest(files, texts, request),
+            near_chunks=None if near_chunks is None else written(near_chunks, "arm"),
         )
     )
     if reranker is not None:

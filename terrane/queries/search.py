@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from terrane.durable import checkpointed
 from terrane.functions.vectors import bucket, hash_vectors, probes
-from terrane.operators import context, graph, inverted, nearest, retrieval
+from terrane.operators import context, inverted, nearest, retrieval
 from terrane.operators.relational import current_files
-from terrane.functions.text import CONCEPT_STOPWORDS
-from terrane.queries.common import ASKED, CHUNKS, FILES, phrases, quoted, runs, terms, tokens, trimmed, truncated
+from terrane.queries.common import ASKED, CHUNKS, FILES, phrases, terms, tokens, trimmed, truncated
+from terrane.queries.graph import named
 from terrane.queries.text import FNV
 from terrane.tables import latest, table
 
@@ -42,22 +42,37 @@ def _query_vectors(spark: SparkSession, d: str) -> DataFrame:
     return hash_vectors(_asked(spark, d), "query_id", "query_text", _DIMENSIONS).withColumnRenamed("id", "query_id")
 
 
+#: Indexes of this process, by application, table and state of its files.
+_INDEXES: dict[tuple, inverted.Index] = {}
+
+
+def _index(spark: SparkSession, d: str, name: str) -> inverted.Index:
+    """The stored index of the files or chunks of a folder; made at first use and again if the table's files change."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in status.listStatus(path))
+    key = (spark.sparkContext.applicationId, d, name, state)
+    if key not in _INDEXES:
+        rows, fields = (_files(spark, d), inverted.FILE_FIELDS) if name == "files" else (_chunks(spark, d), inverted.CHUNK_FIELDS)
+        _INDEXES[key] = inverted.Index.of(rows, fields).stored(name)
+    return _INDEXES[key]
+
+
 def find(spark, d):
-    hits = inverted.find(_files(spark, d), _asked(spark, d))
+    hits = inverted.find(_index(spark, d, "files"), _asked(spark, d))
     return hits.withColumn("score", F.round("score", 6))
 
 
 def recall(spark, d):
-    index = inverted.postings(_files(spark, d), inverted.FILE_FIELDS)
-    return inverted.recalled(index, inverted.query_phrases(_asked(spark, d)), _REQUEST.candidates)
+    return inverted.recalled(_index(spark, d, "files").postings, inverted.query_phrases(_asked(spark, d)), _REQUEST.candidates)
 
 
 def file_words(spark, d):
-    return retrieval.file_words(_files(spark, d), _asked(spark, d), _REQUEST.candidates)
+    return retrieval.file_words(_files(spark, d), _asked(spark, d), _REQUEST.candidates, _index(spark, d, "files").postings)
 
 
 def chunk_words(spark, d):
-    found = retrieval.chunk_words(_chunks(spark, d), _files(spark, d), _asked(spark, d), _REQUEST.candidates)
+    found = retrieval.chunk_words(_chunks(spark, d), _files(spark, d), _asked(spark, d), _REQUEST.candidates, _index(spark, d, "chunks").postings)
     return found.select("query_id", "id", "rank", "chunk_symbol", "start_line", "end_line")
 
 
@@ -94,7 +109,32 @@ def metadata_only_search(spark, d):
 def _hybrid(spark, d):
     files, asked = _files(spark, d), _asked(spark, d)
     vectors = nearest.exact_topk(_vectors(spark, d), _query_vectors(spark, d), 4 * _REQUEST.candidates)
-    return retrieval.hybrid_search(asked, files, _chunks(spark, d), _REQUEST, NOW_NS, vectors=vectors)
+    return retrieval.hybrid_search(asked, files, _chunks(spark, d), _REQUEST, NOW_NS, vectors=vectors, **_indexes(spark, d))
+
+
+def _indexes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"file_index": _index(spark, d, "files").postings, "chunk_index": _index(spark, d, "chunks").postings}
+
+
+def _near_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all chunks, by the same hashing as those of the queries."""
+    texts = _chunks(spark, d).select("id", F.concat_ws("\n", F.coalesce("symbol", F.lit("")), F.coalesce("content", F.lit(""))).alias("text"))
+    vectors = hash_vectors(texts, "id", "text", _DIMENSIONS)
+    found = nearest.exact_topk(vectors, _query_vectors(spark, d), 4 * _REQUEST.candidates)
+    return retrieval.chunk_vectors(found, _chunks(spark, d))
+
+
+def near_chunks(spark, d):
+    """The nearest chunk of each file, with its place."""
+    return _near_chunks(spark, d).select("query_id", "id", F.round("cosine", 6).alias("cosine"), "chunk_symbol", "start_line", "end_line")
+
+
+def hybrid_chunk_vectors(spark, d):
+    """Files by the vectors of files and of chunks: a nearer chunk gives its cosine, and its place where no words rank."""
+    files, asked = _files(spark, d), _asked(spark, d)
+    vectors = nearest.exact_topk(_vectors(spark, d), _query_vectors(spark, d), 4 * _REQUEST.candidates)
+    hits = retrieval.hybrid_search(asked, files, _chunks(spark, d), _REQUEST, NOW_NS, vectors=vectors, near_chunks=_near_chunks(spark, d), **_indexes(spark, d))
+    return hits.select("query_id", "place", "id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), "chunk_symbol", "start_line", "end_line")
 
 
 def hybrid_search(spark, d):
@@ -102,13 +142,13 @@ def hybrid_search(spark, d):
 
 
 def hybrid_concept_fusion(spark, d):
-    """With the concept arm; concepts go by the first word of their name, as a query names single words."""
+    """With the concept arm: neighbours of the concepts whose whole names stand in the query."""
     files, chunks, asked = _files(spark, d), _chunks(spark, d), _asked(spark, d)
-    concepts = table(spark, d, "concepts").withColumn("name", F.split("name", " ")[0])
+    concepts = table(spark, d, "concepts")
     occurrences = table(spark, d, "concept_occurrences")
-    near = retrieval.concept_neighbours(asked, concepts, graph.edges(occurrences), occurrences, chunks, _REQUEST.candidates)
+    near = retrieval.concept_neighbours(asked, concepts, None, occurrences, chunks, _REQUEST.candidates)
     vectors = nearest.exact_topk(_vectors(spark, d), _query_vectors(spark, d), 4 * _REQUEST.candidates)
-    hits = retrieval.hybrid_search(asked, files, chunks, _REQUEST, NOW_NS, vectors=vectors, concepts=near)
+    hits = retrieval.hybrid_search(asked, files, chunks, _REQUEST, NOW_NS, vectors=vectors, concepts=near, **_indexes(spark, d))
     return hits.select("query_id", "place", "id", "path", F.round("score", 6).alias("score"), "concept_rank")
 
 
@@ -119,7 +159,7 @@ def _stub(query: str, documents: list[str]) -> list[float]:
 
 def rerank_window(spark, d):
     files, asked = _files(spark, d), _asked(spark, d)
-    hits = retrieval.placed(retrieval.fuse(asked, files, _REQUEST, NOW_NS, words=retrieval.file_words(files, asked, _REQUEST.candidates)))
+    hits = retrieval.placed(retrieval.fuse(asked, files, _REQUEST, NOW_NS, words=retrieval.file_words(files, asked, _REQUEST.candidates, _index(spark, d, "files").postings)))
     out = retrieval.rerank(hits, asked, 10, _stub)
     return out.select("query_id", "place", "id", F.round("score", 6).alias("score"))
 
@@ -183,7 +223,7 @@ _COS = """vx AS (SELECT id, generate_subscripts(vector, 1) - 1 AS slot, unnest(v
     vn AS (SELECT id, sqrt(sum(y * y)) AS norm FROM vx GROUP BY id HAVING isfinite(sqrt(sum(y * y))) AND sqrt(sum(y * y)) > 0),
     qq AS (SELECT query_id, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM qx GROUP BY query_id),
     cs AS (SELECT query_id, id, sum(x::DOUBLE * y) / max(qq.norm) / max(vn.norm) AS cosine FROM qx JOIN vx USING (slot) JOIN vn USING (id) JOIN qq USING (query_id) WHERE qq.norm > 0 GROUP BY query_id, id),
-    ck2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rn FROM cs WHERE cosine > 0)"""
+    ck2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rn FROM cs WHERE round(cosine, 9) > 0)"""
 
 
 def _rr(rank: str) -> str:
@@ -202,8 +242,7 @@ _FUSED = f"""meta AS (SELECT query_id, id FROM q CROSS JOIN (SELECT id FROM cur
     hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, id) AS place FROM sc)"""
 _HYBRID = f"WITH {ASKED}, {FILES}, {CHUNKS}, {_QT}, {_QW}, {_FILE_ARM}, {_CHUNK_ARM}, {_VECTOR}, {_QV}, {_COS}, {_FUSED}"
 _CONCEPT_ARM = f"""occ AS (SELECT DISTINCT concept_id, chunk_id FROM concept_occurrences WHERE concept_id IS NOT NULL AND chunk_id IS NOT NULL),
-    cqw AS (SELECT DISTINCT query_id, unnest(list_filter({runs('query_text')}, lambda w: octet_length(encode(w)) >= 2 AND regexp_matches(w, '[\\p{{L}}\\p{{N}}]') AND w NOT IN ({", ".join(map(quoted, CONCEPT_STOPWORDS))}))) AS name FROM q),
-    cst AS (SELECT DISTINCT query_id, c.id AS src FROM cqw JOIN concepts c ON lower(string_split(c.name, ' ')[1]) = cqw.name),
+    {named('q', 'query_text')},
     cnb AS (SELECT DISTINCT query_id, b.concept_id FROM cst JOIN occ a ON a.concept_id = cst.src JOIN occ b ON b.chunk_id = a.chunk_id AND b.concept_id <> a.concept_id),
     cwh AS (SELECT DISTINCT occ.concept_id, ch.file_id AS id FROM occ JOIN ch ON ch.id = occ.chunk_id),
     csg AS (SELECT query_id, id, count(*) AS strength FROM cnb JOIN cwh USING (concept_id) GROUP BY ALL),
@@ -215,6 +254,22 @@ _FUSED_CONCEPTS = (
     .replace("WHERE lex > 0 OR vs > 0)", "WHERE lex > 0 OR vs > 0 OR cr > 0)")
     .replace(f"0.52::DOUBLE * {_rr('lex')} + 0.38::DOUBLE * {_rr('vr')} + 0.10::DOUBLE * {_AGE}", f"0.47::DOUBLE * {_rr('lex')} + 0.34::DOUBLE * {_rr('vr')} + 0.09::DOUBLE * {_AGE} + 0.10::DOUBLE * {_rr('cr')}")
 )
+_NEAR = f"""hc AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms("coalesce(symbol, '') || chr(10) || coalesce(content, '')")}) AS term FROM ch) GROUP BY ALL),
+    hh AS (SELECT id, tf, {FNV.format('term')} AS h FROM hc),
+    hs AS (SELECT id, (h % {_DIMENSIONS})::INT AS slot, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -tf ELSE tf END)::DOUBLE AS y FROM hh GROUP BY ALL),
+    hn AS (SELECT id, sqrt(sum(y * y)) AS norm FROM hs GROUP BY id HAVING sqrt(sum(y * y)) > 0),
+    hx AS (SELECT id, slot, (y / norm)::FLOAT::DOUBLE AS y FROM hs JOIN hn USING (id)),
+    hl AS (SELECT id, sqrt(sum(y * y)) AS norm FROM hx GROUP BY id),
+    hq AS (SELECT query_id, id, sum(x::DOUBLE * y) / max(qq.norm) / max(hl.norm) AS cosine FROM qx JOIN hx USING (slot) JOIN hl USING (id) JOIN qq USING (query_id) WHERE qq.norm > 0 GROUP BY query_id, id),
+    hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rn FROM hq WHERE round(cosine, 9) > 0),
+    hb AS (SELECT r.query_id, c.file_id, r.cosine, coalesce(c.symbol, '') AS chunk_symbol, c.start_line, c.end_line,
+      row_number() OVER (PARTITION BY r.query_id, c.file_id ORDER BY round(r.cosine, 9) DESC, r.id) AS best FROM hr r JOIN ch c ON c.id = r.id WHERE rn <= {4 * _REQUEST.candidates}),
+    nc AS (SELECT query_id, file_id AS id, cosine, chunk_symbol, start_line, end_line FROM hb WHERE best = 1)"""
+_FUSED_NEAR = (
+    _FUSED.replace("UNION SELECT query_id, id FROM meta)", "UNION SELECT query_id, id FROM nc UNION SELECT query_id, id FROM meta)")
+    .replace("greatest(0, coalesce(va.cosine, 0)) AS vs", "greatest(0, coalesce(va.cosine, 0), coalesce(nc.cosine, 0)) AS vs, cw.end_line AS el, nc.chunk_symbol AS ns, nc.start_line AS nl, nc.end_line AS ne, nc.cosine IS NOT NULL AND (va.cosine IS NULL OR round(nc.cosine, 9) > round(va.cosine, 9)) AS nw")
+    .replace("LEFT JOIN va USING (query_id, id))", "LEFT JOIN va USING (query_id, id) LEFT JOIN nc USING (query_id, id))")
+)
 _CONTENTS = f"""{_HYBRID}, top AS (SELECT query_id, place, id, path, kind, content_head, CASE WHEN wins THEN cs ELSE '' END AS chunk_symbol, CASE WHEN wins THEN sl ELSE 0 END AS at, CASE WHEN wins THEN cc ELSE coalesce(fs, '') END AS snippet FROM hits WHERE place <= 20),
     near AS (SELECT t.query_id, t.id, c.ordinal, c.id AS chunk_id, CASE WHEN coalesce(c.symbol, '') <> '' THEN '// ' || c.symbol || ' lines ' || c.start_line || '-' || c.end_line || chr(10) ELSE '' END || coalesce(c.content, '') AS body,
         row_number() OVER (PARTITION BY t.query_id, t.id ORDER BY CASE WHEN coalesce(c.symbol, '') = t.chunk_symbol AND t.chunk_symbol <> '' THEN 0 ELSE 1 END, abs(c.start_line - t.at), c.ordinal, c.id) AS rn FROM top t JOIN ch c ON c.file_id = t.id),
@@ -230,7 +285,7 @@ _PACK = f"""{_CONTENTS}, it AS (SELECT t.*, {trimmed('c.content')} AS content, o
 _W = f"WITH {ASKED}, {FILES}, {CHUNKS}, {_QT}, {_QW}"
 
 QUERIES = {f.__name__: f for f in (
-    find, recall, file_words, chunk_words, query_vectors, cosine_topk, sign_buckets, bucket_probes, probed_topk, metadata_only_search, hybrid_search, hybrid_concept_fusion, rerank_window, context_contents, context_pack,
+    find, recall, file_words, chunk_words, query_vectors, cosine_topk, sign_buckets, bucket_probes, probed_topk, metadata_only_search, hybrid_search, hybrid_concept_fusion, near_chunks, hybrid_chunk_vectors, rerank_window, context_contents, context_pack,
 )}
 _BITS = "list_sum(list_transform(range(0, 8), lambda i: CASE WHEN vector[(i + 1)::INT] >= 0 THEN (1 << i::INT) ELSE 0 END))::INT"
 SQL = {
@@ -250,13 +305,15 @@ SQL = {
           FROM (SELECT q.query_id, s.slot, qx.x FROM q CROSS JOIN (SELECT unnest(range(0, 8)) AS slot) s LEFT JOIN qx ON qx.query_id = q.query_id AND qx.slot = s.slot) GROUP BY query_id),
         pb AS (SELECT query_id, own AS bucket FROM qb UNION SELECT query_id, xor(own, (1 << b::INT)::INT) FROM qb, (SELECT unnest(range(0, 8)) AS b)),
         cand AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rn FROM pb JOIN (SELECT id, {_BITS} AS bucket FROM v) USING (bucket)),
-        got AS (SELECT query_id, id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rn FROM cand c JOIN cs USING (query_id, id) WHERE c.rn <= 9000 AND cosine > 0)
+        got AS (SELECT query_id, id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, id) AS rn FROM cand c JOIN cs USING (query_id, id) WHERE c.rn <= 9000 AND round(cosine, 9) > 0)
         SELECT query_id, id, round(cosine, 6) AS cosine FROM got WHERE rn <= 50""",
     "metadata_only_search": f"""WITH {FILES}, c AS (SELECT id, path, mtime_ns FROM cur WHERE kind = 'file' AND size BETWEEN 200 AND 5000 AND starts_with(path, '/srv/trees/') ORDER BY mtime_ns DESC, id LIMIT 256),
         s AS (SELECT *, 0.1::DOUBLE * {_AGE} AS score FROM c), r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, path, id) AS place FROM s)
         SELECT query_id, place, id, path, round(score, 6) AS score FROM r, (SELECT unnest([1, 2, 3])::BIGINT AS query_id) WHERE place <= 20""",
     "hybrid_search": f"{_HYBRID} SELECT query_id, place, id, path, round(score, 6) AS score, round({_rr('lex')}, 6) AS bm25_score, round(vs, 6) AS vector_score, CASE WHEN wins THEN cs ELSE '' END AS chunk_symbol, CASE WHEN wins THEN sl ELSE 0 END AS start_line FROM hits WHERE place <= 20",
     "hybrid_concept_fusion": f"WITH {ASKED}, {FILES}, {CHUNKS}, {_QT}, {_QW}, {_FILE_ARM}, {_CHUNK_ARM}, {_VECTOR}, {_QV}, {_COS}, {_CONCEPT_ARM}, {_FUSED_CONCEPTS} SELECT query_id, place, id, path, round(score, 6) AS score, cr AS concept_rank FROM hits WHERE place <= 20",
+    "near_chunks": f"WITH {ASKED}, {FILES}, {CHUNKS}, {_QV}, qq AS (SELECT query_id, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM qx GROUP BY query_id), {_NEAR} SELECT query_id, id, round(cosine, 6) AS cosine, chunk_symbol, start_line, end_line FROM nc",
+    "hybrid_chunk_vectors": f"WITH {ASKED}, {FILES}, {CHUNKS}, {_QT}, {_QW}, {_FILE_ARM}, {_CHUNK_ARM}, {_VECTOR}, {_QV}, {_COS}, {_NEAR}, {_FUSED_NEAR} SELECT query_id, place, id, round(score, 6) AS score, round(vs, 6) AS vector_score, CASE WHEN wins THEN cs WHEN nw AND lex = 0 THEN ns ELSE '' END AS chunk_symbol, CASE WHEN wins THEN sl WHEN nw AND lex = 0 THEN nl ELSE 0 END AS start_line, CASE WHEN wins THEN el WHEN nw AND lex = 0 THEN ne ELSE 0 END AS end_line FROM hits WHERE place <= 20",
     "rerank_window": f"""{_W}, {_FILE_ARM}, s AS (SELECT query_id, id, path, snippet, 0.52::DOUBLE * {_rr('rank')} + 0.10::DOUBLE * {_AGE} AS score FROM fw JOIN cur USING (id)),
         p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, id) AS place0 FROM s),
         d AS (SELECT *, -octet_length(encode(CASE WHEN snippet <> '' THEN snippet ELSE path END)) / 1000.0::DOUBLE AS logit FROM p),

@@ -1,32 +1,44 @@
-"""Versions of an index: immutable Parquet tables and one pointer that is moved when a version is complete.
+"""Versions of an index: immutable Parquet parts of tables and one pointer that is moved when a version is complete.
 
-A version is a list of tables and the folder of each, so a table that didn't change is shared with the version before.
-Readers resolve the pointer once; a build that fails leaves the pointer, and thus every reader, where it was.
+A table of a version is a list of parts, each with the number of the version that wrote it, and a version also lists the
+files that were replaced, by their ids: a row counts unless its file was replaced after its part was written. A change of a
+few files thus writes a few rows, and parts are shared with the version before. Readers resolve the pointer once; a build
+that fails leaves the pointer, and thus every reader, where it was.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terrane.durable import create_once, read_file
 from terrane.errors import IncompatibleSchema
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 
 
 @dataclass(frozen=True)
 class Version:
-    """A published version: its number, where its tables lie, and the batches of changes that it holds."""
+    """A published version: its number, the parts of its tables as (folder, number), those of the ids of replaced files as
+    (folder, number, tables or null for all), the batches of changes that it holds, and the greatest ids given so far."""
 
     number: int
-    tables: Mapping[str, str]
+    tables: Mapping[str, list]
     batches: Mapping[str, int] = field(default_factory=dict)
     schema: int = SCHEMA_VERSION
+    replaced: list = field(default_factory=list)
+    counters: Mapping[str, int] = field(default_factory=dict)
+
+
+def _parts(known: str | list, number: int = 0) -> list:
+    """Parts as they are kept; a single folder is what older versions hold."""
+    return [[known, number]] if isinstance(known, str) else [list(p) for p in known]
 
 
 class Store:
@@ -52,26 +64,60 @@ class Store:
         found = json.loads(read_file(self.spark, f"{self.path}/versions/{numbers[-1]:020d}"))
         if not 0 <= found.get("schema", 0) <= SCHEMA_VERSION:
             raise IncompatibleSchema(f"schema {found['schema']} is newer than {SCHEMA_VERSION}")
-        return Version(found["number"], found["tables"], found.get("batches", {}), found["schema"])
+        return Version(found["number"], {n: _parts(t) for n, t in found["tables"].items()}, found.get("batches", {}), found["schema"], found.get("replaced", []), found.get("counters", {}))
 
-    def read(self, name: str, version: Version | None = None) -> DataFrame:
+    def read(self, name: str, version: Version | None = None, key: str | None = None) -> DataFrame:
+        """A table of a version. ``key`` is its column of file ids; a table without one is always a single part."""
         version = version or self.current()
         if version is None or name not in version.tables:
             raise LookupError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.path}/{version.tables[name]}")
-
-    def publish(self, tables: Mapping[str, DataFrame], base: Version | None = None, batches: Mapping[str, int] | None = None) -> Version:
+        parts = version.tables[name]
+        oldest = min(n for _, n in parts)
+        later = [(f, n) for f, n, only in version.replaced if n > oldest and (only is None or name in only)]
+        if not later or key is None:
+            return self.spark.read.parquet(*(f"{self.path}/{f}" for f, _ in parts))
+        rows = self._numbered(parts)
+        replaced = self._numbered(later).groupBy("file_id").agg(F.max("_n").alias("_replaced")).withColumnRenamed("file_id", "_file")
+        alive = rows.join(replaced, F.col(key) == F.col("_file"), "left").filter(F.col("_replaced").isNull() | (F.col("_n") >= F.col("_replaced")))
+        return alive.drop("_n", "_file", "_replaced")
+
+    def _numbered(self, parts: list) -> DataFrame:
+        each = [self.spark.read.parquet(f"{self.path}/{f}").withColumn("_n", F.lit(n)) for f, n in parts]
+        return functools.reduce(DataFrame.unionByName, each)
+
+    def publish(
+        self,
+        tables: Mapping[str, DataFrame],
+        base: Version | None = None,
+        batches: Mapping[str, int] | None = None,
+        added: Mapping[str, DataFrame] | None = None,
+        replaced: Mapping[tuple[str, ...] | None, DataFrame] | None = None,
+        counters: Mapping[str, int] | None = None,
+        schema: int = SCHEMA_VERSION,
+    ) -> Version:
         """Writes tables and makes a version of them and of the other tables of ``base``.
 
-        Of two publications on the same base one wins and the other raises ``RuntimeError``; what it wrote is never seen.
+        ``added`` are rows that come on top of a table's; ``replaced`` gives for some tables, or with the key null for all that
+        are read by their file ids, the files (``file_id``) whose earlier rows no longer count. Of two publications on the same base one wins and the
+        other raises ``RuntimeError``; what it wrote is never seen.
         """
-        paths = dict(base.tables) if base else {}
-        for name, df in tables.items():
+        number = (base.number if base else 0) + 1
+        paths = {n: [list(p) for p in parts] for n, parts in (base.tables if base else {}).items()}
+        for name, df in {**tables, **(added or {})}.items():
             folder = f"tables/{name}/{uuid.uuid4().hex}"
             df.write.parquet(f"{self.path}/{folder}")
-            paths[name] = folder
-        version = Version((base.number if base else 0) + 1, paths, {**(base.batches if base else {}), **(batches or {})})
-        manifest = json.dumps({"number": version.number, "tables": paths, "batches": version.batches, "schema": version.schema})
+            paths[name] = [*(paths.get(name, []) if name in (added or {}) else []), [folder, number]]
+        gone = [list(p) for p in (base.replaced if base else [])]
+        for only, ids in (replaced or {}).items():
+            folder = f"tables/replaced/{uuid.uuid4().hex}"
+            ids.select("file_id").distinct().write.parquet(f"{self.path}/{folder}")
+            gone.append([folder, number, None if only is None else list(only)])
+        oldest = min((n for parts in paths.values() for _, n in parts), default=number)
+        gone = [p for p in gone if p[1] > oldest]
+        version = Version(
+            number, paths, {**(base.batches if base else {}), **(batches or {})}, schema, gone, {**(base.counters if base else {}), **(counters or {})}
+        )
+        manifest = json.dumps({"number": version.number, "tables": paths, "batches": version.batches, "schema": version.schema, "replaced": gone, "counters": version.counters})
         if not create_once(self.spark, f"{self.path}/versions/{version.number:020d}", manifest.encode()):
             raise RuntimeError(f"version {version.number} was published by another writer")
         return version
@@ -81,7 +127,8 @@ class Store:
         numbers = self._numbers()
         kept: set[str] = set()
         for n in numbers[-keep:]:
-            kept |= set(json.loads(read_file(self.spark, f"{self.path}/versions/{n:020d}"))["tables"].values())
+            found = json.loads(read_file(self.spark, f"{self.path}/versions/{n:020d}"))
+            kept |= {f for t in found["tables"].values() for f, _ in _parts(t)} | {p[0] for p in found.get("replaced", [])}
         gone = 0
         tables = self._path(f"{self.path}/tables")
         for table in self._fs.listStatus(tables) if self._fs.exists(tables) else []:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import stat
@@ -54,6 +55,22 @@ class _Walk:
             if row and (row[2] != "file" or self.wanted(name)):
                 yield row
 
+    def at(self, path: str) -> Iterator[tuple]:
+        """A path of the tree and all below it, if the policy admits it and every folder that leads to it."""
+        if path == self.root:
+            way = []
+        elif path.startswith(self.root.rstrip("/") + "/"):
+            way = path[len(self.root.rstrip("/")) + 1 :].split("/")
+        else:
+            return
+        if any(self.denied.match(c) for c in way) or path in self.artifacts:
+            return
+        row = self.entry(path)
+        if row and (row[2] != "file" or not way or self.wanted(way[-1])):
+            yield row
+            if row[2] == "dir":
+                yield from self.below(path)
+
     def below(self, folder: str) -> Iterator[tuple]:
         for row in self.children(folder):
             yield row
@@ -62,12 +79,18 @@ class _Walk:
 
 
 class _Reader(DataSourceReader):
-    """One partition for the root's own entries and one for each folder below it."""
+    """One partition for the root's own entries and one for each folder below it; or one for each of given paths."""
 
     def __init__(self, options: dict) -> None:
         self.walk = _Walk(options)
+        given = {os.path.abspath(p) for p in json.loads(options.get("paths", "[]"))}
+        # what lies below another path comes with it
+        self.paths = [p for p in sorted(given) if not any(p.startswith(q.rstrip("/") + "/") for q in given)]
+        self.partial = "paths" in options
 
     def partitions(self):
+        if self.partial:
+            return [InputPartition(("at", p)) for p in self.paths] or [InputPartition(("none", ""))]
         folders = [r[0] for r in self.walk.children(self.walk.root) if r[2] == "dir"]
         return [InputPartition(("root", self.walk.root)), *(InputPartition(("below", f)) for f in folders)]
 
@@ -78,7 +101,9 @@ class _Reader(DataSourceReader):
             if own:
                 yield own
             yield from self.walk.children(folder)
-        else:
+        elif kind == "at":
+            yield from self.walk.at(folder)
+        elif kind == "below":
             yield from self.walk.below(folder)
 
 
@@ -107,9 +132,13 @@ class _Changes(SimpleDataSourceStreamReader):
         if not rows:
             return iter(()), start
         self.kept[at] = rows
-        self.kept.pop(at - 64, None)
         return iter(rows), {"listing": at + 1}
 
+    def commit(self, end):
+        """Listings that are processed are forgotten, and no others."""
+        for at in [at for at in self.kept if at < end["listing"]]:
+            del self.kept[at]
+
     def readBetweenOffsets(self, start, end):
         return iter([r for at in range(start["listing"], end["listing"]) for r in self.kept.get(at, [])])
 
@@ -117,7 +146,8 @@ class _Changes(SimpleDataSourceStreamReader):
 class TreeSource(DataSource):
     """``spark.read.format("tree").option("root", path)``; as a stream each row has an ``event``: create, write or remove.
 
-    Options: ``include`` and ``exclude`` (more patterns, by commas), ``all_files``, ``database`` (the index itself).
+    Options: ``include`` and ``exclude`` (more patterns, by commas), ``all_files``, ``database`` (the index itself), and as a
+    batch ``paths`` (a JSON list), to which the listing is restricted.
     """
 
     @classmethod

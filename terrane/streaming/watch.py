@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import time
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from terrane.engine import Engine
 
 DEBOUNCE_MS, ATTEMPTS = 100, 3
+#: Of what the watcher remembers for its report the last so many are kept.
+LAST = 10_000
 
 
 def debounced_paths(changes: DataFrame, debounce_ms: int = DEBOUNCE_MS) -> DataFrame:
@@ -49,9 +52,10 @@ class Watcher:
     def __init__(self, engine: Engine, root: str, checkpoint: str, debounce_ms: int = DEBOUNCE_MS) -> None:
         self.engine, self.root, self.checkpoint, self.debounce_ms = engine, os.path.abspath(root), checkpoint, debounce_ms
         self.attempts: dict[str, int] = {}
-        self.dropped: list[str] = []
+        self.dropped: deque[str] = deque(maxlen=LAST)
+        self.dropped_count = 0
         self.applied = 0
-        self.freshness_ms: list[float] = []
+        self.freshness_ms: deque[float] = deque(maxlen=LAST)
         self.query = None
 
     def start(self) -> None:
@@ -67,7 +71,7 @@ class Watcher:
         """All paths that are due in one version. What fails is tried again with the next batch, up to three times."""
         rows = {r["path"]: r["first_ms"] for r in batch.collect()}  # paths that changed within one tick
         due = [*rows, *(p for p in self.attempts if p not in rows)]
-        due = [p for p in due if self._differs(p)]
+        due = self._differing(due)
         if not due:
             return
         try:
@@ -78,23 +82,32 @@ class Watcher:
                 if self.attempts[p] >= ATTEMPTS:
                     del self.attempts[p]
                     self.dropped.append(p)
+                    self.dropped_count += 1
             return
         for p in due:
             self.attempts.pop(p, None)
         self.applied += len(due)
         now = time.time() * 1000
-        self.freshness_ms += [now - f for f in rows.values()]
-
-    def _differs(self, path: str) -> bool:
-        """Whether the index holds another state of a path than the file system."""
-        row = self.engine.table("files").filter(f"path = '{path.replace(chr(39), chr(92) + chr(39))}'").select("kind", "size", "mtime_ns").first()
+        self.freshness_ms.extend(now - f for f in rows.values())
+
+    def _differing(self, paths: list[str]) -> list[str]:
+        """The paths of which the index holds another state than the file system; one query for all of them."""
+        if not paths:
+            return []
+        given = self.engine.spark.createDataFrame([(p,) for p in paths], "path string")
+        rows = given.join(self.engine.table("files").select("path", "size", "mtime_ns"), "path")
+        known = {r["path"]: (r["size"], r["mtime_ns"]) for r in rows.collect()}  # of these paths only
+        return [p for p in paths if self._differs(p, known.get(p))]
+
+    @staticmethod
+    def _differs(path: str, known: tuple[int, int] | None) -> bool:
         try:
             s = os.lstat(path)
         except OSError:
-            return row is not None
+            return known is not None
         if os.path.isdir(path) and not os.path.islink(path):
-            return row is None
-        return row is None or row["mtime_ns"] != s.st_mtime_ns or row["size"] != s.st_size
+            return known is None
+        return known != (s.st_size, s.st_mtime_ns)
 
     def stop(self) -> None:
         if self.query is not None:

@@ -127,3 +127,59 @@ def test_rescan_sync_and_changes(spark, tmp_path):
     e.close()
     with pytest.raises(Closed):
         e.table("files")
+
+
+def test_a_sync_writes_parts_and_many_parts_are_put_together(spark, tmp_path):
+    root = tmp_path / "tree"
+    put(root, **{"a.md": "alpha words", "b.md": "beta words"})
+    e = Engine(spark, str(tmp_path / "index"), Options(dimensions=32, most_parts=2))
+    e.scan(str(root))
+    first = e.store.current()
+    put(root, **{"b.md": "beta has changed"})
+    e.sync([str(root / "b.md")])
+    second = e.store.current()
+    assert second.tables["chunks"][0] == first.tables["chunks"][0] and len(second.tables["chunks"]) == 2
+    assert {r.content for r in e.table("chunks").collect()} == {"alpha words", "beta has changed"}
+    assert e.find("words").count() == 1 and e.find("changed").count() == 1
+    put(root, **{"sub__c.md": "gamma words"})
+    e.sync([str(root / "sub" / "c.md")])
+    e.sync([str(root / "sub")])
+    now = e.store.current()
+    assert all(len(parts) <= 2 for parts in now.tables.values())
+    rows = {r.path.removeprefix(str(root)): r for r in e.table("files").collect()}
+    assert set(rows) == {"", "/a.md", "/b.md", "/sub", "/sub/c.md"} and rows["/sub/c.md"].parent_id == rows["/sub"].id
+    assert e.find("words").count() == 2 and not any(v for k, v in e.check().items() if k != "file_rows")
+
+
+def test_migration_by_steps_makes_the_indexes(spark, tmp_path):
+    root = tmp_path / "tree"
+    put(root, **{"a.md": "alpha words\n\n## Kalman filter\n\n## State space\n"})
+    e = Engine(spark, str(tmp_path / "index"), Options(dimensions=32))
+    e.scan(str(root))
+    v = e.store.current()
+    old = {n: e.table(n, v) for n in ("files", "chunks", "symbols", "symbol_refs", "tags", "embeddings", "scan_roots")}
+    old["files"] = old["files"].drop("search_text")
+    from terrane.snapshot import Store
+
+    store = Store(spark, str(tmp_path / "older"))
+    store.publish({**old, "chunk_embeddings": e.table("chunk_embeddings", v).drop("file_id")}, schema=1)
+    new = Engine(spark, str(tmp_path / "older"), Options(dimensions=32))
+    assert new.store.current().schema == v.schema and new.find("alpha").count() == 1
+    assert [r.related for r in new.related("Kalman filter").collect()] == ["State space"]
+    assert new.search("alpha").first().path == str(root / "a.md")
+
+
+def test_a_hit_by_meaning_alone_shows_its_nearest_chunk(spark):
+    from terrane.operators.retrieval import fuse
+
+    files = spark.createDataFrame([(1, "/a", "file", 1, 1, "", ""), (2, "/b", "file", 1, 1, "", "")], "id long, path string, kind string, size long, mtime_ns long, mime string, tags_text string")
+    queries = spark.createDataFrame([(1, "words")], "query_id long, query_text string")
+    vectors = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.9)], "query_id long, id long, cosine double")
+    near = spark.createDataFrame([(1, 1, 0.8, "text", "f", 3, 9), (1, 2, 0.7, "text", "g", 4, 8)], "query_id long, id long, cosine double, snippet string, chunk_symbol string, start_line long, end_line long")
+    hits = {r.id: r for r in fuse(queries, files, Request(), 2, vectors=vectors, near_chunks=near).collect()}
+    assert (hits[1].chunk_symbol, hits[1].start_line, hits[1].end_line, hits[1].snippet, hits[1].vector_score) == ("f", 3, 9, "text", 0.8)
+    assert (hits[2].chunk_symbol, hits[2].start_line, hits[2].vector_score) == ("", 0, 0.9)
+    # words rank the file: its snippet stays, the nearer chunk gives its cosine only
+    words = spark.createDataFrame([(1, 1, 1, "by words")], "query_id long, id long, rank int, snippet string")
+    ranked = {r.id: r for r in fuse(queries, files, Request(), 2, words=words, vectors=vectors, near_chunks=near).collect()}
+    assert (ranked[1].chunk_symbol, ranked[1].snippet, ranked[1].vector_score) == ("", "by words", 0.8)

@@ -69,3 +69,18 @@ def test_versions(spark, tmp_path):
         json.dump({"number": 3, "tables": {}, "schema": 99}, f)
     with pytest.raises(IncompatibleSchema):
         store.current()
+
+
+def test_a_change_writes_only_its_own_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "parts"))
+    rows = lambda *x: spark.createDataFrame(x, "file_id long, v string")
+    one = store.publish({"a": rows((1, "x"), (2, "x"), (3, "x")), "b": rows((1, "y"), (2, "y"))})
+    two = store.publish({}, one, added={"a": rows((2, "new"), (4, "new"))}, replaced={None: rows((2, "")), ("b",): rows((1, ""))})
+    read = lambda n, v: {tuple(r) for r in store.read(n, v, "file_id").collect()}
+    assert read("a", one) == {(1, "x"), (2, "x"), (3, "x")} and read("b", one) == {(1, "y"), (2, "y")}
+    assert read("a", two) == {(1, "x"), (2, "new"), (3, "x"), (4, "new")} and read("b", two) == set()
+    assert [len(two.tables[n]) for n in ("a", "b")] == [2, 1] and two.tables["a"][0] == one.tables["a"][0]
+    # a table that is written as a whole needs none of what was replaced before
+    three = store.publish({"a": store.read("a", two, "file_id"), "b": store.read("b", two, "file_id")}, two)
+    assert three.replaced == [] and read("a", three) == read("a", two) and read("b", three) == set()
+    assert store.vacuum(1) == 5 and read("a", three) == {(1, "x"), (2, "new"), (3, "x"), (4, "new")}
