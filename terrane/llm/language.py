@@ -177,6 +177,18 @@ def _grams(word: str, order: int) -> list[str]:
     return [w[i : i + order] for i in range(len(w) - order + 1)] if len(w) >= order else []
 
 
+#: A letter that is neither Latin nor Chinese nor Japanese.
+_OTHER_SCRIPT = re.compile(f"[^\\W\\d_{_HAN}{_KANA}a-zA-Z\u00aa-\u024f\u1e00-\u1eff\u0300-\u036f々ー]")
+_LATIN, _EAST, _OTHER = 0, 1, 2
+
+
+def _kind(word: str) -> int:
+    """The kind of script that a word is in."""
+    if word.isascii():
+        return _LATIN
+    return _EAST if _CJK.match(word) else _OTHER if _OTHER_SCRIPT.search(word) else _LATIN
+
+
 class Model:
     """Log frequencies of words and n-grams in each language, less their mean over the languages."""
 
@@ -187,6 +199,8 @@ class Model:
         self.row: dict[str, int] = {w: i for i, w in enumerate(words)}
         self.table = np.array(list(words.values()), np.float32).reshape(-1, len(LANGUAGES))
         self.extra: list[np.ndarray] = []
+        self.kinds = np.array([_kind(w) for w in words], np.int8)
+        self.extra_kinds: list[int] = []
 
     def unseen(self, word: str) -> np.ndarray:
         """Score of a word that the model doesn't know, from its longest known n-grams."""
@@ -196,8 +210,8 @@ class Model:
                 return np.mean(known, 0)
         return np.zeros(len(LANGUAGES), np.float32)
 
-    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the words, and which of them it knows as words."""
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the words, which of them it knows as words, and their kinds of script."""
         get = self.row.get
         found = np.fromiter(map(get, words, (-1,) * len(words)), np.int64, len(words))
         for i in np.flatnonzero(found < 0):
@@ -208,13 +222,17 @@ class Model:
                     for x in [x for x, a in self.row.items() if a >= len(self.words)]:
                         del self.row[x]
                     self.extra, self.table = [], self.table[: len(self.words)]
+                    self.extra_kinds, self.kinds = [], self.kinds[: len(self.words)]
                     return self.rows(words)
                 at = self.row[w] = len(self.words) + len(self.extra)
                 self.extra.append(self.unseen(w))
+                self.extra_kinds.append(_kind(w))
             found[i] = at
         if len(self.table) < len(self.words) + len(self.extra):
-            self.table = np.concatenate([self.table, np.array(self.extra[len(self.table) - len(self.words) :], np.float32)])
-        return self.table[found], found < len(self.words)
+            at = len(self.table) - len(self.words)
+            self.table = np.concatenate([self.table, np.array(self.extra[at:], np.float32)])
+            self.kinds = np.concatenate([self.kinds, np.array(self.extra_kinds[at:], np.int8)])
+        return self.table[found], found < len(self.words), self.kinds[found]
 
 
 def _ratios(counts: dict[str, Counter], smoothing: float) -> dict[str, np.ndarray]:
@@ -272,13 +290,6 @@ _SWITCH = 6.0
 KNOWN_SHARE = 0.30
 #: A sentence of so many words of which fewer are known in any language is in none.
 _FOREIGN_WORDS, _FOREIGN_SHARE = 8, 0.15
-_OTHER_SCRIPT = re.compile(f"[^\\W\\d_{_HAN}{_KANA}a-zA-Z\u00aa-\u024f\u1e00-\u1eff\u0300-\u036f々ー]")
-
-
-def _is_cjk_word(word: str) -> bool:
-    return bool(_CJK.match(word))
-
-
 def segments(model: Model, text: str) -> list[tuple[str | None, int, int, int, float]]:
     """(language, first line, last line, size, confidence) of the stretches of prose in one language, null and 0 where it is none of the model's."""
     units: list[tuple[int, list[str], int]] = []
@@ -293,21 +304,17 @@ def segments(model: Model, text: str) -> list[tuple[str | None, int, int, int, f
     if not units:
         return []
     sizes = np.array([len(w) for _, w, _ in units])
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    words = [w for _, ws, _ in units for w in ws]
-    rows, known = model.rows(words)
-    scores = np.add.reduceat(rows, starts, axis=0).astype(np.float64)
+    starts = np.cumsum(sizes) - sizes
+    rows, known, kinds = model.rows([w for _, ws, _ in units for w in ws])
     # words known as words of each language; in Chinese and Japanese, which are told by script, every pair counts
-    told = known[:, None] & (rows > 0)
-    if not text.isascii():
-        told[np.fromiter(map(_is_cjk_word, words), bool, len(words))] = True
-        other = np.add.reduceat(np.fromiter((_OTHER_SCRIPT.search(w) is not None for w in words), np.int64, len(words)), starts)
-    else:
-        other = np.zeros(len(units), np.int64)
-    told = np.add.reduceat(told.astype(np.int64), starts, axis=0)
+    told = np.add.reduceat(known[:, None] & (rows > 0) | (kinds == _EAST)[:, None], starts, axis=0, dtype=np.int64)
+    other = np.add.reduceat(kinds == _OTHER, starts, dtype=np.int64)
     foreign = (other * 2 > sizes) | (sizes >= _FOREIGN_WORDS) & (told.max(1) < _FOREIGN_SHARE * sizes)
     # the last state is none of the languages
-    scores = np.c_[np.where(foreign[:, None], -1e6, scores), np.where(foreign, 0.0, -1e6)]
+    scores = np.empty((len(units), len(LANGUAGES) + 1))
+    scores[:, :-1] = np.add.reduceat(rows, starts, axis=0)
+    scores[:, -1] = -1e6
+    scores[foreign, :-1], scores[foreign, -1] = -1e6, 0.0
     best = scores.argmax(1)
     if (best == best[0]).all():
         path = best
@@ -325,8 +332,8 @@ def segments(model: Model, text: str) -> list[tuple[str | None, int, int, int, f
         for i in range(n - 1, 0, -1):
             path[i - 1] = back[i, path[i]]
     out = []
-    first = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
-    for a, b in zip(first, np.r_[first[1:], len(path)], strict=True):
+    first = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()]
+    for a, b in zip(first, [*first[1:], len(path)], strict=True):
         lang, count = int(path[a]), max(1, int(sizes[a:b].sum()))
         where = (units[a][0], units[b - 1][0], sum(u[2] for u in units[a:b]))
         if lang == len(LANGUAGES) or told[a:b, lang].sum() < KNOWN_SHARE * count:
