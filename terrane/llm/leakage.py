@@ -188,8 +188,9 @@ class Index:
         bound = np.bincount(cell[owner] * self.n_blocks + self.blocks[entries], self.bounds[entries], cells * self.n_blocks)
         bound = bound.reshape(cells, self.n_blocks)
         live = bound[:-1] + bound[1:] >= self.least_of_block
-        for c in np.flatnonzero(live.any(1)):
-            own = np.unique(number[(cell == c) | (cell == c + 1)])
+        at_cell = np.searchsorted(cell, np.arange(cells + 1))
+        for c in np.flatnonzero(live.any(1)).tolist():
+            own = np.unique(number[at_cell[c] : at_cell[c + 2]])  # the pairs are in the order of their cells
             e, _ = _spans(self.block_starts[own], self.block_starts[own + 1])
             ranges = self.ranges[e[live[c][self.blocks[e]]]]
             hits, _ = _spans(ranges[:, 0], ranges[:, 1])
@@ -202,8 +203,8 @@ class Index:
 def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all the ranges, one after another, and of which range each is."""
     sizes = ends - starts
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(owner)) + (starts - np.cumsum(sizes) + sizes)[owner], owner
+    owner = np.arange(len(sizes)).repeat(sizes)
+    return np.arange(len(owner)) + (starts - sizes.cumsum() + sizes).repeat(sizes), owner
 
 
 #: Greatest length of an item in the first group of like lengths, and how many times longer each further group may be.
