@@ -278,9 +278,9 @@ class Engine:
         added["symbol_refs"] = self._children("symbol_refs", version, counters, parsed, "refs", ["caller", "callee", "line"], ["line", "caller", "callee"])
         now = F.lit(began)
         readable = now_files.filter("kind = 'file'").join(fresh.select(F.col("file_id").alias("id")), "id", "left_semi")
-        file_vectors = self._embed(readable.select("id", F.concat_ws("\n", "name", "path", "content_head").alias("text")))
+        file_vectors = self._embed(readable.select("id", retrieval.file_input().alias("text")))
         added["embeddings"] = self._vector_rows(file_vectors, readable, "file_id", now)
-        chunk_vectors = self._embed(chunks.select("id", F.concat_ws("\n", "symbol", "content").alias("text")))
+        chunk_vectors = self._embed(chunks.select("id", retrieval.chunk_input().alias("text")))
         added["chunk_embeddings"] = self._vector_rows(chunk_vectors, chunks, "chunk_id", now).join(chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id")
         tables = {"tags": own}
         if entries is not None:

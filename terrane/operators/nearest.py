@@ -93,8 +93,13 @@ def probed_topk(vectors: DataFrame, queries: DataFrame, k: int, limit: int, id:
     return scored.withColumn("_r", place).filter(F.col("_r") <= k).drop("_r")
 
 
+def capped_count(rows: DataFrame, most: int) -> int:
+    """The number of rows, of which no more than one over ``most`` are counted."""
+    return rows.limit(most + 1).count()
+
+
 def topk(vectors: DataFrame, queries: DataFrame, k: int, limit: int, exact_limit: int = EXACT_LIMIT, **names: str) -> DataFrame:
     """Exact up to ``exact_limit`` vectors, by buckets beyond; no more than one row over the limit is counted."""
-    if vectors.limit(exact_limit + 1).count() <= exact_limit:
+    if capped_count(vectors, exact_limit) <= exact_limit:
         return exact_topk(vectors, queries, k, **names)
     return probed_topk(vectors, queries, k, limit, **names)

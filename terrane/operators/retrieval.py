@@ -55,6 +55,16 @@ class Request:
         return bool(self.kinds or self.tags or self.path_prefix)
 
 
+def file_input() -> Column:
+    """What is embedded of a file."""
+    return F.concat_ws("\n", "name", "path", "content_head")
+
+
+def chunk_input() -> Column:
+    """What is embedded of a chunk."""
+    return F.concat_ws("\n", "symbol", "content")
+
+
 def local_bm25(recalled: DataFrame, rows: DataFrame, queries: DataFrame, text: Column, id: str = "id") -> DataFrame:
     """``query_id, id, score`` of what was recalled, with the frequencies and lengths of a query's recalled rows only.
 

@@ -1,8 +1,8 @@
 """Registered queries of the core: callables over a table folder, and the SQL that an independent engine runs."""
 
-from terrane.queries import code, events, graph, incremental, passthrough, search, text, tree
+from terrane.queries import code, events, graph, incremental, lifecycle, passthrough, search, text, tree
 
-_MODULES = [incremental, tree, text, search, graph, events, passthrough, code]
+_MODULES = [incremental, tree, text, search, graph, events, passthrough, code, lifecycle]
 
 
 def queries():
