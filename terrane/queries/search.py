@@ -85,12 +85,19 @@ def cosine_topk(spark, d):
     return found.withColumn("cosine", F.round("cosine", 6))
 
 
+def _every_vector(spark: SparkSession, d: str) -> DataFrame:
+    """The current vectors of all models that have as many numbers as they say."""
+    rows = table(spark, d, "file_embeddings").filter("file_id IS NOT NULL AND model IS NOT NULL")
+    own = latest(rows, ["file_id", "model"], "updated_at_ns", ["dimensions", "vector"])
+    return own.filter((F.size("vector") == F.col("dimensions")) & (F.size("vector") >= 8)).select(F.col("file_id").alias("id"), "model", "vector")
+
+
 def sign_buckets(spark, d):
-    return _vectors(spark, d).select("id", bucket(F.col("vector")).alias("bucket"))
+    return _every_vector(spark, d).select("id", "model", bucket(F.col("vector")).alias("bucket"))
 
 
 def bucket_probes(spark, d):
-    return _vectors(spark, d).select("id", F.posexplode(probes(F.col("vector"))).alias("place", "bucket"))
+    return _every_vector(spark, d).select("id", "model", F.posexplode(probes(F.col("vector"))).alias("place", "bucket"))
 
 
 def probed_topk(spark, d):
@@ -214,6 +221,8 @@ _CHUNK_ARM = f"""{_posted('ck', 'ch', inverted.CHUNK_FIELDS)}, {_local('ck', 'ch
     cw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY rank) AS rn FROM cr) WHERE rn = 1)"""
 _VECTOR = f"""vm AS (SELECT model FROM file_embeddings WHERE dimensions = {_DIMENSIONS} GROUP BY model ORDER BY count(*) DESC, model LIMIT 1),
     v AS (SELECT file_id AS id, vector FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY updated_at_ns DESC, vector DESC) AS rn FROM file_embeddings WHERE model = (SELECT model FROM vm)) WHERE rn = 1 AND len(vector) = {_DIMENSIONS})"""
+_EVERY = """v AS (SELECT file_id AS id, model, vector FROM (SELECT *, row_number() OVER (PARTITION BY file_id, model ORDER BY updated_at_ns DESC, dimensions DESC, vector DESC) AS rn FROM file_embeddings WHERE file_id IS NOT NULL AND model IS NOT NULL)
+      WHERE rn = 1 AND len(vector) = dimensions AND len(vector) >= 8)"""
 _QV = f"""qc AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({terms('query_text')}) AS term FROM q) GROUP BY ALL),
     qh AS (SELECT query_id, tf, {FNV.format('term')} AS h FROM qc),
     qs AS (SELECT query_id, (h % {_DIMENSIONS})::INT AS slot, sum(CASE WHEN h >= 9223372036854775808::UHUGEINT THEN -tf ELSE tf END)::DOUBLE AS x FROM qh GROUP BY ALL),
@@ -297,10 +306,10 @@ SQL = {
     "chunk_words": f"{_W}, {_CHUNK_ARM} SELECT query_id, id, rank, chunk_symbol, start_line, end_line FROM cw",
     "query_vectors": f"WITH {ASKED}, {_QV} SELECT query_id, slot, round(x, 5) AS x FROM qx WHERE x <> 0",
     "cosine_topk": f"WITH {ASKED}, {_VECTOR}, {_QV}, {_COS} SELECT query_id, id, round(cosine, 6) AS cosine FROM ck2 WHERE rn <= 50",
-    "sign_buckets": f"WITH {_VECTOR} SELECT id, {_BITS} AS bucket FROM v",
-    "bucket_probes": f"""WITH {_VECTOR}, b AS (SELECT id, vector, {_BITS} AS own FROM v), p AS (SELECT id, own, unnest(range(0, 8)) AS bit, vector FROM b),
-        o AS (SELECT id, xor(own, (1 << bit::INT)::INT) AS bucket, row_number() OVER (PARTITION BY id ORDER BY abs(vector[(bit + 1)::INT]), bit) AS place FROM p)
-        SELECT id, 0 AS place, own AS bucket FROM b UNION ALL SELECT id, place, bucket FROM o""",
+    "sign_buckets": f"WITH {_EVERY} SELECT id, model, {_BITS} AS bucket FROM v",
+    "bucket_probes": f"""WITH {_EVERY}, b AS (SELECT id, model, vector, {_BITS} AS own FROM v), p AS (SELECT id, model, own, unnest(range(0, 8)) AS bit, vector FROM b),
+        o AS (SELECT id, model, xor(own, (1 << bit::INT)::INT) AS bucket, row_number() OVER (PARTITION BY id, model ORDER BY abs(vector[(bit + 1)::INT]), bit) AS place FROM p)
+        SELECT id, model, 0 AS place, own AS bucket FROM b UNION ALL SELECT id, model, place, bucket FROM o""",
     "probed_topk": f"""WITH {ASKED}, {_VECTOR}, {_QV}, {_COS}, qb AS (SELECT query_id, sum(CASE WHEN coalesce(x, 0) >= 0 THEN (1 << slot::INT) ELSE 0 END)::INT AS own
           FROM (SELECT q.query_id, s.slot, qx.x FROM q CROSS JOIN (SELECT unnest(range(0, 8)) AS slot) s LEFT JOIN qx ON qx.query_id = q.query_id AND qx.slot = s.slot) GROUP BY query_id),
         pb AS (SELECT query_id, own AS bucket FROM qb UNION SELECT query_id, xor(own, (1 << b::INT)::INT) FROM qb, (SELECT unnest(range(0, 8)) AS b)),

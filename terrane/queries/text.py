@@ -22,11 +22,12 @@ def script_runs(spark, d):
 
 def analyze_terms(spark, d):
     t = X.analyze_terms(F.col("content"))
-    return _chunks(spark, d).select("id", F.size(t).alias("n_terms"), F.size(X.distinct_terms(t)).alias("n_distinct"), F.array_join(F.slice(t, 1, 40), " ").alias("beginning"))
+    return _chunks(spark, d).select("id", F.size(t).alias("n_terms"), F.size(X.distinct_terms(t)).alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("terms"))
 
 
 def index_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(X.index_tokens(F.col("text"))).alias("n"), F.array_join(F.slice(X.index_tokens(F.col("text")), 1, 30), " ").alias("beginning"))
+    found = table(spark, d, "documents").select("doc_id", X.index_tokens(F.col("text")).alias("t"))
+    return found.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
 def segment_index(spark, d):
@@ -97,8 +98,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 SQL = {
     "script_runs": f"{_C} SELECT id, {runs('content')} AS runs FROM ch",
-    "analyze_terms": f"{_C} SELECT id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, array_to_string(t[1:40], ' ') AS beginning FROM (SELECT id, {terms('content')} AS t FROM ch)",
-    "index_tokens": f"SELECT doc_id, len(t) AS n, array_to_string(t[1:30], ' ') AS beginning FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
+    "analyze_terms": f"{_C} SELECT id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS terms FROM (SELECT id, {terms('content')} AS t FROM ch)",
+    "index_tokens": f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "segment_index": f"{_C} SELECT id, array_to_string(flatten(list_transform(list_filter({runs('content')}, lambda r: {is_cjk('r')}), lambda r: {bigrams('r')})), ' ') AS search_text FROM ch",
     "match_phrases": f"SELECT query_text, list_sort({phrases('query_text')}) AS phrases FROM (SELECT DISTINCT query_text FROM search_hits)",
     "term_frequencies": f"{_C}, t AS (SELECT id, unnest({terms('content')}) AS term FROM ch) SELECT id, term, count(*) AS tf FROM t GROUP BY ALL",

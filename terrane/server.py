@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-import tempfile
 import threading
 from collections.abc import Sequence
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -164,7 +164,8 @@ def serve(engine: Engine, port: int, watched: Sequence[str] = ()) -> None:
     """Serves until it is interrupted, and follows the watched folders meanwhile."""
     from terrane.streaming.watch import Watcher
 
-    watchers = [Watcher(engine, root, os.path.join(tempfile.gettempdir(), f"terrane-watch-{os.getpid()}-{i}")) for i, root in enumerate(watched)]
+    # beside the index, so that a restart goes on where the last one stopped
+    watchers = [Watcher(engine, root, f"{engine.path}/watch/{hashlib.sha256(os.path.abspath(root).encode()).hexdigest()[:16]}") for root in watched]
     for w in watchers:
         w.start()
     server = make_server(engine, port)
