@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.durable import checkpointed
+from terrane.durable import checkpointed, written
 from terrane.functions.vectors import bucket, hash_vectors, probes
 from terrane.operators import context, inverted, nearest, retrieval
 from terrane.operators.relational import current_files
@@ -23,12 +23,29 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.max("query_text").alias("query_text"))
 
 
+#: Tables and indexes of this process, by application, table and state of its files.
+_STORED: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, what: str, make):
+    """What is stored of a table of a folder; made at first use and again if the table's files change."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in files.listStatus(path))
+    key = (spark.sparkContext.applicationId, d, name, what, state)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return current_files(table(spark, d, "files"), ["size", "mtime_ns", "name", "path", "kind", "mime", "tags_text", "content_head", "search_text"])
+    """The current state of the files, as an index keeps it."""
+    columns = ["size", "mtime_ns", "name", "path", "kind", "mime", "tags_text", "content_head", "search_text"]
+    return _once(spark, d, "files", "rows", lambda: written(current_files(table(spark, d, "files"), columns), "files"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").dropDuplicates(["id"])
+    return _once(spark, d, "chunks", "rows", lambda: written(table(spark, d, "chunks").dropDuplicates(["id"]), "chunks"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -42,20 +59,10 @@ def _query_vectors(spark: SparkSession, d: str) -> DataFrame:
     return hash_vectors(_asked(spark, d), "query_id", "query_text", _DIMENSIONS).withColumnRenamed("id", "query_id")
 
 
-#: Indexes of this process, by application, table and state of its files.
-_INDEXES: dict[tuple, inverted.Index] = {}
-
-
 def _index(spark: SparkSession, d: str, name: str) -> inverted.Index:
-    """The stored index of the files or chunks of a folder; made at first use and again if the table's files change."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
-    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    state = tuple((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in status.listStatus(path))
-    key = (spark.sparkContext.applicationId, d, name, state)
-    if key not in _INDEXES:
-        rows, fields = (_files(spark, d), inverted.FILE_FIELDS) if name == "files" else (_chunks(spark, d), inverted.CHUNK_FIELDS)
-        _INDEXES[key] = inverted.Index.of(rows, fields).stored(name)
-    return _INDEXES[key]
+    """The stored index of the files or chunks of a folder."""
+    rows, fields = (_files, inverted.FILE_FIELDS) if name == "files" else (_chunks, inverted.CHUNK_FIELDS)
+    return _once(spark, d, name, "index", lambda: inverted.Index.of(rows(spark, d), fields).stored(name))
 
 
 def find(spark, d):
