@@ -22,8 +22,8 @@ from terrane.operators import context, graph, inverted, nearest, relational, ret
 from terrane.operators.numbering import numbered
 from terrane.plans import sqlfunctions, sqlgate
 from terrane.snapshot import SCHEMA_VERSION, Store, Version
-from terrane.sources.extract import EXTRACT_BYTES, HEAD_BYTES, extract_files, read_contents
-from terrane.sources.tree import register
+from terrane.sources import tree
+from terrane.sources.extract import EXTRACT_BYTES, HEAD_BYTES, read_texts
 
 #: Tables that are read by their name; the last three but one are made from ``chunk_concepts`` where they are read.
 TABLES = ("files", "chunks", "symbols", "symbol_refs", "tags", "embeddings", "chunk_embeddings", "concepts", "concept_occurrences", "concept_edges", "scan_roots")
@@ -105,7 +105,7 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None) -> None:
         self.local = "://" not in path
         self.spark, self.path, self.options = spark, os.path.abspath(path) if self.local else path.rstrip("/"), options or Options()
-        register(spark)
+        tree.register(spark)
         self.store = Store(spark, self.path)
         self.store.current()  # refuses what a newer engine wrote
         folder = self.options.journal or (os.path.join(self.path, "journal") if self.local else "")
@@ -173,18 +173,21 @@ class Engine:
     def model(self) -> str:
         return self.options.embedder_name or model_name(self.options.dimensions)
 
-    def _embed(self, texts: DataFrame) -> DataFrame:
-        return self.options.embedder(texts) if self.options.embedder else hash_vectors(texts, dimensions=self.options.dimensions)
+    def _embed(self, texts: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """``id, vector`` and the columns ``keep`` of ``texts`` (id, text and these)."""
+        if self.options.embedder is None:
+            return hash_vectors(texts, dimensions=self.options.dimensions, keep=keep)
+        vectors = self.options.embedder(texts.select("id", "text"))
+        return vectors.join(texts.select("id", *keep), "id") if keep else vectors
 
     # -- building
 
     def listing(self, root: str, paths: Sequence[str] | None = None) -> DataFrame:
         """The entries below a root, or those at and below some paths of it, that the policy admits."""
-        reader = self.spark.read.format("tree").option("root", root).option("database", self.path).option("all_files", str(self.options.all_files))
+        options = {"root": root, "database": self.path, "all_files": str(self.options.all_files), "include": ",".join(self.options.include), "exclude": ",".join(self.options.exclude)}
         if paths is not None:
-            reader = reader.option("paths", json.dumps(list(paths)))
-        out = reader.option("include", ",".join(self.options.include)).option("exclude", ",".join([*self.options.exclude])).load()
-        return out.filter(~within(F.col("path"), self.path))
+            options["paths"] = json.dumps(list(paths))
+        return tree.entries(self.spark, options).filter(~within(F.col("path"), self.path))
 
     def scan(self, root: str, tags: Iterable[str] = (), skip_unchanged: bool = False) -> ScanResult:
         """Brings a subtree of the index to the state of the file system, in one new version.
@@ -231,10 +234,14 @@ class Engine:
         """Publishes a version with the new rows of the entries that changed; all others' rows stay where they are."""
         files = self.table("files", version)
         changed = found if reuse is None else written(found.join(reuse, "path", "left_anti"), "changed")
-        texts = written(extract_files(read_contents(changed, self.options.extract_bytes), self.options.extract_bytes), "texts")
+        texts = written(read_texts(changed, self.options.extract_bytes), "texts")
         mime = F.when(F.col("kind") == "dir", "inode/directory").when(F.col("kind") == "symlink", "inode/symlink").otherwise(F.coalesce("mime", F.lit("")))
         text = F.coalesce("text", F.lit(""))
-        rows = changed.join(texts, "path", "left").select(
+        paths = files.select("path", "id")
+        # ids are given to paths alone, before any text is joined to them
+        ids = written(relational.with_ids(paths, changed.select("path")), "ids")
+        rows = changed.join(ids, "path").join(texts, "path", "left").select(
+            "id",
             "path",
             F.lit(root).alias("scan_root"),
             "name",
@@ -248,8 +255,7 @@ class Engine:
             segment_index(truncate_utf8(text, self.options.content_bytes)).alias("search_text"),
             F.lit(began).alias("indexed_at_ns"),
         )
-        paths = files.select("path", "id")
-        rows = written(relational.with_ids(paths, rows), "rows")
+        rows = written(rows, "rows")
         dead = written(paths.join(gone, "path", "left_semi").join(rows.select("path"), "path", "left_anti").select(F.col("id").alias("file_id")), "dead")
         fresh = rows.select(F.col("id").alias("file_id"), "path")
         replaced = fresh.select("file_id").unionByName(dead)
@@ -278,10 +284,8 @@ class Engine:
         added["symbol_refs"] = self._children("symbol_refs", version, counters, parsed, "refs", ["caller", "callee", "line"], ["line", "caller", "callee"])
         now = F.lit(began)
         readable = now_files.filter("kind = 'file'").join(fresh.select(F.col("file_id").alias("id")), "id", "left_semi")
-        file_vectors = self._embed(readable.select("id", retrieval.file_input().alias("text")))
-        added["embeddings"] = self._vector_rows(file_vectors, readable, "file_id", now)
-        chunk_vectors = self._embed(chunks.select("id", retrieval.chunk_input().alias("text")))
-        added["chunk_embeddings"] = self._vector_rows(chunk_vectors, chunks, "chunk_id", now).join(chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id")
+        added["embeddings"] = self._vector_rows(readable, retrieval.file_input(), "file_id", now)
+        added["chunk_embeddings"] = self._vector_rows(chunks, retrieval.chunk_input(), "chunk_id", now, "file_id")
         tables = {"tags": own}
         if entries is not None:
             own_scan = self.spark.createDataFrame([(root, began, time.time_ns() - began, entries)], _EMPTY["scan_roots"])
@@ -309,8 +313,7 @@ class Engine:
     @staticmethod
     def _concepts_of(chunks: DataFrame) -> DataFrame:
         """Concepts of chunks, from which the graph is made, so that it never drifts from them."""
-        found = graph.extract_concepts(chunks).join(chunks.select(F.col("id").alias("chunk_id"), "file_id"), "chunk_id")
-        return found.select("chunk_id", "file_id", F.col("pos").cast("int").alias("pos"), "name", "kind")
+        return graph.extract_concepts(chunks, keep=["file_id"]).select("chunk_id", "file_id", F.col("pos").cast("int").alias("pos"), "name", "kind")
 
     def _children(self, name, version, counters, parsed, column, fields, order) -> DataFrame:
         """New rows of a table that belong to files, with new ids."""
@@ -335,9 +338,10 @@ class Engine:
         texts = relational.tags_text(tags).select(F.col("file_id").alias("id"), F.col("tags_text").alias("_t"))
         return files.drop("tags_text").join(texts, "id", "left").withColumn("tags_text", F.coalesce("_t", F.lit(""))).drop("_t")
 
-    def _vector_rows(self, vectors, rows, key, now) -> DataFrame:
-        return vectors.join(rows.select("id", "content_hash"), "id").select(
-            F.col("id").alias(key), F.lit(self.model).alias("model"), F.size("vector").alias("dimensions"), bucket(F.col("vector")).alias("bucket"), F.col("vector").cast("array<float>").alias("vector"), "content_hash", now.alias("updated_at_ns")
+    def _vector_rows(self, rows, text, key, now, *keep) -> DataFrame:
+        vectors = self._embed(rows.select("id", text.alias("text"), "content_hash", *keep), ["content_hash", *keep])
+        return vectors.select(
+            F.col("id").alias(key), F.lit(self.model).alias("model"), F.size("vector").alias("dimensions"), bucket(F.col("vector")).alias("bucket"), F.col("vector").cast("array<float>").alias("vector"), "content_hash", now.alias("updated_at_ns"), *keep
         )
 
     # -- queries

@@ -8,7 +8,6 @@ that fails leaves the pointer, and thus every reader, where it was.
 
 from __future__ import annotations
 
-import functools
 import json
 import uuid
 from collections.abc import Mapping
@@ -16,6 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrane.durable import create_once, read_file
 from terrane.errors import IncompatibleSchema
@@ -48,6 +48,7 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
+        self._schemas: dict[str, StructType] = {}  # by folder, whose files never change
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _numbers(self) -> list[int]:
@@ -75,15 +76,28 @@ class Store:
         oldest = min(n for _, n in parts)
         later = [(f, n) for f, n, only in version.replaced if n > oldest and (only is None or name in only)]
         if not later or key is None:
-            return self.spark.read.parquet(*(f"{self.path}/{f}" for f, _ in parts))
+            return self._scan([f for f, _ in parts])
         rows = self._numbered(parts)
         replaced = self._numbered(later).groupBy("file_id").agg(F.max("_n").alias("_replaced")).withColumnRenamed("file_id", "_file")
         alive = rows.join(replaced, F.col(key) == F.col("_file"), "left").filter(F.col("_replaced").isNull() | (F.col("_n") >= F.col("_replaced")))
         return alive.drop("_n", "_file", "_replaced")
 
     def _numbered(self, parts: list) -> DataFrame:
-        each = [self.spark.read.parquet(f"{self.path}/{f}").withColumn("_n", F.lit(n)) for f, n in parts]
-        return functools.reduce(DataFrame.unionByName, each)
+        """The rows of all parts by one scan, with the number of their part, which is told by the folder of their file."""
+        rows = self._scan([f for f, _ in parts])
+        if len({n for _, n in parts}) == 1:
+            return rows.withColumn("_n", F.lit(parts[0][1]))
+        numbers = F.create_map(*(F.lit(x) for f, n in parts for x in (f.rsplit("/", 1)[-1], n)))
+        return rows.withColumn("_n", numbers[F.element_at(F.split("_metadata.file_path", "/"), -2)])
+
+    def _schema(self, folder: str) -> StructType:
+        if folder not in self._schemas:
+            self._schemas[folder] = self.spark.read.parquet(f"{self.path}/{folder}").schema
+        return self._schemas[folder]
+
+    def _scan(self, folders: list[str]) -> DataFrame:
+        """Parts of a table, all with the columns of the first."""
+        return self.spark.read.schema(self._schema(folders[0])).parquet(*(f"{self.path}/{f}" for f in folders))
 
     def publish(
         self,
@@ -105,12 +119,17 @@ class Store:
         paths = {n: [list(p) for p in parts] for n, parts in (base.tables if base else {}).items()}
         for name, df in {**tables, **(added or {})}.items():
             folder = f"tables/{name}/{uuid.uuid4().hex}"
+            if name in (added or {}) and paths.get(name):  # all parts have the columns and types of the first
+                df = df.select(*(F.col(c.name).cast(c.dataType) for c in self._schema(paths[name][0][0])))
             df.write.parquet(f"{self.path}/{folder}")
+            self._schemas[folder] = df.schema
             paths[name] = [*(paths.get(name, []) if name in (added or {}) else []), [folder, number]]
         gone = [list(p) for p in (base.replaced if base else [])]
         for only, ids in (replaced or {}).items():
             folder = f"tables/replaced/{uuid.uuid4().hex}"
-            ids.select("file_id").distinct().write.parquet(f"{self.path}/{folder}")
+            ids = ids.select("file_id").distinct()
+            ids.write.parquet(f"{self.path}/{folder}")
+            self._schemas[folder] = ids.schema
             gone.append([folder, number, None if only is None else list(only)])
         oldest = min((n for parts in paths.values() for _, n in parts), default=number)
         gone = [p for p in gone if p[1] > oldest]

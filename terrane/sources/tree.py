@@ -6,8 +6,10 @@ import json
 import os
 import re
 import stat
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from terrane.functions.paths import any_glob, validated
@@ -77,34 +79,98 @@ class _Walk:
             if row[2] == "dir":
                 yield from self.below(row[0])
 
+    def folders(self, folder: str) -> list[str]:
+        """Admitted folders in a folder."""
+        try:
+            with os.scandir(folder) as entries:
+                return sorted(e.path for e in entries if not self.denied.match(e.name) and e.path not in self.artifacts and e.is_dir(follow_symlinks=False))
+        except OSError:
+            return []
+
+    def units(self) -> list[tuple[str, str]]:
+        """The tree in pieces that can be listed apart: folders level by level, until there are enough that are listed with all below."""
+        out, whole = [("root", self.root)], self.folders(self.root)
+        while whole and len(whole) < UNITS:
+            out += [("children", f) for f in whole]
+            whole = [f for folder in whole for f in self.folders(folder)]
+        return out + [("below", f) for f in whole]
+
+    def listed(self, kind: str, path: str) -> Iterator[tuple]:
+        """The entries of a unit, or those at and below a given path."""
+        if kind == "root":
+            own = self.entry(path)
+            if own:
+                yield own
+        if kind in ("root", "children"):
+            yield from self.children(path)
+        elif kind == "at":
+            yield from self.at(path)
+        elif kind == "below":
+            yield from self.below(path)
+
+
+#: A tree is listed in at least so many units, if it has so many folders, by at most so many partitions.
+UNITS, PARTITIONS = 256, 32
+
+
+def topmost(paths: Iterable[str]) -> list[str]:
+    """The paths, absolute and in order, without those that lie below another, as they come with it."""
+    given = {os.path.abspath(p) for p in paths}
+
+    def covered(path: str) -> bool:
+        while (above := os.path.dirname(path)) != path:
+            if above in given:
+                return True
+            path = above
+        return False
+
+    return [p for p in sorted(given) if not covered(p)]
+
+
+def _units(walk: _Walk, options: dict) -> list[list[tuple[str, str]]]:
+    """The units of a listing, dealt out to partitions."""
+    units = [("at", p) for p in topmost(json.loads(options["paths"]))] if "paths" in options else walk.units()
+    return [units[n::PARTITIONS] for n in range(min(PARTITIONS, len(units)))] or [[]]
+
 
 class _Reader(DataSourceReader):
-    """One partition for the root's own entries and one for each folder below it; or one for each of given paths."""
+    """Some partitions, each with some folders or given paths."""
 
     def __init__(self, options: dict) -> None:
-        self.walk = _Walk(options)
-        given = {os.path.abspath(p) for p in json.loads(options.get("paths", "[]"))}
-        # what lies below another path comes with it
-        self.paths = [p for p in sorted(given) if not any(p.startswith(q.rstrip("/") + "/") for q in given)]
-        self.partial = "paths" in options
+        self.walk, self.options = _Walk(options), options
 
     def partitions(self):
-        if self.partial:
-            return [InputPartition(("at", p)) for p in self.paths] or [InputPartition(("none", ""))]
-        folders = [r[0] for r in self.walk.children(self.walk.root) if r[2] == "dir"]
-        return [InputPartition(("root", self.walk.root)), *(InputPartition(("below", f)) for f in folders)]
+        return [InputPartition(units) for units in _units(self.walk, self.options)]
 
     def read(self, partition):
-        kind, folder = partition.value
-        if kind == "root":
-            own = self.walk.entry(folder)
-            if own:
-                yield own
-            yield from self.walk.children(folder)
-        elif kind == "at":
-            yield from self.walk.at(folder)
-        elif kind == "below":
-            yield from self.walk.below(folder)
+        for kind, path in partition.value:
+            yield from self.walk.listed(kind, path)
+
+
+def entries(spark: SparkSession, options: dict) -> DataFrame:
+    """What the source lists for the same options, without the processes that Spark keeps beside the driver to plan a source of Python."""
+    walk = _Walk(options)
+    dealt = [u for units in _units(walk, options) for u in units]
+    names = [f.split()[0] for f in _SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            text, whole = pa.string(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (text, text, text, whole, whole, text), strict=True)], names)
+
+        rows: list[tuple] = []
+        for units in batches:
+            for kind, path in zip(*(c.to_pylist() for c in units.columns), strict=True):
+                for row in walk.listed(kind, path):
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
+
+    units = pa.table({"unit": pa.array([k for k, _ in dealt], pa.string()), "path": pa.array([p for _, p in dealt], pa.string())})
+    return spark.createDataFrame(units).mapInArrow(run, _SCHEMA)
 
 
 class _Changes(SimpleDataSourceStreamReader):
