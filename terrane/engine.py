@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import time
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane import journal as J
-from terrane.durable import checkpointed, written
+from terrane.durable import at_once, checkpointed, written
 from terrane.errors import Closed, InvalidQuery, NotIndexed, UnsafePath
 from terrane.functions.paths import ancestors, directory, within
 from terrane.functions.text import segment_index, truncate_utf8
@@ -234,12 +235,13 @@ class Engine:
         """Publishes a version with the new rows of the entries that changed; all others' rows stay where they are."""
         files = self.table("files", version)
         changed = found if reuse is None else written(found.join(reuse, "path", "left_anti"), "changed")
-        texts = written(read_texts(changed, self.options.extract_bytes), "texts")
+        paths = files.select("path", "id")
+        texts, ids = at_once(
+            lambda: written(read_texts(changed, self.options.extract_bytes), "texts"),
+            lambda: written(relational.with_ids(paths, changed.select("path")), "ids"),  # to paths alone, before any text is joined to them
+        )
         mime = F.when(F.col("kind") == "dir", "inode/directory").when(F.col("kind") == "symlink", "inode/symlink").otherwise(F.coalesce("mime", F.lit("")))
         text = F.coalesce("text", F.lit(""))
-        paths = files.select("path", "id")
-        # ids are given to paths alone, before any text is joined to them
-        ids = written(relational.with_ids(paths, changed.select("path")), "ids")
         rows = changed.join(ids, "path").join(texts, "path", "left").select(
             "id",
             "path",
@@ -276,12 +278,15 @@ class Engine:
         parsed = texts.join(fresh, "path")
         counters: dict[str, int] = {}
         added = {**self._index_of(now_files)}
-        added["chunks"] = self._children("chunks", version, counters, parsed, "chunks", ["ordinal", "symbol", "start_line", "end_line", "content", "content_hash"], ["ordinal"])
-        chunks = added["chunks"]
+        children = functools.partial(self._children, version=version, counters=counters, parsed=parsed)
+        chunks, added["symbols"], added["symbol_refs"] = at_once(
+            lambda: children("chunks", column="chunks", fields=["ordinal", "symbol", "start_line", "end_line", "content", "content_hash"], order=["ordinal"]),
+            lambda: children("symbols", column="symbols", fields=["symbol", "start_line", "end_line"], order=["start_line", "symbol"]),
+            lambda: children("symbol_refs", column="refs", fields=["caller", "callee", "line"], order=["line", "caller", "callee"]),
+        )
+        added["chunks"] = chunks
         added["chunk_postings"] = self._postings_of(chunks)
         added["chunk_concepts"] = self._concepts_of(chunks)
-        added["symbols"] = self._children("symbols", version, counters, parsed, "symbols", ["symbol", "start_line", "end_line"], ["start_line", "symbol"])
-        added["symbol_refs"] = self._children("symbol_refs", version, counters, parsed, "refs", ["caller", "callee", "line"], ["line", "caller", "callee"])
         now = F.lit(began)
         readable = now_files.filter("kind = 'file'").join(fresh.select(F.col("file_id").alias("id")), "id", "left_semi")
         added["embeddings"] = self._vector_rows(readable, retrieval.file_input(), "file_id", now)

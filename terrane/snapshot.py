@@ -8,6 +8,7 @@ that fails leaves the pointer, and thus every reader, where it was.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Mapping
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrane.durable import create_once, read_file
+from terrane.durable import at_once, create_once, read_file
 from terrane.errors import IncompatibleSchema
 
 SCHEMA_VERSION = 4
@@ -117,20 +118,20 @@ class Store:
         """
         number = (base.number if base else 0) + 1
         paths = {n: [list(p) for p in parts] for n, parts in (base.tables if base else {}).items()}
+        written: dict[str, DataFrame] = {}
         for name, df in {**tables, **(added or {})}.items():
             folder = f"tables/{name}/{uuid.uuid4().hex}"
             if name in (added or {}) and paths.get(name):  # all parts have the columns and types of the first
                 df = df.select(*(F.col(c.name).cast(c.dataType) for c in self._schema(paths[name][0][0])))
-            df.write.parquet(f"{self.path}/{folder}")
-            self._schemas[folder] = df.schema
+            written[folder] = df
             paths[name] = [*(paths.get(name, []) if name in (added or {}) else []), [folder, number]]
         gone = [list(p) for p in (base.replaced if base else [])]
         for only, ids in (replaced or {}).items():
             folder = f"tables/replaced/{uuid.uuid4().hex}"
-            ids = ids.select("file_id").distinct()
-            ids.write.parquet(f"{self.path}/{folder}")
-            self._schemas[folder] = ids.schema
+            written[folder] = ids.select("file_id").distinct()
             gone.append([folder, number, None if only is None else list(only)])
+        at_once(*(functools.partial(df.write.parquet, f"{self.path}/{folder}") for folder, df in written.items()))
+        self._schemas |= {folder: df.schema for folder, df in written.items()}
         oldest = min((n for parts in paths.values() for _, n in parts), default=number)
         gone = [p for p in gone if p[1] > oldest]
         version = Version(

@@ -2,10 +2,12 @@
 
 import json
 import os
+import threading
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from terrane.engine import Engine, Options
@@ -102,3 +104,16 @@ def test_texts_are_read_where_the_files_are(spark, deep):
     got = extract.read_texts(entries)
     assert got.dtypes == want.dtypes
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 3
+
+
+def test_tables_of_a_version_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+    plain = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (both.wait(), plain(self, *a, **k))[1])
+    store = Store(spark, str(tmp_path))
+    version = store.publish({"a": spark.range(3), "b": spark.range(4)})
+    assert (store.read("a", version).count(), store.read("b", version).count()) == (3, 4)
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="broken"):
+        store.publish({"a": spark.range(3), "c": spark.range(1).select(F.raise_error(F.lit("broken")))}, version)
+    assert store.current().number == version.number and "c" not in store.current().tables
