@@ -20,6 +20,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ _ALNUM = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[a-zA-Z][\w:.-]*(?:\s+[\w:.@-]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=]+))?)*\s*/?>")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _MARKS = re.compile("[­̀-ͯ​-‏⁠︀-️﻿'‘’ʼ`´‐‑-]")
-_ASCII_MARKS = re.compile("['`-]")
+_ASCII_MARKS = str.maketrans("", "", "'`-")
+#: Signs of ASCII that no word holds, as spaces.
+_ASCII_GAPS = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
 def normalise(text: str) -> str:
@@ -47,7 +50,7 @@ def normalise(text: str) -> str:
     if "](" in text:
         text = _LINK.sub(" ", text)
     if text.isascii():
-        return _ASCII_MARKS.sub("", text.lower())
+        return text.lower().translate(_ASCII_MARKS)
     return _MARKS.sub("", unicodedata.normalize("NFKD", text).casefold())
 
 
@@ -58,7 +61,7 @@ def is_cjk(normal: str) -> bool:
 
 
 def words(normal: str) -> list[str]:
-    return _WORD.findall(normal)
+    return normal.translate(_ASCII_GAPS).split() if normal.isascii() else _WORD.findall(normal)
 
 
 def characters(normal: str) -> str:
@@ -66,7 +69,7 @@ def characters(normal: str) -> str:
 
 
 def _bigrams(chars: str) -> list[str]:
-    return [a + b for a, b in zip(chars, chars[1:], strict=False)]
+    return list(map(add, chars, chars[1:]))
 
 
 @dataclass
@@ -182,22 +185,45 @@ class Index:
         at = np.flatnonzero(known >= 0)
         cells = max(2, -(-len(terms) // step))
         width = len(self.terms)
-        pairs = np.unique(at // step * width + known[at])
+        pairs = _distinct(at // step * width + known[at])
         cell, number = pairs // width, pairs % width
         entries, owner = _spans(self.block_starts[number], self.block_starts[number + 1])
         bound = np.bincount(cell[owner] * self.n_blocks + self.blocks[entries], self.bounds[entries], cells * self.n_blocks)
         bound = bound.reshape(cells, self.n_blocks)
         live = bound[:-1] + bound[1:] >= self.least_of_block
+        asked = np.flatnonzero(live.any(1))
+        if not len(asked):
+            return
         at_cell = np.searchsorted(cell, np.arange(cells + 1))
-        for c in np.flatnonzero(live.any(1)).tolist():
-            own = np.unique(number[at_cell[c] : at_cell[c + 2]])  # the pairs are in the order of their cells
-            e, _ = _spans(self.block_starts[own], self.block_starts[own + 1])
-            ranges = self.ranges[e[live[c][self.blocks[e]]]]
-            hits, _ = _spans(ranges[:, 0], ranges[:, 1])
-            score = np.bincount(self.items[hits], self.impacts[hits], len(self.ids))
-            picked = np.flatnonzero((score >= self.needed) & (score > 0))
-            if len(picked):
-                yield c * step, (c + 2) * step, picked
+        n = len(self.ids)
+        together = max(1, SCORES // n)  # passages are scored side by side, so many that their scores are bounded
+        for first in range(0, len(asked), together):
+            some = asked[first : first + together]
+            p, of = _spans(at_cell[some], at_cell[some + 2])  # the pairs are in the order of their cells
+            own = _distinct(of * width + number[p])
+            of, own = own // width, own % width
+            e, owner = _spans(self.block_starts[own], self.block_starts[own + 1])
+            of = of[owner]
+            kept = live[some[of], self.blocks[e]]
+            of, ranges = of[kept], self.ranges[e[kept]]
+            hits, owner = _spans(ranges[:, 0], ranges[:, 1])
+            score = np.bincount(of[owner] * n + self.items[hits], self.impacts[hits], len(some) * n).reshape(-1, n)
+            reached, picked = np.nonzero((score >= self.needed) & (score > 0))
+            cuts = np.flatnonzero(reached[1:] != reached[:-1]) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(reached)], strict=True):
+                if a < z:
+                    c = int(some[reached[a]])
+                    yield c * step, (c + 2) * step, picked[a:z]
+
+
+#: So many scores of passages by items are held at once.
+SCORES = 1 << 19
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """The numbers in order, each once."""
+    numbers = np.sort(numbers)
+    return numbers[np.r_[True, numbers[1:] != numbers[:-1]]] if len(numbers) else numbers
 
 
 def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,10 +260,15 @@ def passage(where: dict, size: int, tokens, lo: int, hi: int, least: float = 0.4
     0 if it stays under ``least``. Runs of equal words are chained; between two runs, the words of the item that are
     skipped are changes, and extra words of the document count half.
     """
+    # with c changes and as many extra words the rest falls into at most 2 c + 1 runs
+    shortest = least * size
+    run_length = (1 - changed) * shortest / (2 * changed * shortest + 1)
+    # a run is a stretch of words that the item has, each of them
+    if b"\1" * max(3, math.ceil(run_length)) not in bytes(map(where.__contains__, tokens[lo:hi])):
+        return 0.0
     runs: dict[int, list[int]] = {}  # diagonal -> [item start, item end, document start] of its open run
     done: list[tuple[int, int, int]] = []
-    for d in range(lo, hi):
-        at = where.get(tokens[d])
+    for d, at in enumerate(map(where.get, tokens[lo:hi]), lo):
         if at is None:
             continue
         for i in at:
@@ -249,9 +280,6 @@ def passage(where: dict, size: int, tokens, lo: int, hi: int, least: float = 0.4
                     done.append((run[2], run[0], run[1]))
                 runs[d - i] = [i, i + 1, d]
     done += [(r[2], r[0], r[1]) for r in runs.values()]
-    # with c changes and as many extra words the rest falls into at most 2 c + 1 runs
-    shortest = least * size
-    run_length = (1 - changed) * shortest / (2 * changed * shortest + 1)
     long = [r for r in done if r[2] - r[1] >= 3]
     if not long or max(r[2] - r[1] for r in long) < run_length or sum(r[2] - r[1] for r in long) < (1 - 3 * changed) * shortest:
         return 0.0

@@ -172,3 +172,26 @@ def test_operator(spark):
     assert {(r.doc_id, r.item_id) for r in L.leaked_items(df, items).collect()} == want
     assert {(r.doc_id, r.item_id) for r in L.leaked_items(df, items, block_chars=3000).collect()} == want
     assert L.leaked_items(df.limit(0), items).count() == 0 and L.leaked_items(df, items.limit(0)).count() == 0
+
+
+def test_passages_of_a_document_are_scored_together(monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(60)) for _ in range(40)]
+    index = L.make_indexes(list(enumerate(texts)), False)[0]
+    terms = L.words(L.normalise(" ".join(rng.choice(texts) for _ in range(300))))
+    calls = []
+    plain = L._spans
+    monkeypatch.setattr(L, "_spans", lambda *a: (calls.append(1), plain(*a))[1])
+    together = list(index.retrieve(terms))
+    assert len(together) > 100 and len(calls) < 20  # not some for each passage
+    monkeypatch.setattr(L, "SCORES", 1)  # one passage at a time
+    alone = list(index.retrieve(terms))
+    assert [(a, z, p.tolist()) for a, z, p in alone] == [(a, z, p.tolist()) for a, z, p in together]
+
+
+def test_words_of_ascii_are_those_of_the_pattern():
+    text = "".join(map(chr, range(128))) + " It's a`b-c d_e 1.5\x1cx\x85"
+    for t in (text, text.encode("ascii", "ignore").decode()):
+        normal = L.normalise(t)
+        assert L.words(normal) == L._WORD.findall(normal)
+    assert L.normalise("It's `b-C`") == "its bc"
