@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,10 +54,14 @@ _CJK = re.compile(f"[{_HAN}{_KANA}]")
 _CJK_RUN = re.compile(f"[{_HAN}{_KANA}々ー]+")
 #: Words that aren't part of an identifier with digits or underscores.
 _TOKEN = re.compile(r"\b[^\W\d_]+\b")
+#: The same in lower-case ASCII.
+_ASCII_TOKEN = re.compile(r"\b[a-z]+\b", re.ASCII)
 _CAMEL = re.compile(r"[a-z][A-Z]")
 _INLINE = re.compile(r"`[^`\n]*`|\b[a-z]+://\S+|</?[a-zA-Z][^<>\n]*>")
 #: Marks of emphasis around words.
 _EMPHASIS = re.compile(r"(?<![\w*_])[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?![\w*_])")
+#: The first begins at a space, so a search goes from space to space; the second also ends sentences after the full stops of East Asia.
+_SPACED_SENTENCE = re.compile(r"\s(?<=[.!?]\s)\s*(?=[^\W\d_a-z]|[`¿¡\"'(])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z]|[`¿¡\"'(])|(?<=[。！？])")
 #: What a line of front matter looks like.
 _SETTING = re.compile(r"\s*(?:$|#|-(?:\s|$)|[^\s:]+:(?:\s|$))|\s+\S")
@@ -66,6 +71,8 @@ _QUOTE = re.compile(r"\s*>+\s?")
 #: What stands before the words of a comment, an item of a list or a line of a log.
 _LEAD = re.compile(r"\s*(?://+[/!]?|#+(?!!)|--+|/\*+!?|\*+/?|<!--|;+|%+|\"\"\"|'''|[-+*•]|\d+[.)]|\d{4}-\d\d-\d\d[T ]\d\d:\d\d\S*\s+(?:[A-Z]{3,8}\b)?)(?:\s+|$)")
 _CODE = re.compile(r"[{};=<>\[\]|\\&$^*]|[\w\])]\(|\(\)|\w\.\w+\(|::|\"/|:\s*$")
+#: One of these is in all that is found by the pattern before.
+_CODE_SIGN = re.compile(r"[{};=<>\[\]|\\&$^*(:/]")
 # Words that begin statements in common programming languages, in lower case or, as in SQL, in capitals.
 _KEYWORDS = (
     "import from package use pub func fn def class return if elif else for while let const var public private static int export type "
@@ -80,6 +87,13 @@ _OPENS = re.compile(r"(?:[{}(\[;]|\):|=)\s*$")
 _END = re.compile(r"[.。！？!?;；:：,，]\s*$")
 
 
+def sentences(line: str) -> list[str]:
+    """The sentences of a line; the last characters of one may be missing if they are spaces."""
+    if line.isascii() or not ("。" in line or "！" in line or "？" in line):
+        return _SPACED_SENTENCE.split(line)
+    return _SENTENCE.split(line)
+
+
 def label_code(label: Column) -> Column:
     """Two-letter code that a label names in any spelling, else null."""
     plain = F.lower(F.trim(label))
@@ -149,7 +163,7 @@ def prose_lines(text: str) -> list[tuple[int, str, int]]:
             if len(_PLAIN.findall(bare)) < _SENTENCE_WORDS:
                 continue  # else a line that goes on in another script
         if lead is None:
-            code = len(_CODE.findall(bare))
+            code = len(_CODE.findall(bare)) if _CODE_SIGN.search(bare) else 0
             if code and (code * 25 > len(bare) or (_OPENS.search(bare) or _STATEMENT.match(bare)) and len(_PLAIN.findall(bare)) < _SENTENCE_WORDS):
                 continue
             if bare.count(" ") < 3 and not (out and out[-1][0] == at - 1 and not code and not _STATEMENT.match(bare)):
@@ -169,7 +183,7 @@ def tokens(words: str) -> list[str]:
             return [t[i : i + 2] for t in runs for i in range(max(1, len(t) - 1))]
     if _CAMEL.search(words):
         return [t.lower() for t in _TOKEN.findall(words) if not _CAMEL.search(t)]
-    return _TOKEN.findall(words.lower())
+    return (_ASCII_TOKEN if words.isascii() else _TOKEN).findall(words.lower())
 
 
 def _grams(word: str, order: int) -> list[str]:
@@ -190,16 +204,20 @@ def _kind(word: str) -> int:
 
 
 class Model:
-    """Log frequencies of words and n-grams in each language, less their mean over the languages."""
+    """Log frequencies of words and n-grams in each language, less their mean over the languages.
+
+    A row of the table is what a word adds to the sums of its sentence: its score in each language, whether it counts there as
+    known (in Chinese and Japanese, which are told by script, every pair does), and whether it is in another script.
+    """
 
     orders = (5, 4, 3, 2, 1)
 
     def __init__(self, words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> None:
         self.words, self.grams = words, grams
         self.row: dict[str, int] = {w: i for i, w in enumerate(words)}
-        self.table = np.array(list(words.values()), np.float32).reshape(-1, len(LANGUAGES))
+        own = np.array(list(words.values()), np.float32).reshape(-1, len(LANGUAGES))
+        self.table = _table(own, own > 0, np.array([_kind(w) for w in words], np.int8))
         self.extra: list[np.ndarray] = []
-        self.kinds = np.array([_kind(w) for w in words], np.int8)
         self.extra_kinds: list[int] = []
 
     def unseen(self, word: str) -> np.ndarray:
@@ -210,11 +228,11 @@ class Model:
                 return np.mean(known, 0)
         return np.zeros(len(LANGUAGES), np.float32)
 
-    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of the words, which of them it knows as words, and their kinds of script."""
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The rows of the words in the table."""
         get = self.row.get
         found = np.fromiter(map(get, words, (-1,) * len(words)), np.int64, len(words))
-        for i in np.flatnonzero(found < 0):
+        for i in np.flatnonzero(found < 0).tolist():
             w = words[i]
             at = self.row.get(w)
             if at is None:
@@ -222,7 +240,7 @@ class Model:
                     for x in [x for x, a in self.row.items() if a >= len(self.words)]:
                         del self.row[x]
                     self.extra, self.table = [], self.table[: len(self.words)]
-                    self.extra_kinds, self.kinds = [], self.kinds[: len(self.words)]
+                    self.extra_kinds = []
                     return self.rows(words)
                 at = self.row[w] = len(self.words) + len(self.extra)
                 self.extra.append(self.unseen(w))
@@ -230,9 +248,13 @@ class Model:
             found[i] = at
         if len(self.table) < len(self.words) + len(self.extra):
             at = len(self.table) - len(self.words)
-            self.table = np.concatenate([self.table, np.array(self.extra[at:], np.float32)])
-            self.kinds = np.concatenate([self.kinds, np.array(self.extra_kinds[at:], np.int8)])
-        return self.table[found], found < len(self.words), self.kinds[found]
+            new = np.array(self.extra[at:], np.float32)
+            self.table = np.concatenate([self.table, _table(new, np.zeros(new.shape, bool), np.array(self.extra_kinds[at:], np.int8))])
+        return found
+
+
+def _table(scores: np.ndarray, told: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return np.hstack([scores, told | (kinds == _EAST)[:, None], (kinds == _OTHER)[:, None]], dtype=np.float32, casting="unsafe")
 
 
 def _ratios(counts: dict[str, Counter], smoothing: float) -> dict[str, np.ndarray]:
@@ -294,7 +316,7 @@ def segments(model: Model, text: str) -> list[tuple[str | None, int, int, int, f
     """(language, first line, last line, size, confidence) of the stretches of prose in one language, null and 0 where it is none of the model's."""
     units: list[tuple[int, list[str], int]] = []
     for number, line, size in prose_lines(text):
-        parts = _SENTENCE.split(line) if len(line) > 60 else [line]
+        parts = sentences(line) if len(line) > 60 else [line]
         if len(parts) == 1:
             units.append((number, tokens(line), size))
         else:
@@ -305,32 +327,32 @@ def segments(model: Model, text: str) -> list[tuple[str | None, int, int, int, f
         return []
     sizes = np.array([len(w) for _, w, _ in units])
     starts = np.cumsum(sizes) - sizes
-    rows, known, kinds = model.rows([w for _, ws, _ in units for w in ws])
-    # words known as words of each language; in Chinese and Japanese, which are told by script, every pair counts
-    told = np.add.reduceat(known[:, None] & (rows > 0) | (kinds == _EAST)[:, None], starts, axis=0, dtype=np.int64)
-    other = np.add.reduceat(kinds == _OTHER, starts, dtype=np.int64)
+    found = model.rows(list(chain.from_iterable(w for _, w, _ in units)))
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64  # what counts words exactly
+    sums = np.add.reduceat(model.table.take(found, 0), starts, axis=0, dtype=kind)
+    told, other = sums[:, len(LANGUAGES) : -1].astype(np.int64), sums[:, -1].astype(np.int64)
     foreign = (other * 2 > sizes) | (sizes >= _FOREIGN_WORDS) & (told.max(1) < _FOREIGN_SHARE * sizes)
     # the last state is none of the languages
     scores = np.empty((len(units), len(LANGUAGES) + 1))
-    scores[:, :-1] = np.add.reduceat(rows, starts, axis=0)
+    scores[:, :-1] = sums[:, : len(LANGUAGES)]
     scores[:, -1] = -1e6
     scores[foreign, :-1], scores[foreign, -1] = -1e6, 0.0
     best = scores.argmax(1)
     if (best == best[0]).all():
         path = best
     else:
-        n, k = scores.shape
-        back = np.empty((n, k), np.int64)
-        value = scores[0].copy()
-        for i in range(1, n):
-            top = int(value.argmax())
-            stay = value >= value[top] - _SWITCH
-            back[i] = np.where(stay, np.arange(k), top)
-            value = np.where(stay, value, value[top] - _SWITCH) + scores[i]
+        n = len(scores)
+        back: list[list[int]] = []
+        value, *rest = scores.tolist()
+        for row in rest:
+            top = value.index(max(value))
+            least = value[top] - _SWITCH
+            back.append([i if v >= least else top for i, v in enumerate(value)])
+            value = [max(v, least) + s for v, s in zip(value, row, strict=True)]
         path = np.empty(n, np.int64)
-        path[-1] = int(value.argmax())
+        path[-1] = value.index(max(value))
         for i in range(n - 1, 0, -1):
-            path[i - 1] = back[i, path[i]]
+            path[i - 1] = back[i - 1][path[i]]
     out = []
     first = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist()]
     for a, b in zip(first, [*first[1:], len(path)], strict=True):

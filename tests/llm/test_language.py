@@ -163,3 +163,39 @@ def test_front_matter_of_any_length_and_a_rule_that_is_none():
     prose = "The file is in the index and it was not there before the next run."
     assert [n for n, _, _ in L.prose_lines(f"---\n{settings}---\n{prose}")] == [203]
     assert [n for n, _, _ in L.prose_lines(f"---\n{prose}\n---\n{prose}")] == [2, 4]
+
+
+def test_lines_without_signs_are_not_searched_for_code(monkeypatch):
+    class Counted:
+        calls = 0
+
+        def findall(self, line):
+            Counted.calls += 1
+            return plain.findall(line)
+
+    plain = L._CODE
+    monkeypatch.setattr(L, "_CODE", Counted())
+    assert len(L.prose_lines("These are words of running prose, as in any book.\n" * 50)) == 50
+    assert Counted.calls == 0
+    found = ["x = y", "f(a)", "f()", "a.b(c)", "a::b", 'see "/etc', "as follows: ", "{", "}", ";", "<", ">", "[", "]", "|", "\\", "&", "$", "^", "*", "v](b"]
+    for line in found:
+        assert plain.search(line) and L._CODE_SIGN.search(line)
+
+
+def test_sentences_and_words_are_those_of_the_full_patterns():
+    lines = ["One. Two!  Three? four. 5 six.\t(Seven) eight.  ", "Un. ¿Dos?  Élan. été. Ñu", "一。二！三？ 四. Five. 六", "a.   B. C", ". . A", "x" * 70, "", " "]
+    for line in lines:
+        assert L.sentences(line) == L._SENTENCE.split(line)
+    text = "".join(map(chr, range(128))) + " snake_case a1 b 2c don't e-mail x.y\x1cz"
+    assert L.tokens(text.lower()) == L._TOKEN.findall(text.lower())
+
+
+def test_rows_of_the_table_count_what_is_known(model):
+    words = ["the", "und", "xqzzy", "漢字", "привет", "the"]
+    found = model.rows(words)
+    rows = model.table[found]
+    n = len(L.LANGUAGES)
+    assert (rows[0] == rows[5]).all() and rows.shape[1] == 2 * n + 1
+    assert rows[0, n + L._AT["en"]] == 1 and rows[0, n + L._AT["de"]] == 0 and rows[1, n + L._AT["de"]] == 1
+    assert not rows[2, n:-1].any() and rows[3, n:-1].all() and not rows[4, n:-1].any()
+    assert rows[:, -1].tolist() == [0, 0, 0, 0, 1, 0]
