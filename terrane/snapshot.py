@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from terrane.durable import at_once, create_once, read_file
+from terrane.durable import at_once, create_once, read_file, tidied
 from terrane.errors import IncompatibleSchema
 
 SCHEMA_VERSION = 4
@@ -100,6 +100,10 @@ class Store:
         """Parts of a table, all with the columns of the first."""
         return self.spark.read.schema(self._schema(folders[0])).parquet(*(f"{self.path}/{f}" for f in folders))
 
+    def _write(self, df: DataFrame, folder: str) -> None:
+        tidied(self.spark)
+        df.write.parquet(f"{self.path}/{folder}")
+
     def publish(
         self,
         tables: Mapping[str, DataFrame],
@@ -130,7 +134,7 @@ class Store:
             folder = f"tables/replaced/{uuid.uuid4().hex}"
             written[folder] = ids.select("file_id").distinct()
             gone.append([folder, number, None if only is None else list(only)])
-        at_once(*(functools.partial(df.write.parquet, f"{self.path}/{folder}") for folder, df in written.items()))
+        at_once(*(functools.partial(self._write, df, folder) for folder, df in written.items()))
         self._schemas |= {folder: df.schema for folder, df in written.items()}
         oldest = min((n for parts in paths.values() for _, n in parts), default=number)
         gone = [p for p in gone if p[1] > oldest]

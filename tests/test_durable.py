@@ -1,6 +1,7 @@
 import os
+from types import SimpleNamespace
 
-from terrane import durable
+from terrane import durable, snapshot
 from terrane.operators.numbering import numbered
 from terrane.tables import latest, spread
 
@@ -36,3 +37,20 @@ def test_spread(spark, sf):
     assert spread(many) is many
     shuffled = one.groupBy("source").count()
     assert spread(shuffled) is shuffled
+
+
+def test_garbage_goes_where_the_heap_is_more_than_half_full(spark, tmp_path, monkeypatch):
+    collected = []
+    heap = SimpleNamespace(total=1, totalMemory=lambda: heap.total, maxMemory=lambda: 10, gc=lambda: collected.append(heap.total))
+    jvm = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap))))
+    session = SimpleNamespace(sparkContext=SimpleNamespace(_jvm=jvm))
+    for heap.total in (1, 5, 6, 10):
+        durable.tidied(session)
+    assert collected == [6, 10]
+    asked = []
+    monkeypatch.setattr(durable, "tidied", asked.append)
+    monkeypatch.setattr(snapshot, "tidied", asked.append)
+    assert durable.written(spark.range(3), "t").count() == 3 and len(asked) == 1
+    store = snapshot.Store(spark, str(tmp_path))
+    store.publish({"a": spark.range(3), "b": spark.range(4)})
+    assert len(asked) == 3 and store.read("b").count() == 4
